@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -94,9 +95,7 @@ def classify_layer(c: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Col
     low = F.lower(c)
     out = None
     for name, patterns in rules:
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | low.contains(p)
+        hit = low.rlike("|".join(re.escape(p) for p in patterns))
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out
 
