@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborist.functions.common import count_rows, half_up, half_up2, top_n
-from arborist.functions.paths import base_of, classify_layer, dir_of, parent_of, stem_of
+from arborist.functions.paths import base_of, classify_layer, dir_of, language_of, parent_of, stem_of
 from arborist.functions.rules import IMPORT_EXTENSIONS, SUMMARY_LAYERS, SUPPORTED_EXTENSIONS, VIOLATION_LAYERS
 
 Layers = Sequence[tuple[str, Sequence[str]]]
@@ -307,8 +307,6 @@ def layer_violations(edges: DataFrame, rules: Layers = VIOLATION_LAYERS) -> Data
 
 def language_stats(source_files: DataFrame) -> DataFrame:
     """Files, lines, bytes and share of bytes per language."""
-    from arborist.functions.paths import language_of
-
     per = (
         source_files.select(
             "project",
@@ -327,8 +325,6 @@ def language_stats(source_files: DataFrame) -> DataFrame:
 
 def run_counts(source_files: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Total, analysed, skipped and failed files of each project."""
-    from arborist.functions.paths import language_of
-
     base = source_files.select("project", "path", language_of(F.col("path")).isNotNull().alias("known"))
     if errors is not None:
         failed = errors.select("project", F.col("file").alias("path"), F.lit(True).alias("failed")).distinct()
