@@ -44,6 +44,11 @@ def fuzzy_word_score(token: str, words: Column) -> Column:
     return F.coalesce((F.lit(len(token)) - dist) * 1.5, F.lit(0.0))
 
 
+def _close_words(token: str, words: Column) -> Column:
+    limit = 2 if len(token) >= 5 else 1
+    return F.filter(words, lambda w: F.levenshtein(F.lit(token), w, limit) >= 0)
+
+
 def is_subsequence(query: str, name: Column) -> Column:
     """All characters of the query appear in order in the name."""
     return name.rlike("(?s)" + ".*".join(re.escape(ch) for ch in query))
@@ -71,12 +76,7 @@ def snippet(text: Column, query: str) -> Column:
     # Fuzzy fallback: the closest word stands in for the hit.
     fuzzy_at, fuzzy_len = F.lit(0), F.lit(0)
     for t in reversed(tokens):
-        limit = 2 if len(t) >= 5 else 1
-        close = F.filter(
-            fuzzy_words(low),
-            lambda w, t=t, limit=limit: F.coalesce(F.levenshtein(F.lit(t), w, limit), F.lit(-1)) >= 0,
-        )
-        word = F.get(close, F.lit(0))
+        word = F.get(_close_words(t, fuzzy_words(low)), F.lit(0))
         fuzzy_len = F.when(word.isNotNull(), F.length(word)).otherwise(fuzzy_len)
         fuzzy_at = F.when(word.isNotNull(), F.position(word, low)).otherwise(fuzzy_at)
     size = F.when(at > 0, size).otherwise(fuzzy_len)

@@ -47,11 +47,10 @@ def _groups(c: Column, pattern: str, *groups: int) -> Column:
 def diagram_lines(fields: DataFrame) -> DataFrame:
     """(project, path, line_no, line): trimmed non-blank, non-comment lines of each diagram."""
     lines = fields.where("field = 'diagram'").select(
-        "project", "path", F.posexplode(F.split("text", "\n")).alias("pos", "raw")
+        "project", "path", F.posexplode(F.transform(F.split("text", "\n"), trimmed)).alias("pos", "line")
     )
-    return (
-        lines.select("project", "path", (F.col("pos") + 1).alias("line_no"), trimmed(F.col("raw")).alias("line"))
-        .where((F.col("line") != "") & ~F.col("line").startswith("%%"))
+    return lines.where((F.col("line") != "") & ~F.col("line").startswith("%%")).select(
+        "project", "path", (F.col("pos") + 1).alias("line_no"), "line"
     )
 
 
@@ -59,19 +58,30 @@ def diagram_lines(fields: DataFrame) -> DataFrame:
 
 
 def _parsed(fields: DataFrame) -> DataFrame:
-    lines = diagram_lines(fields).where(~F.col("line").rlike(SKIP_LINE))
+    """(project, path, src, arrow, dst, node): an edge or a standalone node per row.
+
+    Lines are read inside the row and each pattern runs once per line.
+    """
     bare = lambda c: F.regexp_replace(c, "[\"']", "")
-    edge = F.coalesce(_groups(F.col("line"), STRICT_EDGE, 1, 2, 3), _groups(F.col("line"), BROAD_EDGE, 1, 2, 3))
-    with_edge = lines.withColumn("e", edge)
-    return with_edge.select(
+
+    def read(line: Column) -> Column:
+        return F.struct(
+            F.coalesce(_groups(line, STRICT_EDGE, 1, 2, 3), _groups(line, BROAD_EDGE, 1, 2, 3)).alias("edge"),
+            F.when(line.rlike(NODE_LINE), F.regexp_replace(line, NODE_LINE, "$1")).alias("single"),
+        )
+
+    lines = F.filter(
+        F.transform(F.split("text", "\n"), trimmed),
+        lambda x: (x != "") & ~x.startswith("%%") & ~x.rlike(SKIP_LINE),
+    )
+    rows = fields.where("field = 'diagram'").select("project", "path", F.inline(F.transform(lines, read)))
+    return rows.select(
         "project",
         "path",
-        bare(F.get("e", F.lit(0))).alias("src"),
-        F.get("e", F.lit(1)).alias("arrow"),
-        bare(F.get("e", F.lit(2))).alias("dst"),
-        F.when(F.col("e").isNull() & F.col("line").rlike(NODE_LINE), bare(F.regexp_replace("line", NODE_LINE, "$1"))).alias(
-            "node"
-        ),
+        bare(F.get("edge", F.lit(0))).alias("src"),
+        F.get("edge", F.lit(1)).alias("arrow"),
+        bare(F.get("edge", F.lit(2))).alias("dst"),
+        F.when(F.col("edge").isNull(), bare(F.col("single"))).alias("node"),
     )
 
 
@@ -127,27 +137,40 @@ def _token(c: Column) -> Column:
 
 
 def _flow_lines(fields: DataFrame) -> DataFrame:
-    lines = diagram_lines(fields)
-    line = F.col("line")
-    plain = ~line.rlike(FLOW_DIRECTION) & ~line.rlike(FLOW_SKIP) & ~line.rlike(FLOW_CLASS)
-    labelled = F.when(plain, _groups(line, FLOW_LABEL_EDGE, 1, 2, 3))
-    arrow = F.when(plain & labelled.isNull(), _groups(line, FLOW_EDGE, 1, 2, 3))
-    parts = lines.select(
-        "*",
-        labelled.alias("le"),
-        arrow.alias("ar"),
-        F.when(plain & labelled.isNull() & arrow.isNull(), _token(line)).alias("single"),
+    """(project, path, line_no, single, s, d, label): tokens of every flowchart line."""
+
+    def read(line: Column, i: Column) -> Column:
+        plain = (
+            (line != "")
+            & ~line.startswith("%%")
+            & ~line.rlike(FLOW_DIRECTION)
+            & ~line.rlike(FLOW_SKIP)
+            & ~line.rlike(FLOW_CLASS)
+        )
+        labelled = F.when(line.rlike(FLOW_LABEL_EDGE), _groups(line, FLOW_LABEL_EDGE, 1, 2, 3))
+        arrow = F.when(~line.rlike(FLOW_LABEL_EDGE), _groups(line, FLOW_EDGE, 1, 2, 3))
+        return F.struct(
+            (i + 1).alias("line_no"),
+            line.alias("line"),
+            F.when(plain, labelled).alias("le"),
+            F.when(plain, arrow).alias("ar"),
+            plain.alias("plain"),
+        )
+
+    rows = fields.where("field = 'diagram'").select(
+        "project", "path", F.inline(F.transform(F.transform(F.split("text", "\n"), trimmed), read))
+    )
+    ends = F.transform(
+        F.array(F.coalesce("le", "ar")),
+        lambda e: F.struct(
+            _token(F.get(e, F.lit(0))).alias("s"),
+            _token(F.get(e, F.lit(2))).alias("d"),
+            F.when(e.isNull(), _token(F.col("line"))).alias("single"),
+        ),
     )
     label = F.coalesce(F.get("le", F.lit(1)), F.regexp_extract(F.get("ar", F.lit(1)), r"\|([^|]+)\|", 1))
-    return parts.select(
-        "project",
-        "path",
-        "line_no",
-        "line",
-        "single",
-        _token(F.coalesce(F.get("le", F.lit(0)), F.get("ar", F.lit(0)))).alias("s"),
-        _token(F.coalesce(F.get("le", F.lit(2)), F.get("ar", F.lit(2)))).alias("d"),
-        F.regexp_replace(label, r"(?i)<br\s*/?>", " ").alias("label"),
+    return rows.where("plain").select(
+        "project", "path", "line_no", F.regexp_replace(label, r"(?i)<br\s*/?>", " ").alias("label"), F.inline(ends)
     )
 
 
@@ -402,9 +425,19 @@ def lint_diagrams(fields: DataFrame, elements: DataFrame | None = None) -> DataF
         F.lit("Diagram must start with a graph/flowchart direction declaration").alias("message"),
         F.lit(0).alias("ord"),
     )
-    by_line = diagram_lines(fields).select(
-        "project", "path", F.col("line_no").alias("line"), F.inline(_line_issues(F.col("line")))
-    ).select(*_ISSUE)
+    per_line = F.transform(
+        F.transform(F.split("text", "\n"), trimmed),
+        lambda x, i: F.struct(
+            (i + 1).alias("line"),
+            F.when((x != "") & ~x.startswith("%%"), _line_issues(x)).alias("issues"),
+        ),
+    )
+    by_line = (
+        diagrams.select("project", "path", F.inline(per_line))
+        .where(F.size("issues") > 0)
+        .select("project", "path", "line", F.inline("issues"))
+        .select(*_ISSUE)
+    )
     count = F.col("n")
     sizes = (
         count_rows(diagram_nodes(fields), "project", "path")
@@ -728,9 +761,8 @@ def undocumented_diagram_nodes(fields: DataFrame, elements: DataFrame) -> DataFr
     texts = fields.where("field = 'diagram'").where(shallow).select("project", "path", "text")
 
     def label(node: Column) -> Column:
-        found = F.regexp_extract(
-            F.col("text"), F.concat(F.lit(r"\Q"), node, F.lit(r'\E\["([^"]+)"\]')), F.lit(1)
-        )
+        pattern = F.concat(F.lit(r"\Q"), node, F.lit(r'\E\["([^"]+)"\]'))
+        found = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1))
         return F.when(found == "", node).otherwise(F.replace(found, F.lit("\\n"), F.lit(" — ")))
 
     rows = F.transform("nodes", lambda n: F.struct(n.alias("node"), label(n).alias("label")))

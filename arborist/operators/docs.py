@@ -39,17 +39,19 @@ def tag_filter(elements: DataFrame, tags: Sequence[str]) -> DataFrame:
 
 
 def split_tags(raw: DataFrame) -> DataFrame:
-    """Tags given as JSON text: the strings kept, the rest counted as corrupted."""
-    items = F.from_json("tags_json", "array<string>")
-    kinds = F.transform(
-        F.regexp_extract_all(F.col("tags_json"), F.lit(r'("(?:[^"\\]|\\.)*"|\{[^}]*\}|\[[^\[\]]+\]|[^\s,\[\]]+)'), F.lit(1)),
-        lambda t: t.startswith('"'),
+    """Tags given as a JSON list: the strings kept, the rest counted as corrupted."""
+    inner = F.regexp_replace("tags_json", r"^\s*\[|\]\s*$", "")
+    items = F.regexp_extract_all(
+        inner, F.lit(r'("(?:[^"\\]|\\.)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^\s,"\[\]{}]+)'), F.lit(1)
     )
-    zipped = F.arrays_zip(items.alias("t"), kinds.alias("is_text"))
+    texts = F.filter(items, lambda t: t.startswith('"'))
     return raw.select(
         *KEYS,
-        F.transform(F.filter(zipped, lambda z: z["is_text"]), lambda z: z["t"]).alias("tags"),
-        F.size(F.filter(zipped, lambda z: ~z["is_text"])).alias("corrupted"),
+        F.coalesce(
+            F.from_json(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")), "array<string>"),
+            F.array().cast("array<string>"),
+        ).alias("tags"),
+        (F.size(items) - F.size(texts)).alias("corrupted"),
     )
 
 
@@ -195,7 +197,7 @@ def project_summary(elements: DataFrame, history: DataFrame | None = None) -> Da
     )
     if history is None:
         return base
-    past = history.groupBy("project").agg(F.max("at").alias("last_update"), F.count(F.lit(1)).alias("updates"))
+    past = history.groupBy("project").agg(F.max("written_at").alias("last_update"), F.count(F.lit(1)).alias("updates"))
     return base.join(past, "project", "full_outer").fillna(0, ["perspectives", "elements", "updates"])
 
 

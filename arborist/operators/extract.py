@@ -343,12 +343,14 @@ ROUTE_RULES: list[RouteRule] = [
 def extract_routes(source_files: DataFrame, rules: Sequence[RouteRule] = tuple(ROUTE_RULES)) -> DataFrame:
     """HTTP routes of seven frameworks.  Detectors are gated by file name; a file may match several.
 
-    A detector reads each line together with the few lines that may hold its
+    A decorator line is read together with the lines below it, which hold its
     handler, so the reported line is the one the route starts on.
     """
     lines = F.split("content", "\n")
-    # a route's own line plus following decorator lines and the one that names the handler
-    windows = F.transform(lines, lambda x, i: F.array_join(F.slice(lines, i + 1, F.lit(8)), "\n"))
+    windows = F.transform(
+        lines,
+        lambda x, i: F.when(x.contains("@"), F.array_join(F.slice(lines, i + 1, F.size(lines)), "\n")).otherwise(x),
+    )
     st = source_files.select("project", F.col("path").alias("file"), F.posexplode(windows).alias("pos", "text"))
     file, text = F.col("file"), F.col("text")
     first = F.substring_index(text, "\n", 1)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborist.functions.common import count_rows, half_up, top_n
-from arborist.functions.paths import depth_of
+from arborist.functions.paths import base_of, depth_of, parent_of
 from arborist.functions.rules import FIELDS
-from arborist.operators.diagrams import undocumented_diagram_nodes
-from arborist.operators.docs import KEYS, children_coverage
+from arborist.operators.diagrams import check_refs, extract_refs, undocumented_diagram_nodes
+from arborist.operators.docs import KEYS, children_coverage, element_types, field_stats
 
 # The most each part of a score can earn.
 PART_MAX = {"fields": 40.0, "diagram": 20.0, "description": 10.0, "flows": 10.0, "refs": 10.0, "children": 10.0}
@@ -272,3 +272,97 @@ def feedback_report(summary: DataFrame, scores: DataFrame, issues: DataFrame) ->
 
 def undocumented_count(fields: DataFrame, elements: DataFrame) -> DataFrame:
     return count_rows(undocumented_diagram_nodes(fields, elements), "project", name="undocumented")
+
+
+def reconcile_report(elements: DataFrame, fields: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Drift rows (project, path, kind, detail): orphaned sources, missing texts, broken references, empty elements.
+
+    References count as broken when no element of any depth has their name.
+    """
+    c = F.col
+    present = (
+        fields.select(*KEYS, "field", F.col("text").rlike(r"\S").alias("present"))
+        .groupBy(*KEYS)
+        .agg(
+            F.bool_or(c("field") == "description").alias("described"),
+            F.bool_or(c("field") == "diagram").alias("drawn"),
+            F.bool_or("present").alias("filled"),
+        )
+    )
+    state = elements.select(*KEYS).join(present, KEYS, "left").fillna(False, ["described", "drawn", "filled"])
+    kinds = F.array_compact(
+        F.array(
+            F.when(~c("described"), "missing_description"),
+            F.when(~c("drawn"), "missing_diagram"),
+            F.when(~c("filled"), "empty_element"),
+        )
+    )
+    none = F.lit(None).cast("string")
+    gaps = state.select(*KEYS, F.explode(kinds).alias("kind"), none.alias("detail"))
+    broken = check_refs(extract_refs(fields), elements, "all").where("status = 'ref-exists'")
+    return (
+        gaps.unionByName(orphans.select(*KEYS, F.lit("orphaned_source").alias("kind"), F.col("file").alias("detail")))
+        .unionByName(
+            broken.select(
+                "project", c("source_class").alias("path"), F.lit("broken_ref").alias("kind"), c("target_class").alias("detail")
+            )
+        )
+    )
+
+
+def has_issues(report: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Whether each project needs attention: stale signature, orphans, broken references, empty elements."""
+    serious = report.where("kind IN ('orphaned_source', 'broken_ref', 'empty_element')").select("project", F.lit(True).alias("bad"))
+    stale = signatures.select("project", (F.col("state") != "ok").alias("bad"))
+    return serious.unionByName(stale).groupBy("project").agg(F.bool_or("bad").alias("has_issues"))
+
+
+def inspect_elements(
+    elements: DataFrame, fields: DataFrame, scores: DataFrame, plan: DataFrame, links: DataFrame | None = None
+) -> DataFrame:
+    """One row per element: type, coverage, words, score, tracking status, links and children counts.
+
+    Children with their scores, which have no bound, are `inspect_children`.
+    """
+    facts = (
+        field_stats(fields)
+        .groupBy(*KEYS)
+        .agg(
+            F.count_if("present").alias("fields_present"),
+            F.sum("words").alias("words"),
+            F.bool_or((F.col("field") == "diagram") & F.col("present")).alias("has_diagram"),
+        )
+    )
+    kids = children_coverage(elements, fields)
+    out = elements.select(*KEYS).join(facts, KEYS, "left").join(kids, KEYS, "left")
+    out = out.join(scores.select(*KEYS, "score"), KEYS, "left").join(plan.select(*KEYS, "status", "reasons"), KEYS, "left")
+    if links is not None:
+        out = out.join(count_rows(links, *KEYS, name="links"), KEYS, "left")
+    else:
+        out = out.withColumn("links", F.lit(0).cast("bigint"))
+    out = out.fillna(0, ["fields_present", "words", "children", "covered", "score", "links"]).fillna(False, ["has_diagram"])
+    return out.select(
+        *KEYS,
+        F.when(~F.col("path").contains("/"), "perspective").when(F.col("has_diagram"), "group").otherwise("leaf").alias("type"),
+        half_up(F.col("fields_present") / len(FIELDS) * 100).alias("field_coverage"),
+        "words",
+        "score",
+        F.coalesce("status", F.lit("unknown")).alias("status"),
+        "reasons",
+        "links",
+        "children",
+        "covered",
+    )
+
+
+def inspect_children(elements: DataFrame, fields: DataFrame, scores: DataFrame) -> DataFrame:
+    """Children of every element, one row each, with type, diagram flag and score."""
+    types = element_types(elements.where(F.col("path").contains("/")), fields)
+    return types.join(scores.select(*KEYS, "score"), KEYS, "left").select(
+        "project",
+        parent_of(F.col("path")).alias("parent"),
+        base_of(F.col("path")).alias("name"),
+        "type",
+        (F.col("type") == "group").alias("has_diagram"),
+        F.coalesce("score", F.lit(0).cast("bigint")).alias("score"),
+    )

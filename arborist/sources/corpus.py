@@ -82,8 +82,7 @@ def apply_ignore(
     if builtin_dirs:
         out = out.where(~F.exists(ancestors_of(F.col("path")), lambda p: name(p).isin(*IGNORED_DIRS)))
     if generated:
-        for g in GENERATED_FILES:
-            out = out.where(~F.exists(prefixes, lambda p, g=g: p.rlike(g)))
+        out = out.where(~F.exists(prefixes, lambda p: p.rlike("|".join(GENERATED_FILES))))
     if ignore_files is None:
         return out
     joined = out.join(ignore_rules(ignore_files), "project", "left")

@@ -241,7 +241,7 @@ def definitions(d: Dialect) -> dict[str, str]:
     t["writes"] = f"""
         SELECT concat('s', conv_id % 20) AS project, concat('conv', conv_id) AS path,
                CASE role WHEN 'user' THEN 'note' ELSE 'diagram' END AS field, text,
-               turn AS seq, {d.ts('2024-01-01 00:00:00')} + {d.days('turn')} AS at
+               turn AS seq, {d.ts('2024-01-01 00:00:00')} + {d.days('turn')} AS written_at
         FROM conversations"""
     t["links"] = f"""
         SELECT concat('s', page_id % 20) AS project, concat('page', page_id) AS path, url, 'external' AS type

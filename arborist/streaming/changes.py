@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from arborist.functions.paths import glob_extension, glob_prefix, glob_to_regex, normalize_path, path_glob_keys
 from arborist.functions.rules import WATCH_IGNORED
 from arborist.operators.history import latest_by_key
-from arborist.operators.search import build_postings
+from arborist.operators.search import text_tokens
+from arborist.session import cut_lineage
 
 CHANGE_SCHEMA = T.StructType.fromDDL(
     "project STRING, ref STRING, path STRING, status STRING, seq BIGINT, ts TIMESTAMP"
@@ -63,9 +64,9 @@ def stale_stream(changes: DataFrame, elements: DataFrame, late: str = "10 minute
     within the watermark.
     """
     source = changes.withWatermark("ts", late) if changes.isStreaming else changes
-    tracked = elements.select(
-        "project", F.col("path").alias("element"), normalize_path(F.explode("source_files")).alias("clean")
-    ).select("project", "element", "clean", F.lit("source_file").alias("reason"), F.lit("").alias("g_regex"))
+    tracked = elements.select("project", F.col("path").alias("element"), F.explode("source_files").alias("file")).select(
+        "project", "element", normalize_path(F.col("file")).alias("clean"), F.lit("source_file").alias("reason")
+    )
     exact = source.withColumn("clean", normalize_path(F.col("path"))).join(tracked, ["project", "clean"])
     keyed = source.select("project", "path", "ts", F.inline(path_glob_keys(F.col("path"))))
     by_glob = keyed.join(_glob_keys(elements), ["project", "g_prefix", "g_ext"]).where(F.expr("path RLIKE g_regex"))
@@ -75,37 +76,49 @@ def stale_stream(changes: DataFrame, elements: DataFrame, late: str = "10 minute
     return both.dropDuplicatesWithinWatermark(keys) if changes.isStreaming else both.dropDuplicates(keys)
 
 
+FIELD_KEYS = ["project", "path", "field"]
+
+
 def live_index(field_stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep `path/fields` and `path/postings` current from a stream of field writes.
+    """Keep a search index current from a stream of field writes.
 
-    Each batch is collapsed to the newest text per field and rewrites only the
-    touched projects' partitions; a version folder per batch makes a replayed
-    batch overwrite itself, so restarts are safe.
+    Each batch adds one folder with the newest text of every field it touched
+    and one with that text's postings, so a batch costs what it holds, not what
+    the index holds.  A replayed batch overwrites its own folders.  Readers
+    (`live_fields`, `live_postings`) let the newest version of a field win.
     """
-    keys = ["project", "path", "field"]
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = latest_by_key(batch, keys, ["ts", "seq"])
-        old_dir = f"{path}/fields/batch={batch_id - 1}"
-        try:
-            old = spark.read.schema(newest.schema).parquet(old_dir) if batch_id > 0 else None
-        except Exception:  # first batch after a new start: nothing to carry over
-            old = None
-        merged = newest if old is None else latest_by_key(old.unionByName(newest), keys, ["ts", "seq"])
-        merged.write.mode("overwrite").parquet(f"{path}/fields/batch={batch_id}")
-        current = spark.read.schema(newest.schema).parquet(f"{path}/fields/batch={batch_id}")
-        texts = current.select("project", F.col("path").alias("doc"), "text")
-        build_postings(texts).write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        newest = cut_lineage(latest_by_key(batch, FIELD_KEYS, ["ts", "seq"]))
+        newest.write.mode("overwrite").parquet(f"{path}/fields/batch={batch_id}")
+        postings = (
+            newest.select(*FIELD_KEYS, "ts", "seq", F.explode(text_tokens(F.col("text"))).alias("term"))
+            .groupBy(*FIELD_KEYS, "ts", "seq", "term")
+            .agg(F.count(F.lit(1)).alias("tf"))
+        )
+        postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
 
     return (
-        field_stream.writeStream.foreachBatch(upsert)
+        field_stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def live_fields(spark: SparkSession, path: str) -> DataFrame:
+    """Current text of every field of a live index."""
+    return latest_by_key(spark.read.parquet(f"{path}/fields"), FIELD_KEYS, ["ts", "seq"]).drop("batch")
+
+
+def live_postings(spark: SparkSession, path: str) -> DataFrame:
+    """Current postings (project, doc, term, tf) of a live index."""
+    stored = spark.read.parquet(f"{path}/fields").groupBy(*FIELD_KEYS).agg(F.max(F.struct("ts", "seq")).alias("v"))
+    versions = stored.select(*FIELD_KEYS, "v.ts", "v.seq")
+    current = spark.read.parquet(f"{path}/postings").join(versions, [*FIELD_KEYS, "ts", "seq"], "left_semi")
+    return current.groupBy("project", F.col("path").alias("doc"), "term").agg(F.sum("tf").alias("tf"))
+
+
 class _KeepLast(StatefulProcessor):
     """Last `keep` writes of one element, in order, as list state."""
 
