@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from arborist.functions.paths import ancestors_of, base_of, dir_of, glob_to_regex, trimmed
 from arborist.functions.rules import DIAGRAM_FILES, FIELD_FILES, GENERATED_FILES, IGNORED_DIRS, SUPPORTED_EXTENSIONS
 
-META_SCHEMA = T.StructType.fromDDL(
+META_SCHEMA = (
     "project STRING, path STRING, created TIMESTAMP, updated TIMESTAMP, update_count INT, last_field STRING,"
     " git_commit STRING, git_branch STRING, kind STRING, title STRING, children ARRAY<STRING>, tags ARRAY<STRING>,"
     " diagram_format STRING, source_files ARRAY<STRING>, source_globs ARRAY<STRING>,"
@@ -20,7 +19,7 @@ META_SCHEMA = T.StructType.fromDDL(
     " change_log ARRAY<STRUCT<field: STRING, at: TIMESTAMP, commit: STRING>>,"
     " links ARRAY<STRUCT<url: STRING, type: STRING, label: STRING, added: TIMESTAMP>>"
 )
-FLOW_SCHEMA = T.StructType.fromDDL(
+FLOW_SCHEMA = (
     "project STRING, path STRING, name STRING, description STRING, steps ARRAY<STRUCT<node: STRING, edge: STRING>>"
 )
 
@@ -130,7 +129,7 @@ def load_elements(corpus: DataFrame, formats: DataFrame | None = None) -> DataFr
     return text_fields.unionByName(chosen)
 
 
-def load_meta(spark: SparkSession, path: str, schema: T.StructType = META_SCHEMA, fmt: str = "json") -> DataFrame:
+def load_meta(spark: SparkSession, path: str, schema: str = META_SCHEMA, fmt: str = "json") -> DataFrame:
     """Element metadata or flows with an explicit schema, never inferred."""
     return spark.read.schema(schema).format(fmt).load(path)
 

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,7 +16,7 @@ from arborist.operators.history import latest_by_key
 from arborist.operators.search import text_tokens
 from arborist.session import cut_lineage
 
-CHANGE_SCHEMA = T.StructType.fromDDL(
+CHANGE_SCHEMA = (
     "project STRING, ref STRING, path STRING, status STRING, seq BIGINT, ts TIMESTAMP"
 )
 
@@ -147,7 +146,7 @@ class _KeepLast(StatefulProcessor):
         pass
 
 
-HISTORY_SCHEMA = T.StructType.fromDDL("project STRING, path STRING, age INT, text STRING")
+HISTORY_SCHEMA = ("project STRING, path STRING, age INT, text STRING")
 
 
 def live_history(writes: DataFrame, keep: int = 20) -> DataFrame:
