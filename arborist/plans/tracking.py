@@ -206,21 +206,19 @@ R.add(
     """SELECT DISTINCT c.project, c.path, CASE WHEN f.path IS NOT NULL THEN 'existing' ELSE 'deleted' END AS state FROM changes c
        LEFT JOIN files f ON f.project = c.project AND f.path = c.path WHERE starts_with(c.path, 'src/data/')""",
 )
-SQL_PRINTS = """
-, fp AS (SELECT 'old' AS v, project, file, substring(md5(string_agg(concat(kind, ':', name, ':', line, ':', end_line), chr(10) ORDER BY concat(kind, ':', name, ':', line, ':', end_line))), 1, 16) AS h, count(*) AS n
-    FROM old_definitions GROUP BY project, file
-  UNION ALL SELECT 'new', project, file, substring(md5(string_agg(concat(kind, ':', name, ':', line, ':', end_line), chr(10) ORDER BY concat(kind, ':', name, ':', line, ':', end_line))), 1, 16), count(*)
-    FROM new_definitions GROUP BY project, file)
-, cf AS (SELECT project, file, o.n AS n_old, w.n AS n_new FROM (SELECT * FROM fp WHERE v = 'old') o FULL JOIN (SELECT * FROM fp WHERE v = 'new') w USING (project, file)
-    WHERE o.h IS NULL OR w.h IS NULL OR o.h <> w.h)
-, od AS (SELECT project, file, kind, name, arg_max(concat(line, ':', end_line), line * 100000 + end_line) AS a FROM old_definitions GROUP BY ALL)
-, nd AS (SELECT project, file, kind, name, arg_max(concat(line, ':', end_line), line * 100000 + end_line) AS b FROM new_definitions GROUP BY ALL)
+_SQL_ITEM = "concat(kind, ':', name, ':', line, ':', end_line)"
+SQL_PRINTS = f"""
+, fpo AS (SELECT project, file, substring(md5(string_agg({_SQL_ITEM}, chr(10) ORDER BY {_SQL_ITEM})), 1, 16) AS h, count(*) AS n FROM old_definitions GROUP BY project, file)
+, fpn AS (SELECT project, file, substring(md5(string_agg({_SQL_ITEM}, chr(10) ORDER BY {_SQL_ITEM})), 1, 16) AS h, count(*) AS n FROM new_definitions GROUP BY project, file)
+, cf AS (SELECT project, file, o.n AS n_old, w.n AS n_new FROM fpo o FULL JOIN fpn w USING (project, file) WHERE o.h IS NULL OR w.h IS NULL OR o.h <> w.h)
+, od AS (SELECT project, file, kind, name, max(line * 100000 + end_line) AS a FROM old_definitions GROUP BY ALL)
+, nd AS (SELECT project, file, kind, name, max(line * 100000 + end_line) AS b FROM new_definitions GROUP BY ALL)
 , dch AS (SELECT project, file, kind, name, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' ELSE 'modified' END AS change
-    FROM od FULL JOIN nd USING (project, file, kind, name) WHERE (a IS NULL OR b IS NULL OR a <> b)
-    AND EXISTS (SELECT 1 FROM cf WHERE cf.project = project AND cf.file = file))
-, delta AS (SELECT c.project, c.file, CASE WHEN n_old IS NULL THEN n_new ELSE (SELECT count(*) FROM dch x WHERE x.project = c.project AND x.file = c.file AND change = 'added') END AS added,
-    CASE WHEN n_new IS NULL THEN n_old ELSE (SELECT count(*) FROM dch x WHERE x.project = c.project AND x.file = c.file AND change = 'removed') END AS removed,
-    (SELECT count(*) FROM dch x WHERE x.project = c.project AND x.file = c.file AND change = 'modified') AS modified, n_old, n_new FROM cf c)
+    FROM od FULL JOIN nd USING (project, file, kind, name) WHERE a IS NULL OR b IS NULL OR a <> b)
+, dn AS (SELECT project, file, count(*) FILTER (WHERE change = 'added') AS a, count(*) FILTER (WHERE change = 'removed') AS r,
+    count(*) FILTER (WHERE change = 'modified') AS m FROM dch GROUP BY ALL)
+, delta AS (SELECT project, file, CASE WHEN n_old IS NULL THEN n_new ELSE coalesce(a, 0) END AS added,
+    CASE WHEN n_new IS NULL THEN n_old ELSE coalesce(r, 0) END AS removed, coalesce(m, 0) AS modified, n_old, n_new FROM cf LEFT JOIN dn USING (project, file))
 , deltas AS (SELECT project, file, added, removed, modified, CASE WHEN n_old IS NULL OR n_new IS NULL THEN 0 ELSE n_new - added - modified END AS unchanged,
     added + removed + modified > 0 AS has_changes FROM delta)
 """
@@ -229,7 +227,7 @@ R.add(
     "file_fingerprints",
     "old_definitions new_definitions",
     lambda d: tr.file_fingerprints(d["new_definitions"]),
-    SQL_PRINTS + "SELECT project, file, h AS hash, n AS n_items FROM fp WHERE v = 'new'",
+    SQL_PRINTS + "SELECT project, file, h AS hash, n AS n_items FROM fpn",
 )
 R.add(
     "definition_changes",
