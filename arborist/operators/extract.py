@@ -169,7 +169,7 @@ def extract_imports(source_files: DataFrame) -> DataFrame:
         .when(lang == "go", _go_imports(s))
         .when(lang == "rust", _rust_imports(s))
         .when(lang == "java", _dotted_imports(s, r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", ".*"))
-        .when(lang == "kotlin", _dotted_imports(s, r"^\s*import\s+([\w.]+(?:\.\*)?)", ".*"))
+        .when(lang == "kotlin", _dotted_imports(s, r"^\s*import\s+(\w+(?:\.\w+)*(?:\.\*)?)", ".*"))
         .when(lang == "scala", _scala_imports(s))
     )
     # cheap test first, so most lines never reach the full expression

@@ -378,8 +378,8 @@ def community_members(nodes: DataFrame, edges: DataFrame, resolution: float = 1.
     """Community of every file by local modularity moves.
 
     Each round counts every file's edges into the neighbouring communities and
-    moves it to the best one.  Files move in two alternating halves (by hash),
-    which keeps neighbours from swapping places for ever.  Ties go to the least
+    moves it to the best one.  Only half of the files move in a round, a fresh
+    half each time (by hash), which keeps neighbours from swapping for ever.  Ties go to the least
     community name.
     """
     pairs = edges.select("project", "src", "dst")
@@ -408,7 +408,7 @@ def community_members(nodes: DataFrame, edges: DataFrame, resolution: float = 1.
             sigma.select("project", F.col("c").alias("own"), F.col("sigma").alias("own_sigma")), ["project", "own"]
         )
         weight = F.col("k") / (2 * F.col("m")) * resolution
-        scored = own.where(F.pmod(F.xxhash64("node") + F.lit(r), F.lit(2)) == 0).join(links, ["project", "node"]).select(
+        scored = own.where(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0).join(links, ["project", "node"]).select(
             "project",
             "node",
             "c",
@@ -435,7 +435,7 @@ def community_members(nodes: DataFrame, edges: DataFrame, resolution: float = 1.
         )
         quiet = quiet + 1 if state.where("moved").isEmpty() else 0
         state = state.drop("moved")
-        if quiet == 2:
+        if quiet == 4:
             break
     names = state.groupBy("project", "c").agg(F.min("node").alias("community"))
     inside = state.join(names, ["project", "c"]).select("project", F.col("node").alias("file"), "community")

@@ -130,7 +130,7 @@ class _KeepLast(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = list(self.items.get())
         for pdf in rows:
-            held.extend(zip(pdf["at"], pdf["seq"], pdf["text"]))
+            held.extend(zip(pdf["written_at"], pdf["seq"], pdf["text"]))
             held = sorted(((pd.Timestamp(a), int(s), t) for a, s, t in held), key=lambda r: (r[0], r[1]))[-self.keep :]
         self.items.put([(a.to_pydatetime(), s, t) for a, s, t in held])
         yield pd.DataFrame(

@@ -65,7 +65,7 @@ def test_repair(spark):
     f = fields(spark, ("x", text))
     fixed = dg.repair_diagrams(f).first()["fixed"]
     assert fixed == (
-        'graph LR\n  end-node[Stop] --> A["end of → &lt;y&gt;"]\n  A --> end-node %% end\n'
+        'graph LR\n  end-node[Stop] --> A["end of →x &lt;y&gt;"]\n  A --> end-node %% end\n'
         "  classDef entry  fill:#89b4fa,stroke:#89b4fa"
     )
     report = {(r["line"], r["rule"], r["message"][:16]): r["fixed"] for r in dg.repair_report(dg.lint_diagrams(f)).collect()}
