@@ -138,3 +138,10 @@ def test_search(spark):
     assert names == {"persp1/auth": 100, "persp1": 40}
     shown = se.weighted_search(f, "auth", with_snippet=True).first()["snippet"]
     assert "<mark>auth</mark>" in shown
+
+
+def test_load_meta(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"project": "p", "path": "a", "tags": ["x"], "scan_generation": {"mode": "full", "git_commit": "c1"}}\n')
+    row = co.load_meta(spark, str(tmp_path / "m.json")).first()
+    assert (row["path"], row["tags"], row["scan_generation"]["git_commit"], row["source_files"]) == ("a", ["x"], "c1", None)
+    assert "steps" in co.load_meta(spark, str(tmp_path / "m.json"), co.FLOW_SCHEMA).columns
