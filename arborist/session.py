@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: dict[str, str] = {}
-
 # Runtime settings that keep hot keys and small shuffles in hand.  All of them
 # are session-level, so they work on a session somebody else created.
 RUNTIME_CONF = {
@@ -28,24 +28,50 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, as `--py-files` would.
+
+    The archive is built on the driver and served to the executors by Spark.
+    """
+    sc = spark.sparkContext
+    name = f"arborist-{sc.applicationId}.zip"
+    if any(f.endswith(name) for f in sc.listFiles):
+        return spark
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="arborist-"), name)
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(path)
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    The cluster names it in `spark.checkpoint.dir`.  Only a local session may
-    fall back to a temporary folder; a cluster without the setting is an error,
-    since executors cannot read each other's local disks.
+    The cluster names it in `spark.checkpoint.dir`; where that is unset, the
+    tables go below the warehouse folder, which every session has and which a
+    cluster keeps on shared storage as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOT:
-        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="spark-")
-    return _LOCAL_ROOT[app]
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_root(spark)}/arborist-{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a superseded intermediate folder through Spark's own file system layer."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -56,6 +82,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Catalyst plans the next join from real file sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/arborist-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
