@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborist.llm.bpe import bpe_round_trip
 from arborist.llm.chat import rotate_perspectives
 from arborist.llm.common import word_count
 from arborist.llm.curriculum import curriculum_mix
@@ -19,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    digests = bpe_round_trip(docs, ranks, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return digests.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards, written with their texts and read back; law: rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -116,6 +125,7 @@ FROM q GROUP BY conv_id, speaker, part
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_curriculum": op8_curriculum,
