@@ -14,6 +14,7 @@ from arborist.llm.common import word_count
 from arborist.llm.curriculum import curriculum_mix
 from arborist.llm.exact_dedup import exact_dedup
 from arborist.llm.sharding import external_shuffle, record_bytes, write_shards
+from arborist.llm.warc import archive_pages, read_records
 from arborist.session import scratch
 
 
@@ -28,6 +29,31 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, normalised, and read back through the offset index."""
+    folder = scratch(spark, "warc")
+    index = archive_pages(table(spark, sf_dir, "pages"), folder)
+    return read_records(index, f"{folder}/records", payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+SQL_OP3 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS keeper,
+         list_aggregate(list_transform([1, 11, 21, 31], lambda k: translate(
+           to_base(('0x' || h[k:k + 9])::BIGINT, 32, 8),
+           '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), 'string_agg', '') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM d
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards, written with their texts and read back; law: rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -126,9 +152,10 @@ FROM q GROUP BY conv_id, speaker, part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_curriculum": op8_curriculum,
     "op9_chat_rotation": op9_chat_rotation,
 }
-ORACLES: dict[str, str] = {"op5_exact_dedup": SQL_OP5, "op8_curriculum": SQL_OP8, "op9_chat_rotation": SQL_OP9}
+ORACLES: dict[str, str] = {"op3_warc": SQL_OP3, "op5_exact_dedup": SQL_OP5, "op8_curriculum": SQL_OP8, "op9_chat_rotation": SQL_OP9}
