@@ -13,6 +13,7 @@ from arborist.llm.chat import rotate_perspectives
 from arborist.llm.common import word_count
 from arborist.llm.curriculum import curriculum_mix
 from arborist.llm.exact_dedup import exact_dedup
+from arborist.llm.quality import classify, held_out, quality_model
 from arborist.llm.sharding import external_shuffle, record_bytes, write_shards
 from arborist.llm.warc import archive_pages, read_records
 from arborist.session import scratch
@@ -84,6 +85,14 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return classify(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return curriculum_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -155,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality": op7_quality,
     "op8_curriculum": op8_curriculum,
     "op9_chat_rotation": op9_chat_rotation,
 }
