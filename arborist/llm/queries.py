@@ -15,6 +15,7 @@ from arborist.llm.curriculum import curriculum_mix
 from arborist.llm.exact_dedup import exact_dedup
 from arborist.llm.quality import classify, held_out, quality_model
 from arborist.llm.sharding import external_shuffle, record_bytes, write_shards
+from arborist.llm.topk import exact_top_k
 from arborist.llm.warc import archive_pages, read_records
 from arborist.session import scratch
 
@@ -85,6 +86,23 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+SQL_OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model(docs, table(spark, sf_dir, "labels"))
@@ -164,8 +182,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_top_k": op6_top_k,
     "op7_quality": op7_quality,
     "op8_curriculum": op8_curriculum,
     "op9_chat_rotation": op9_chat_rotation,
 }
-ORACLES: dict[str, str] = {"op3_warc": SQL_OP3, "op5_exact_dedup": SQL_OP5, "op8_curriculum": SQL_OP8, "op9_chat_rotation": SQL_OP9}
+ORACLES: dict[str, str] = {"op3_warc": SQL_OP3, "op5_exact_dedup": SQL_OP5, "op6_top_k": SQL_OP6, "op8_curriculum": SQL_OP8, "op9_chat_rotation": SQL_OP9}
