@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 from arborist.llm.common import fresh, from_files, locator
 from arborist.session import cut_lineage, scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, without preallocated files: a store per partition stays as small as its keys;
+#: a batch uploads its changes only.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -43,7 +49,9 @@ def drain(feed_path: str, spark, batch_bytes: str | None = None) -> DataFrame:
     progress are in the shared folder, so a lost executor or driver resumes.
     """
     session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for key, value in STATE_CONF.items():
+        session.conf.set(key, value)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     reader = session.readStream.schema("digest BINARY, id LONG, locator STRING")
     if batch_bytes:
         reader = reader.option("maxBytesPerTrigger", batch_bytes)
