@@ -54,7 +54,8 @@ def source_targets(sources: DataFrame, max_repeats: int = 3) -> DataFrame:
     source's size and the excess is shared again by weight.  In closed form:
     with sources ordered by cap per unit of weight, the first k are at their
     cap and the others share the rest at one rate, k being the least for which
-    no further source is above.  One row per source passes through one task.
+    no further source is above; capping more would only lower the rate, so it
+    is the largest rate that fits.  One row per source passes through one task.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     ranked = sources.withColumn("weight", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("long"))
@@ -71,7 +72,7 @@ def source_targets(sources: DataFrame, max_repeats: int = 3) -> DataFrame:
         }
     ).withColumn("rate", (F.col("total") - F.col("caps_before")) / F.col("weights_left"))
     fits = F.when(ratio >= F.col("rate"), F.col("rate"))
-    return rates.withColumn("level", F.min(fits).over(everything)).select(
+    return rates.withColumn("level", F.max(fits).over(everything)).select(
         "source", "source_size", "rows", "weight", "total", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target")
     )
 
