@@ -13,6 +13,7 @@ from arborist.llm.chat import rotate_perspectives
 from arborist.llm.common import word_count
 from arborist.llm.curriculum import curriculum_mix
 from arborist.llm.exact_dedup import exact_dedup
+from arborist.llm.jaccard import jaccard_join
 from arborist.llm.quality import classify, held_out, quality_model
 from arborist.llm.sharding import external_shuffle, record_bytes, write_shards
 from arborist.llm.topk import exact_top_k
@@ -24,6 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join(docs, width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+SQL_OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^ 	-
+]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM g),
+t AS (SELECT doc_id, unnest(s) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM t a JOIN t b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -132,7 +155,7 @@ rates AS (
   FROM caps WINDOW before AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, source_size,
-         least(cap::DOUBLE, min(CASE WHEN ratio >= rate THEN rate END) OVER () * weight) AS target FROM rates),
+         least(cap::DOUBLE, max(CASE WHEN ratio >= rate THEN rate END) OVER () * weight) AS target FROM rates),
 placed AS (
   SELECT s.*, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS whole,
@@ -178,6 +201,7 @@ FROM q GROUP BY conv_id, speaker, part
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
@@ -187,4 +211,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum": op8_curriculum,
     "op9_chat_rotation": op9_chat_rotation,
 }
-ORACLES: dict[str, str] = {"op3_warc": SQL_OP3, "op5_exact_dedup": SQL_OP5, "op6_top_k": SQL_OP6, "op8_curriculum": SQL_OP8, "op9_chat_rotation": SQL_OP9}
+ORACLES: dict[str, str] = {"op1_jaccard_join": SQL_OP1, "op3_warc": SQL_OP3, "op5_exact_dedup": SQL_OP5, "op6_top_k": SQL_OP6, "op8_curriculum": SQL_OP8, "op9_chat_rotation": SQL_OP9}
