@@ -18,6 +18,7 @@ from arborist.llm.quality import classify, held_out, quality_model
 from arborist.llm.sharding import external_shuffle, record_bytes, write_shards
 from arborist.llm.topk import exact_top_k
 from arborist.llm.warc import archive_pages, read_records
+from arborist.llm.wrappers import extract_main_text
 from arborist.session import scratch
 
 
@@ -200,6 +201,13 @@ SELECT conv_id, speaker, part, count(*) AS n_turns,
 FROM q GROUP BY conv_id, speaker, part
 """
 
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
@@ -210,5 +218,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_curriculum": op8_curriculum,
     "op9_chat_rotation": op9_chat_rotation,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {"op1_jaccard_join": SQL_OP1, "op3_warc": SQL_OP3, "op5_exact_dedup": SQL_OP5, "op6_top_k": SQL_OP6, "op8_curriculum": SQL_OP8, "op9_chat_rotation": SQL_OP9}
