@@ -118,37 +118,25 @@ def definition_hash(name: Column, kind: Column, line: Column, end_line: Column)
     return F.substring(F.md5(F.concat_ws(":", name, kind, line, end_line)), 1, 12)
 
 
-# Largest number of items hashed as one text.
-DIGEST_CHUNK = 100_000
+#: A lane is so many hex digits of an item's hash; their sums make up a set's digest.
+LANE_DIGITS, LANES = 15, 4
 
 
-def ordered_digest(items: DataFrame, keys: list[str], item: str, algorithm: str, chunk: int = DIGEST_CHUNK) -> DataFrame:
-    """Digest of the sorted items of each group joined by newlines.
+def lane_digest(items: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Digest of the items of each group, whatever their order: keys, digest, n_items.
 
-    A group of up to `chunk` items is hashed as one text.  A larger group is
-    split by hash of the item into buckets, each bucket is hashed, and the
-    group's digest is that of its bucket digests in order, so no task ever
-    holds a whole hot group.  Returns keys, digest, n_items.
+    Every item is hashed, the hash is cut into lanes, each lane is summed, and
+    the count and the sums are hashed.  It is one aggregation with partial sums
+    at any size: no list, no sort, nothing that a hot group could overflow.
     """
-    hashed = (lambda c: F.sha2(c, 256)) if algorithm == "sha256" else F.md5
-    counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
-    sized = items.join(counts, keys)
-    buckets = F.ceil(F.col("n_items") / chunk).cast("int")
-    split = sized.withColumn("_bucket", F.pmod(F.xxhash64(item), buckets).cast("int"))
-    per_bucket = split.groupBy(*keys, "n_items", "_bucket").agg(
-        hashed(F.array_join(F.sort_array(F.collect_list(item)), "\n")).alias("_digest")
-    )
-    return per_bucket.groupBy(*keys, "n_items").agg(
-        F.when(F.count(F.lit(1)) == 1, F.first("_digest"))
-        .otherwise(
-            hashed(
-                F.array_join(
-                    F.transform(
-                        F.sort_array(F.collect_list(F.struct("_bucket", "_digest"))), lambda s: s["_digest"]
-                    ),
-                    "\n",
-                )
-            )
-        )
-        .alias("digest")
-    )
+    h = F.sha2(F.col(item), 256)
+    lane = lambda k: F.conv(F.substring(h, 1 + k * LANE_DIGITS, LANE_DIGITS), 16, 10).cast("decimal(20,0)")
+    sums = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), *[F.sum(lane(k)).alias(f"_lane{k}") for k in range(LANES)])
+    digest = F.sha2(F.concat_ws(":", "n_items", *[F.col(f"_lane{k}").cast("string") for k in range(LANES)]), 256)
+    return sums.select(*keys, digest.alias("digest"), "n_items")
+
+
+def sql_lane_digest(item: str) -> str:
+    """`lane_digest` of the rows of a group, as DuckDB SQL."""
+    lane = lambda k: f"CAST(sum(CAST(concat('0x', substring(sha256({item}), {1 + k * LANE_DIGITS}, {LANE_DIGITS})) AS BIGINT)) AS VARCHAR)"
+    return f"sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {', '.join(lane(k) for k in range(LANES))}))"

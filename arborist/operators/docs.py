@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arborist.functions.common import count_rows, half_up
 from arborist.functions.paths import base_of, depth_of, parent_of, trimmed
 from arborist.functions.rules import FIELDS
-from arborist.functions.text import ordered_digest, word_count
+from arborist.functions.text import lane_digest, word_count
 from arborist.operators.diagrams import diagram_edges, diagram_nodes, extract_refs
 
 KEYS = ["project", "path"]
@@ -172,9 +172,9 @@ def element_metrics(elements: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def signature(elements: DataFrame) -> DataFrame:
-    """Structural signature of each project: digest of its sorted element paths."""
+    """Structural signature of each project: digest of its set of element paths."""
     counts = elements.groupBy("project").agg(F.count_if(~F.col("path").contains("/")).alias("perspectives"))
-    digest = ordered_digest(elements.select(*KEYS), ["project"], "path", "sha256")
+    digest = lane_digest(elements.select(*KEYS), ["project"], "path")
     return digest.join(counts, "project").select(
         "project",
         F.concat(F.lit("sha256:"), "digest").alias("signature"),

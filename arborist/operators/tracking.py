@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborist.functions.paths import ancestors_of, normalize_path
-from arborist.functions.text import definition_hash, ordered_digest
+from arborist.functions.text import definition_hash, lane_digest
+from arborist.session import cut_lineage
 from arborist.operators.coverage import glob_matches, orphaned_sources
 
 KEYS = ["project", "path"]
@@ -77,8 +78,10 @@ def plan_incremental(
 
     The files behind a stale element are `change_hits` and `orphaned_sources`;
     an element that tracks nothing is stale with the whole change set, so only
-    its size is given.
+    its size is given.  Without git there are no changes, and the clock decides.
     """
+    if not has_git:
+        changes = changes.where(F.lit(False))
     el = elements.select(
         *KEYS,
         "git_commit",
@@ -185,7 +188,7 @@ def changed_vs_deleted(changes: DataFrame, files: DataFrame, scope: str = "") ->
 def file_fingerprints(definitions: DataFrame) -> DataFrame:
     """Structural hash of each file: (project, file, hash, n_items)."""
     items = definitions.select("project", "file", F.concat_ws(":", "kind", "name", "line", "end_line").alias("item"))
-    return ordered_digest(items, ["project", "file"], "item", "md5").select(
+    return lane_digest(items, ["project", "file"], "item").select(
         "project", "file", F.substring("digest", 1, 16).alias("hash"), "n_items"
     )
 
@@ -198,10 +201,10 @@ def _collapsed(definitions: DataFrame) -> DataFrame:
     )
 
 
-def definition_changes(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """Added, removed and modified definitions of files whose fingerprint changed."""
+def definition_changes(prev: DataFrame, curr: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Added, removed and modified definitions of files whose fingerprint changed (`changed`, where it is known already)."""
     keys = ["project", "file", "kind", "name"]
-    changed = changed_files(prev, curr).select("project", "file", "state")
+    changed = (changed_files(prev, curr) if changed is None else changed).select("project", "file")
     a = _collapsed(prev.join(changed, ["project", "file"], "left_semi")).withColumnRenamed("mark", "a")
     b = _collapsed(curr.join(changed, ["project", "file"], "left_semi")).withColumnRenamed("mark", "b")
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified")
@@ -219,10 +222,11 @@ def changed_files(prev: DataFrame, curr: DataFrame) -> DataFrame:
 
 def fingerprint_deltas(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Per file: added, removed, modified and unchanged definitions.  Unchanged files give no row."""
-    kinds = definition_changes(prev, curr).groupBy("project", "file").agg(
+    changed = cut_lineage(changed_files(prev, curr))
+    kinds = definition_changes(prev, curr, changed).groupBy("project", "file").agg(
         *[F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "modified")]
     )
-    joined = changed_files(prev, curr).join(kinds, ["project", "file"], "left").fillna(0)
+    joined = changed.join(kinds, ["project", "file"], "left").fillna(0)
     c = F.col
     new, gone = c("state") == "new", c("state") == "deleted"
     added = F.when(new, c("n_new")).otherwise(c("added"))

@@ -308,11 +308,11 @@ R.add(
 R.add(
     "affected_tests",
     "edges changes",
-    lambda d: t.affected_files(d["edges"], d["changes"].select("project", F.col("path").alias("file")), 2).where(
+    lambda d: t.affected_files(d["edges"], d["changes"].select("project", F.col("path").alias("file"))).where(
         is_test_file(F.col("file"))
     ),
     """, hit(project, file, depth) AS (SELECT DISTINCT project, path, 0 FROM changes
-        UNION SELECT h.project, e.src, h.depth + 1 FROM hit h JOIN edges e ON h.project = e.project AND h.file = e.dst WHERE h.depth < 2)
+        UNION SELECT h.project, e.src, h.depth + 1 FROM hit h JOIN edges e ON h.project = e.project AND h.file = e.dst WHERE h.depth < 5)
     SELECT project, file, min(depth) AS depth FROM hit WHERE contains(lower(file), 'test') GROUP BY ALL""",
 )
 

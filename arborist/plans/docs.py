@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arborist.functions.text import sql_lane_digest
 from arborist.operators import diagrams as dg
 from arborist.operators import docs as dc
 from arborist.operators import history as hs
@@ -349,7 +350,7 @@ R.add(
     "signature",
     "elements",
     lambda d: dc.signature(d["elements"]),
-    """SELECT project, concat('sha256:', sha256(string_agg(path, chr(10) ORDER BY path))) AS signature, count(*) AS element_count,
+    f"""SELECT project, concat('sha256:', {sql_lane_digest('path')}) AS signature, count(*) AS element_count,
        count(*) FILTER (WHERE NOT contains(path, '/')) AS perspectives FROM elements GROUP BY project""",
 )
 _stored = lambda d: dc.signature(d["elements"].where("path NOT LIKE 'es%'")).select("project", "signature")
@@ -357,8 +358,8 @@ R.add(
     "check_signature",
     "elements",
     lambda d: dc.check_signature(d["elements"], _stored(d)),
-    """, cur AS (SELECT project, concat('sha256:', sha256(string_agg(path, chr(10) ORDER BY path))) AS signature FROM elements GROUP BY project)
-    , sto AS (SELECT project, concat('sha256:', sha256(string_agg(path, chr(10) ORDER BY path))) AS stored FROM elements WHERE NOT starts_with(path, 'es') GROUP BY project)
+    f""", cur AS (SELECT project, concat('sha256:', {sql_lane_digest('path')}) AS signature FROM elements GROUP BY project)
+    , sto AS (SELECT project, concat('sha256:', {sql_lane_digest('path')}) AS stored FROM elements WHERE NOT starts_with(path, 'es') GROUP BY project)
     SELECT project, signature, stored, CASE WHEN stored IS NULL THEN 'unset' WHEN stored = signature THEN 'ok' ELSE 'stale' END AS state FROM cur LEFT JOIN sto USING (project)""",
 )
 R.add(

@@ -17,7 +17,7 @@ from arborist.functions.paths import (
     resolve_relative,
     stem_of,
 )
-from arborist.functions.text import edit_distance, search_tokens, snippet, word_count
+from arborist.functions.text import edit_distance, search_tokens, snippet, sql_lane_digest, word_count
 from arborist.operators import coverage as cv
 from arborist.operators import extract as ex
 from arborist.operators import graph as g
@@ -181,10 +181,10 @@ R.add("plan_incremental", "meta changes files", _plan, SQL_PLAN + "SELECT * FROM
 R.add(
     "plan_without_git",
     "meta changes files",
-    lambda d: tr.plan_incremental(d["meta"], d["changes"].where(F.lit(False)), d["files"], has_git=False).where("status = 'stale'").select(*KEYS, "reasons"),
-    SQL_ORPHANS + """, newer AS (SELECT DISTINCT e.project, e.path FROM el_files e JOIN files f ON f.project = e.project AND f.path = e.file WHERE f.mtime > e.updated)
-      SELECT DISTINCT project, path, 'orphaned_source' AS reasons FROM orph
-      UNION ALL SELECT project, path, 'source_file_mtime' FROM newer n WHERE NOT EXISTS (SELECT 1 FROM orph o WHERE o.project = n.project AND o.path = n.path)""",
+    lambda d: tr.plan_incremental(d["meta"], d["changes"], d["files"], has_git=False),
+    ", no_changes AS (SELECT * FROM changes WHERE false)"
+    + SQL_PLAN.replace("JOIN changes", "JOIN no_changes").replace("e.git_commit IS NULL AND f.mtime", "f.mtime")
+    + "SELECT * FROM plan",
 )
 R.add(
     "changed_only",
@@ -208,8 +208,8 @@ R.add(
 )
 _SQL_ITEM = "concat(kind, ':', name, ':', line, ':', end_line)"
 SQL_PRINTS = f"""
-, fpo AS (SELECT project, file, substring(md5(string_agg({_SQL_ITEM}, chr(10) ORDER BY {_SQL_ITEM})), 1, 16) AS h, count(*) AS n FROM old_definitions GROUP BY project, file)
-, fpn AS (SELECT project, file, substring(md5(string_agg({_SQL_ITEM}, chr(10) ORDER BY {_SQL_ITEM})), 1, 16) AS h, count(*) AS n FROM new_definitions GROUP BY project, file)
+, fpo AS (SELECT project, file, substring({sql_lane_digest(_SQL_ITEM)}, 1, 16) AS h, count(*) AS n FROM old_definitions GROUP BY project, file)
+, fpn AS (SELECT project, file, substring({sql_lane_digest(_SQL_ITEM)}, 1, 16) AS h, count(*) AS n FROM new_definitions GROUP BY project, file)
 , cf AS (SELECT project, file, o.n AS n_old, w.n AS n_new FROM fpo o FULL JOIN fpn w USING (project, file) WHERE o.h IS NULL OR w.h IS NULL OR o.h <> w.h)
 , od AS (SELECT project, file, kind, name, max(line * 100000 + end_line) AS a FROM old_definitions GROUP BY ALL)
 , nd AS (SELECT project, file, kind, name, max(line * 100000 + end_line) AS b FROM new_definitions GROUP BY ALL)
@@ -468,11 +468,13 @@ R.add(
         "doc_id",
         word_count(F.col("text")).alias("words"),
         F.size(search_tokens(F.col("text"))).alias("tokens"),
-        edit_distance(F.regexp_replace(F.lower(F.substring_index("text", " ", 1)), "[^a-z]", ""), F.lit("the"), 3).alias("distance"),
+        F.array_min(F.transform(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: edit_distance(w, F.lit("their")))).alias("distance"),
+        F.size(F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: edit_distance(w, F.lit("the"), 1) >= 0)).alias("near_words"),
     ),
     """SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS words,
        CAST(len(list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s_-]', ' ', 'g'), '[\\s_-]+'), lambda t: length(t) >= 2))) AS INTEGER) AS tokens,
-       CAST(CASE WHEN levenshtein(regexp_replace(lower(split_part(text, ' ', 1)), '[^a-z]', '', 'g'), 'the') <= 3 THEN levenshtein(regexp_replace(lower(split_part(text, ' ', 1)), '[^a-z]', '', 'g'), 'the') ELSE -1 END AS INTEGER) AS distance FROM docs""",
+       CAST(list_min(list_transform(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: levenshtein(w, 'their'))) AS INTEGER) AS distance,
+       CAST(len(list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: levenshtein(w, 'the') <= 1)) AS INTEGER) AS near_words FROM docs""",
 )
 R.add("snippet", "docs", lambda d: d["docs"].select("doc_id", snippet(F.col("text"), "the or").alias("snippet")))
 
@@ -616,10 +618,18 @@ R.add(
     SQL_GLOBS + """SELECT e.project, e.path AS element, c.path FROM el_files e JOIN changes c ON c.project = e.project AND c.path = e.file
       UNION SELECT e.project, e.path, c.path FROM gx e JOIN changes c ON c.project = e.project AND regexp_matches(c.path, e.rx)""",
 )
+
+
+def _live_history(d):
+    """The stream's operator, on a batch frame: the state of every element after all its writes."""
+    return st.live_history(d["writes"].where("field = 'diagram'").select(*KEYS, "text", "seq", "written_at"))
+
+
 R.add(
     "live_history",
     "writes",
-    lambda d: hs.change_log(d["writes"].where("field = 'diagram'"), 20).select(*KEYS, "age"),
-    """SELECT project, path, CAST(age AS INTEGER) AS age FROM (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY seq DESC) AS age FROM writes WHERE field = 'diagram') x WHERE age <= 20""",
+    lambda d: _live_history(d),
+    """SELECT project, path, CAST(age AS INTEGER) AS age, text FROM (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY written_at DESC, seq DESC) AS age
+       FROM writes WHERE field = 'diagram') x WHERE age <= 20""",
 )
 

@@ -153,8 +153,9 @@ def live_history(writes: DataFrame, keep: int = 20) -> DataFrame:
     """Bounded history per element, re-emitted whenever the element changes (update mode).
 
     State never holds more than `keep` writes of an element.  Needs the
-    RocksDB state store.
+    RocksDB state store.  A batch frame gives every element's history once.
     """
+    _ = writes.sparkSession.streams.active  # starts the coordinator that state stores report to
     return writes.groupBy("project", "path").transformWithStateInPandas(
         statefulProcessor=_KeepLast(keep), outputStructType=HISTORY_SCHEMA, outputMode="Update", timeMode="None"
     )
