@@ -1,4 +1,4 @@
-"""Extraction from source text: imports, exports, routes and Python definitions.
+"""Extraction from source text: imports, exports and routes.
 
 Source text is split into statements inside the row (an array), then one
 explode and a handful of native regular expressions per language do the work.
@@ -10,14 +10,13 @@ Patterns are data (`Rule` tables), so a caller can pass more of them.
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from arborist.functions.paths import language_of, resolve_relative, trimmed
 
@@ -281,7 +280,10 @@ def extract_exports(source_files: DataFrame, lexical: bool = False, rules: Seque
 
 @dataclass(frozen=True)
 class RouteRule:
-    """Web framework pattern: file-name test, expression, groups of method / path / handler."""
+    """Web framework pattern: file-name test, expression on one line, groups of method / path / handler.
+
+    A call names its handler itself; a decorator's is the next definition.
+    """
 
     framework: str
     files: str
@@ -291,9 +293,11 @@ class RouteRule:
     handler: int | None
     path_prefix: str = ""
     default_handler: str = "anonymous"
+    decorator: bool = False
 
 
 _STR = r"[\"']([^\"']+)[\"']"
+# Frameworks, their calls and decorators, and HTTP verbs.
 ROUTE_RULES: list[RouteRule] = [
     RouteRule(
         "express",
@@ -303,143 +307,85 @@ ROUTE_RULES: list[RouteRule] = [
         2,
         3,
     ),
-    RouteRule("django", r"urls\.py$", rf"(?<![\w.])(?:path|re_path|url)\(\s*r?{_STR.replace('+', '*')}\s*,\s*([\w.]+)", None, 1, 2, "/", "unknown"),
-    RouteRule(
-        "flask",
-        r"\.py$",
-        rf"^\s*@(?:app|bp|blueprint)\.(route|get|post|put|patch|delete)\(\s*{_STR}.*?\n(?:\s*@[^\n]*\n)*\s*(?:async\s+)?def\s+(\w+)",
-        1,
-        2,
-        3,
-    ),
-    RouteRule(
-        "fastapi",
-        r"\.py$",
-        rf"^\s*@(?:app|router)\.(get|post|put|patch|delete)\(\s*{_STR}.*?\n(?:\s*@[^\n]*\n)*\s*(?:async\s+)?def\s+(\w+)",
-        1,
-        2,
-        3,
-    ),
-    RouteRule(
-        "spring",
-        r"\.java$",
-        rf"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*(?:value\s*=\s*)?{_STR}.*?\n(?:\s*@[^\n]*\n)*[^\n(]*?(\w+)\s*\(",
-        1,
-        2,
-        3,
-    ),
-    RouteRule(
-        "nestjs",
-        r"\.ts$",
-        rf"@(Get|Post|Put|Delete|Patch|All)\(\s*{_STR}\s*\)(?:\s*@[^\n]*\n)*\s*(?:(?:async|public|private|protected)\s+)*(\w+)?",
-        1,
-        2,
-        3,
-    ),
+    RouteRule("django", r"urls\.py$", r"(?<![\w.])(?:path|re_path|url)\(\s*r?[\"']([^\"']*)[\"']\s*,\s*([\w.]+)", None, 1, 2, "/", "unknown"),
+    RouteRule("flask", r"\.py$", rf"^\s*@(?:app|bp|blueprint)\.(route|get|post|put|patch|delete)\(\s*{_STR}", 1, 2, None, decorator=True),
+    RouteRule("fastapi", r"\.py$", rf"^\s*@(?:app|router)\.(get|post|put|patch|delete)\(\s*{_STR}", 1, 2, None, decorator=True),
+    RouteRule("spring", r"\.java$", rf"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*(?:value\s*=\s*)?{_STR}", 1, 2, None, decorator=True),
+    RouteRule("nestjs", r"\.ts$", rf"@(Get|Post|Put|Delete|Patch|All)\(\s*{_STR}", 1, 2, None, decorator=True),
     RouteRule("gin", r"\.go$", r"\.(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s*\(\s*\"([^\"]*)\"", 1, 2, None, "", "handler"),
 ]
 
+_DECORATORS = r"^\s*(?:@[\w.]+(?:\([^)]*\))?\s*)+"
+_NOT_A_NAME = r"(?!(?:return|new|throw|else|if|for|while|switch|catch|await|super|assert|do|try)\b)"
+# Definitions by file type: name of a method or function; classes apart.
+_DEFINES = {
+    r"\.py$": r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)",
+    r"\.java$": rf"^\s*{_NOT_A_NAME}(?:[\w<>\[\],.?]+\s+)+(\w+)\s*\(",
+    r"\.ts$": rf"^\s*(?:(?:async|public|private|protected|static|override)\s+)*{_NOT_A_NAME}(\w+)\s*[(<]",
+}
+_CLASS = r"^\s*(?:(?:export|default|abstract|public|private|protected|static|final|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)"
+
+
+def _routes(r: RouteRule, text: Column, handler: Column | None = None) -> Column:
+    """Routes that one rule finds on a line, as an array of rows."""
+    take = lambda k: F.regexp_extract_all(text, F.lit(r.pattern), F.lit(k))
+    parts = F.arrays_zip(take(r.path).alias("p"), take(r.method or r.path).alias("m"), take(r.handler or r.path).alias("h"))
+
+    def row(x: Column) -> Column:
+        method = F.upper(x["m"]) if r.method else F.lit("ANY")
+        named = (F.nullif(x["h"], F.lit("")) if r.handler else F.lit(None).cast("string")) if handler is None else handler
+        return F.struct(
+            F.when(method == "ROUTE", "ANY").otherwise(method).alias("method"),
+            F.concat(F.lit(r.path_prefix), x["p"]).alias("path"),
+            F.coalesce(named, F.lit(r.default_handler)).alias("handler"),
+            F.lit(r.framework).alias("framework"),
+        )
+
+    return F.transform(parts, row)
+
 
 def extract_routes(source_files: DataFrame, rules: Sequence[RouteRule] = tuple(ROUTE_RULES)) -> DataFrame:
     """HTTP routes of seven frameworks.  Detectors are gated by file name; a file may match several.
 
-    A decorator line is read together with the lines below it, which hold its
-    handler, so the reported line is the one the route starts on.
+    A call gives a row each time it stands on a line.  A decorator is matched on
+    its own line and takes its handler from the next definition, which one
+    ordered pass over the decorators and definitions of the file finds; a
+    Spring mapping on a class gives no row.
     """
-    lines = F.split("content", "\n")
-    windows = F.transform(
-        lines,
-        lambda x, i: F.when(x.contains("@"), F.array_join(F.slice(lines, i + 1, F.size(lines)), "\n")).otherwise(x),
-    )
-    st = source_files.select("project", F.col("path").alias("file"), F.posexplode(windows).alias("pos", "text"))
+    none = F.array().cast("array<struct<method:string,path:string,handler:string,framework:string>>")
     file, text = F.col("file"), F.col("text")
-    first = F.substring_index(text, "\n", 1)
-
-    def hits(r: RouteRule) -> Column:
-        own_line = r.handler is None or r.framework in ("express", "django")
-        source = first if own_line else text
-        multi = "(?m)" if r.pattern.startswith("^") else ""
-        starts = F.lit(True)
-        if not own_line:
-            # the match must begin on the first line of the window
-            head = r.pattern.split(r".*?\n")[0].split(r"(?:\s*@")[0]
-            starts = first.rlike(head)
-        pattern = multi + r.pattern
-        method = F.upper(F.regexp_extract(source, pattern, r.method)) if r.method else F.lit("ANY")
-        method = F.when(method.isin("ROUTE"), "ANY").otherwise(method)
-        handler = F.regexp_extract(source, pattern, r.handler) if r.handler else F.lit("")
-        row = F.struct(
-            method.alias("method"),
-            F.concat(F.lit(r.path_prefix), F.regexp_extract(source, pattern, r.path)).alias("path"),
-            F.when(handler == "", r.default_handler).otherwise(handler).alias("handler"),
-            F.lit(r.framework).alias("framework"),
-        )
-        return F.when(file.rlike(r.files) & starts & source.rlike(pattern), row)
-
-    found = F.array_compact(F.array(*[hits(r) for r in rules]))
-    likely = first.rlike(r"[(@]")
-    return st.where(likely).select("project", "file", (F.col("pos") + 1).alias("line"), F.inline(found)).select(
-        "project", "file", "method", "path", "handler", "line", "framework"
+    lines = source_files.select("project", F.col("path").alias("file"), F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    out = ["project", "file", "method", "path", "handler", "line", "framework"]
+
+    calls = [r for r in rules if not r.decorator]
+    by_call = F.concat(*[F.when(file.rlike(r.files) & text.rlike(r.pattern), _routes(r, text)).otherwise(none) for r in calls]) if calls else none
+    called = lines.where(text.contains("(")).select("project", "file", (F.col("pos") + 1).alias("line"), F.inline(by_call))
+
+    decorators = [r for r in rules if r.decorator]
+    if not decorators:
+        return called.select(*out)
+    bare = F.regexp_replace(text, _DECORATORS, "")
+    in_class = F.nullif(F.regexp_extract(bare, _CLASS, 1), F.lit(""))
+    name = F.lit(None).cast("string")
+    for files, pattern in _DEFINES.items():
+        name = F.when(file.rlike(files), F.nullif(F.regexp_extract(bare, pattern, 1), F.lit(""))).otherwise(name)
+    defined = F.when(F.coalesce(in_class, name).isNotNull(), F.struct(F.coalesce(in_class, name).alias("name"), in_class.isNotNull().alias("is_class")))
+    marked = lines.where(F.lit(False) | reduce(or_, [file.rlike(r.files) for r in decorators])).withColumn("defined", defined)
+    marked = marked.where(F.col("defined").isNotNull() | text.contains("@"))
+    upwards = Window.partitionBy("project", "file").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = marked.withColumn("next", F.last("defined", ignorenulls=True).over(upwards)).where(text.contains("@"))
+    hits = F.concat(
+        *[
+            F.when(
+                file.rlike(r.files) & text.rlike(r.pattern) & (F.coalesce(~F.col("next.is_class"), F.lit(False)) if r.framework == "spring" else F.lit(True)),
+                _routes(r, text, F.col("next.name")),
+            ).otherwise(none)
+            for r in decorators
+        ]
     )
+    decorated = ahead.select("project", "file", (F.col("pos") + 1).alias("line"), F.inline(hits))
+    return called.unionByName(decorated).select(*out)
 
 
 def route_summary(routes: DataFrame) -> DataFrame:
     return routes.groupBy("project", "framework").agg(F.count(F.lit(1)).alias("routes"))
-
-
-# ---- Python definitions ---------------------------------------------------------------
-
-DEFINITION_SCHEMA = T.StructType(
-    [
-        T.StructField("project", T.StringType()),
-        T.StructField("file", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("line", T.IntegerType()),
-        T.StructField("end_line", T.IntegerType()),
-        T.StructField("exported", T.BooleanType()),
-        T.StructField("methods", T.ArrayType(T.StringType())),
-        T.StructField("error", T.StringType()),
-    ]
-)
-
-
-def _methods(node: ast.ClassDef) -> list[str]:
-    return [n.name for n in node.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-
-
-def _definitions(text: str) -> Iterator[tuple]:
-    tree = ast.parse(text)
-    top = {id(n) for n in tree.body}
-    for n in ast.walk(tree):
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            name = f"async {n.name}" if isinstance(n, ast.AsyncFunctionDef) else n.name
-            yield name, "function", n.lineno, n.end_lineno, id(n) in top and not n.name.startswith("_"), None
-        elif isinstance(n, ast.ClassDef):
-            yield n.name, "class", n.lineno, n.end_lineno, id(n) in top and not n.name.startswith("_"), _methods(n)
-        elif isinstance(n, (ast.Assign, ast.AnnAssign)) and id(n) in top:
-            target = n.targets[0] if isinstance(n, ast.Assign) else n.target
-            if isinstance(target, ast.Name) and not target.id.startswith("_"):
-                yield target.id, "variable", n.lineno, n.end_lineno, True, None
-
-
-def extract_python_definitions(source_files: DataFrame) -> DataFrame:
-    """Functions, classes and module variables with exact lines; a failed parse gives a row with `error`."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = DEFINITION_SCHEMA.fieldNames()
-        for pdf in batches:
-            rows = []
-            for project, path, content in zip(pdf["project"], pdf["path"], pdf["content"]):
-                try:
-                    rows.extend((project, path, *d, None) for d in _definitions(content))
-                except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((project, path, None, None, None, None, None, None, str(e)))
-            out = pd.DataFrame(rows, columns=names)
-            for col in ("line", "end_line"):
-                out[col] = out[col].astype("Int32")
-            out["exported"] = out["exported"].astype("boolean")
-            yield out
-
-    python = source_files.where(language_of(F.col("path")) == "python").select("project", "path", "content")
-    return python.mapInPandas(parse, DEFINITION_SCHEMA)

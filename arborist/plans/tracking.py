@@ -513,55 +513,62 @@ R.add(
 )
 
 
-def _web(d):
-    """Every line item as a route declaration of its project, in the style its file name asks for."""
-    name = F.concat(F.lit("r"), F.col("src_id"))
-    body = F.concat(F.lit("app.get('/"), name, F.lit("', handlers.h"), F.col("partkey"), F.lit(");"))
-    lines = d["uses"].select("project", F.concat(F.lit("src/routes"), F.col("dst_id"), F.lit(".js")).alias("path"), body.alias("line"))
-    return lines.groupBy("project", "path").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("content"))
+#: Route declarations in the style of each framework: file ending, lines above, text of one declaration ({r}: path, {h}: handler).
+_STYLES = [
+    ("express", ".js", "", "app.get('/{r}', handlers.{h}); app.post('/{r}', x, y);"),
+    ("django", "urls.py", "urlpatterns = [", "    path('{r}', views.{h}),"),
+    ("flask", "f.py", "from flask import x", "@bp.route('/{r}')\n# who asks\n@login\ndef {h}(a):\n    return a"),
+    ("fastapi", "a.py", "from fastapi import x", "@router.put('/{r}')\nasync def {h}(a):\n    return a"),
+    ("spring", ".java", '@RequestMapping("/api")\npublic class Routes {{', '  @GetMapping("/{r}")\n  // note\n  public String {h}(int a) {{ return b(a); }}'),
+    ("nestjs", ".ts", "@Controller('x')\nexport class Routes {{", "  @Post('/{r}')\n  async {h}(a) {{ return a; }}"),
+    ("gin", ".go", "package x", '  r.GET("/{r}", {h})'),
+]
+_VERB = {"express": "GET", "django": "ANY", "flask": "ANY", "fastapi": "PUT", "spring": "GET", "nestjs": "POST", "gin": "GET"}
 
 
-_SQL_ROUTES = """
-, web AS (SELECT project, concat('src/routes', dst_id, '.js') AS file, concat('/r', src_id) AS path, concat('h', partkey) AS handler,
-    row_number() OVER (PARTITION BY project, dst_id ORDER BY concat('app.get(''/r', src_id, ''', handlers.h', partkey, ');')) AS line FROM uses)
+def _web(d):
+    """Every line item as a route declaration of its project, in one of the frameworks' styles."""
+
+    def pick(value):
+        out = F.lit("")
+        for k, style in enumerate(_STYLES):
+            out = F.when(F.col("dst_id") % len(_STYLES) == k, value(style)).otherwise(out)
+        return out
+
+    name, handler = F.concat(F.lit("r"), F.col("src_id")), F.concat(F.lit("h"), F.col("partkey"))
+    text = pick(lambda s: F.replace(F.replace(F.lit(s[3].replace("{{", "{").replace("}}", "}")), F.lit("{r}"), name), F.lit("{h}"), handler))
+    path = F.concat(F.lit("src/routes"), F.col("dst_id"), pick(lambda s: F.lit(s[1])))
+    head = pick(lambda s: F.lit(s[2].replace("{{", "{").replace("}}", "}")))
+    rows = d["uses"].select("project", path.alias("path"), head.alias("head"), text.alias("text"))
+    body = F.array_join(F.sort_array(F.collect_list("text")), "\n")
+    return rows.groupBy("project", "path", "head").agg(body.alias("body")).select("project", "path", F.concat_ws("\n", "head", "body").alias("content"))
+
+
+def _sql_web() -> str:
+    """The same declarations as rows: framework, file, path, handler and line."""
+    quote = lambda x: "'" + x.replace("{{", "{").replace("}}", "}").replace("'", "''") + "'"
+    cases = lambda value: "CASE dst_id % 7 " + " ".join(f"WHEN {k} THEN {value(s)}" for k, s in enumerate(_STYLES)) + " END"
+    text = cases(lambda s: f"replace(replace({quote(s[3])}, '{{r}}', concat('r', src_id)), '{{h}}', concat('h', partkey))")
+    start = cases(lambda s: f"{s[2].count(chr(10)) + 1} + (n - 1) * {s[3].count(chr(10)) + 1} + 1")
+    return f"""
+, texts AS (SELECT project, dst_id, src_id, partkey, row_number() OVER (PARTITION BY project, dst_id ORDER BY {text}) AS n FROM uses)
+, web AS (SELECT project, concat('src/routes', dst_id, {cases(lambda s: quote(s[1]))}) AS file, {cases(lambda s: quote(s[0]))} AS framework,
+    concat('/r', src_id) AS path, CASE WHEN dst_id % 7 = 1 THEN concat('views.h', partkey) WHEN dst_id % 7 = 6 THEN 'handler' ELSE concat('h', partkey) END AS handler,
+    CAST({start} AS INTEGER) AS line, {cases(lambda s: quote(_VERB[s[0]]))} AS method FROM texts
+  UNION ALL SELECT project, concat('src/routes', dst_id, '.js'), 'express', concat('/r', src_id), 'x', CAST(n + 1 AS INTEGER), 'POST' FROM texts WHERE dst_id % 7 = 0)
 """
+
+
 R.add(
     "extract_routes",
     "uses",
-    lambda d: ex.extract_routes(_web(d)),
-    _SQL_ROUTES + "SELECT project, file, 'GET' AS method, path, handler, CAST(line AS INTEGER) AS line, 'express' AS framework FROM web",
+    lambda d: ex.extract_routes(_web(d)), _sql_web() + "SELECT project, file, method, path, handler, line, framework FROM web",
 )
 R.add(
     "route_summary",
     "uses",
     lambda d: ex.route_summary(ex.extract_routes(_web(d))),
-    _SQL_ROUTES + "SELECT project, 'express' AS framework, count(*) AS routes FROM web GROUP BY ALL",
-)
-
-
-def _python(d):
-    """Every project file as a Python module with one function or class per definition."""
-    stmt = F.when(
-        F.col("kind") == "class", F.concat(F.lit("class "), "name", F.lit(":\n    def run(self):\n        return 1\n"))
-    ).otherwise(F.concat(F.lit("def "), "name", F.lit("(a):\n    return a\n")))
-    rows = d["exports"].where("name <> 'default'").select(
-        "project", F.regexp_replace("file", r"\.[^.]+$", ".py").alias("path"), F.struct("name", stmt.alias("stmt")).alias("s")
-    )
-    return rows.groupBy("project", "path").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["stmt"]), "").alias("content")
-    )
-
-
-R.add(
-    "extract_python_definitions",
-    "exports",
-    lambda d: ex.extract_python_definitions(_python(d)).select(
-        "project", "file", "name", "kind", (F.col("end_line") - F.col("line")).alias("span"), "exported", F.array_join("methods", ",").alias("methods")
-    ),
-    """, p AS (SELECT project, regexp_replace(file, '\\.[^.]+$', '.py') AS file, name, kind FROM exports WHERE name <> 'default')
-       SELECT project, file, name, CASE WHEN kind = 'class' THEN 'class' ELSE 'function' END AS kind, CAST(CASE WHEN kind = 'class' THEN 2 ELSE 1 END AS INTEGER) AS span,
-         true AS exported, CASE WHEN kind = 'class' THEN 'run' END AS methods FROM p
-       UNION ALL SELECT project, file, 'run', 'function', 1, false, NULL FROM p WHERE kind = 'class'""",
+    _sql_web() + "SELECT project, framework, count(*) AS routes FROM web GROUP BY ALL",
 )
 
 

@@ -58,14 +58,6 @@ def test_exports_by_language(spark):
     assert exports(spark, "m.scala", "object O\ntrait T\nprivate class P") == [(1, "O", "class"), (2, "T", "interface")]
 
 
-def test_python_definitions(spark):
-    text = "async def a():\n    pass\n\nclass C:\n    def m(self):\n        pass\n\nX = 1\n_y = 2\n"
-    df = ex.extract_python_definitions(source(spark, **{"m.py": text, "bad.py": "def ("}))
-    ok = sorted((r["line"], r["name"], r["kind"], r["end_line"], r["exported"]) for r in df.where("error IS NULL").collect())
-    assert ok == [(1, "async a", "function", 2, True), (4, "C", "class", 6, True), (5, "m", "function", 6, False), (8, "X", "variable", 8, True)]
-    assert df.where("error IS NOT NULL").count() == 1
-
-
 def test_routes(spark):
     df = ex.extract_routes(
         source(
@@ -88,6 +80,27 @@ def test_routes(spark):
     ]
 
 
+def routes(spark, name, text):
+    found = ex.extract_routes(source(spark, **{name: text})).collect()
+    return sorted((r["line"], r["framework"], r["method"], r["path"], r["handler"]) for r in found)
+
+
+def test_decorators_take_their_own_handler(spark):
+    java = '@RequestMapping("/api")\npublic class C {\n  @GetMapping("/x")\n  // note\n  public String x() { return y(1); }\n  @PostMapping("/y")\n  // a comment\n  void y(int a) {}\n  @DeleteMapping("/z") void z() {}\n}'
+    assert routes(spark, "C.java", java) == [(3, "spring", "GET", "/x", "x"), (6, "spring", "POST", "/y", "y"), (9, "spring", "DELETE", "/z", "z")]
+    py = '@router.get("/a")\n# why\ndef a():\n    pass\n\n@router.post("/b")\nasync def b():\n    pass\n@bp.route("/c")\nclass View:\n    pass\n'
+    assert routes(spark, "m.py", py) == [(1, "fastapi", "GET", "/a", "a"), (6, "fastapi", "POST", "/b", "b"), (9, "flask", "ANY", "/c", "View")]
+    assert routes(spark, "a.js", "app.get('/x', c.x); app.post('/y', y)\napp.all('/z', (q) => q)") == [
+        (1, "express", "GET", "/x", "x"), (1, "express", "POST", "/y", "y"), (2, "express", "ALL", "/z", "anonymous")
+    ]
+
+
+def test_routes_in_a_long_file(spark):
+    text = "".join(f"@app.get('/r{k}')\n# c\ndef h{k}():\n    pass\n" for k in range(4000))
+    found = routes(spark, "m.py", text)
+    assert len(found) == 8000 and all(r[3] == f"/r{r[0] // 4}" and r[4] == f"h{r[0] // 4}" for r in found)
+
+
 def test_scan_ignore_and_elements(spark, tmp_path):
     tree = {
         "p/src/a.ts": "x", "p/src/b.min.js": "x", "p/dist/c.ts": "x", "p/.hid/d.ts": "x", "p/README.md": "x",
