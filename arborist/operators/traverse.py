@@ -1,19 +1,54 @@
 """Iterative graph jobs: reachability, paths, cycles, components, communities, order.
 
-Each round is a join over the edge table whose result is written to the shared
-folder and read back, so the plan never grows and a lost executor re-reads
-files.  The only thing the driver looks at is whether a round's table is empty.
+Each round is a join over the edge table whose result is appended to one folder
+of the shared storage and read back, so a plan holds one scan of what has been
+reached whatever the round, and a lost executor re-reads files.  Tables that a
+round replaces are deleted.  The only thing the driver looks at is whether a
+round's table is empty.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborist.functions.common import count_rows, half_up2
-from arborist.session import cut_lineage
+from arborist.session import cut_lineage, drop_path, scratch
+
+
+class _Levels:
+    """Tables of one schema, appended level by level to one folder and read as one table with a `level` column."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.path, self.count = spark, schema, scratch(spark, "levels"), 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Store a level (numbered from 1) and return it as stored."""
+        self.count += 1
+        path = f"{self.path}/level={self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
+class _Latest:
+    """A table that each round replaces; the one before is deleted."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, ""
+        self.put(df)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        old, self.path = self.path, scratch(self.spark, "round")
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if old:
+            drop_path(self.spark, old)
+        return self.df
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -31,20 +66,20 @@ def _spread(steps: DataFrame, start: DataFrame, keys: list[str], max_depth: int
 
     The start is not marked, so it comes back iff it lies on a cycle.
     """
+    columns = [*keys, "node"]
+    seen = _Levels(start.sparkSession, ", ".join(f"`{c}` STRING" for c in columns))
     frontier = start.select(*keys, F.col("node").alias("a"))
-    seen: list[DataFrame] = []
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
+    while max_depth is None or seen.count < max_depth:
         reached = frontier.join(steps, ["project", "a"]).select(*keys, F.col("b").alias("node")).distinct()
-        if seen:
-            reached = reached.join(_union(seen).select(*keys, "node"), [*keys, "node"], "left_anti")
-        level = cut_lineage(reached.withColumn("depth", F.lit(depth)))
+        if seen.count:
+            reached = reached.join(seen.all().select(*columns), columns, "left_anti")
+        level = seen.add(reached)
         if level.isEmpty():
             break
-        seen.append(level)
         frontier = level.select(*keys, F.col("node").alias("a"))
-    return _union(seen) if seen else start.select(*keys, "node", F.lit(0).alias("depth")).where(F.lit(False))
+    if not seen.count:
+        return start.select(*columns, F.lit(0).alias("depth")).where(F.lit(False))
+    return seen.all().select(*columns, F.col("level").cast("int").alias("depth"))
 
 
 def closure(
@@ -107,37 +142,33 @@ def affected_files(edges: DataFrame, changed: DataFrame, depth: int = 5) -> Data
 # ---- paths ------------------------------------------------------------------
 
 
-def shortest_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One fewest-edge path per pair (project, src, dst); ties to the least path."""
-    steps = cut_lineage(directed(edges, "forward"))
-    wanted = cut_lineage(pairs.select("project", "src", "dst").distinct())
+def _least_paths(steps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(project, src, dst, path): for each wanted pair with a way, the fewest edges, then the least path."""
     keys = ["project", "src"]
-    found = [
-        wanted.where("src = dst").select("project", "src", "dst", F.array("src").alias("path"))
-    ]
-    frontier = (
+    columns = [*keys, "node"]
+    seen = _Levels(steps.sparkSession, "project STRING, src STRING, node STRING, path ARRAY<STRING>")
+    frontier = seen.add(
         wanted.where("src <> dst").select("project", "src", F.col("src").alias("node"), F.array("src").alias("path")).distinct()
     )
-    seen = [frontier.select(*keys, "node")]
-    while True:
+    while not frontier.isEmpty():
         nxt = (
             frontier.join(steps.withColumnRenamed("a", "node"), ["project", "node"])
             .groupBy(*keys, "b")
             .agg(F.min(F.concat("path", F.array("b"))).alias("path"))
             .withColumnRenamed("b", "node")
-            .join(_union(seen), [*keys, "node"], "left_anti")
+            .join(seen.all().select(*columns), columns, "left_anti")
         )
-        level = cut_lineage(nxt)
-        if level.isEmpty():
-            break
-        seen.append(level.select(*keys, "node"))
-        found.append(
-            level.join(wanted.withColumnRenamed("dst", "node"), [*keys, "node"]).select(
-                "project", "src", F.col("node").alias("dst"), "path"
-            )
-        )
-        frontier = level
-    return _union(found).select("project", "src", "dst", (F.size("path") - 1).alias("length"), F.array_join("path", " > ").alias("path"))
+        frontier = seen.add(nxt.select(*columns, "path"))
+    here = wanted.where("src = dst").select("project", "src", "dst", F.array("src").alias("path"))
+    there = seen.all().where("node <> src").select("project", "src", F.col("node").alias("dst"), "path")
+    return here.unionByName(there.join(wanted, ["project", "src", "dst"], "left_semi"))
+
+
+def shortest_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One fewest-edge path per pair (project, src, dst); ties to the least path."""
+    steps = cut_lineage(directed(edges, "forward"))
+    found = _least_paths(steps, cut_lineage(pairs.select("project", "src", "dst").distinct()))
+    return found.select("project", "src", "dst", (F.size("path") - 1).alias("length"), F.array_join("path", " > ").alias("path"))
 
 
 def _simple_paths(steps: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
@@ -192,68 +223,75 @@ def all_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFra
 # ---- components and cycles ----------------------------------------------------
 
 
-def _trim(steps: DataFrame, rounds: int) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: no way in, or no way out."""
-    before = steps.count()
-    for _ in range(rounds):
-        kept = steps.join(steps.select("project", F.col("b").alias("a")).distinct(), ["project", "a"], "left_semi").join(
-            steps.select("project", F.col("a").alias("b")).distinct(), ["project", "b"], "left_semi"
+def _trim(steps: DataFrame) -> DataFrame:
+    """Drop edges that cannot lie on a cycle: no way in, or no way out, until all that are left have both."""
+    held = _Latest(steps)
+    before = held.df.count()
+    while before:
+        kept = held.df.join(held.df.select("project", F.col("b").alias("a")).distinct(), ["project", "a"], "left_semi").join(
+            held.df.select("project", F.col("a").alias("b")).distinct(), ["project", "b"], "left_semi"
         )
-        steps = cut_lineage(kept.select("project", "a", "b"))
-        after = steps.count()
+        after = held.put(kept.select("project", "a", "b")).count()
         if after == before:
             break
         before = after
-    return steps
+    return held.df
+
 
+#: Steps that a label is pushed before the round is stored.
+PUSHES = 4
 
-def cyclic_components(edges: DataFrame, trim_rounds: int = 6) -> DataFrame:
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
     """Components with more than one file: (project, node, component), named by a member.
 
     Edges are trimmed, then each round gives every node the least label among
     the nodes that reach it; a label's own node and what can go back to it
-    inside that label is one component.  Those nodes leave, the rest goes on.
+    inside that label is one component.  A component never spans two labels, so
+    the next round works on the edges within a label alone.  Labels are hashes
+    of the names: however the components are chained, a label's share of the
+    chain is cut at a random place, so the number of rounds is expected to grow
+    with the logarithm of the chain.
     """
-    live = _trim(cut_lineage(directed(edges, "forward")), trim_rounds)
-    done: list[DataFrame] = []
+    live = _trim(directed(edges, "forward").where("a <> b"))
+    done = _Levels(edges.sparkSession, "project STRING, node STRING, component STRING")
+    rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))
     while not live.isEmpty():
         ends = live.select("project", F.explode(F.array("a", "b")).alias("node")).distinct()
-        label = cut_lineage(ends.withColumn("label", F.col("node")))
+        held = _Latest(ends.withColumn("label", rank))
         while True:
-            push = label.withColumnRenamed("node", "a").join(live, ["project", "a"]).select(
-                "project", F.col("b").alias("node"), "label"
-            )
-            # `was` is filled by the node's own row only, so one pass tells what moved
-            moved = (
-                label.withColumn("was", F.col("label"))
-                .unionByName(push.withColumn("was", F.lit(None).cast("string")))
-                .groupBy("project", "node")
-                .agg(F.min("label").alias("label"), F.max("was").alias("was"))
-            )
-            step = cut_lineage(moved)
-            label = step.select("project", "node", "label")
+            moved = held.df.withColumn("was", F.col("label"))
+            for _ in range(PUSHES):
+                push = moved.select("project", F.col("node").alias("a"), "label").join(live, ["project", "a"]).select(
+                    "project", F.col("b").alias("node"), "label", F.lit(None).cast(moved.schema["was"].dataType).alias("was")
+                )
+                # `was` is filled by the node's own row only, so one pass tells what moved
+                moved = moved.unionByName(push).groupBy("project", "node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+            step = held.put(moved)
             if step.where("label <> was").isEmpty():
                 break
+            held.df = step.select("project", "node", "label")
+        label = held.df.select("project", "node", F.col("label.node").alias("label"))
         # edges inside one label, walked backwards from the label's own node
         inner = (
             live.join(label.select("project", F.col("node").alias("a"), F.col("label").alias("la")), ["project", "a"])
             .join(label.select("project", F.col("node").alias("b"), F.col("label").alias("lb")), ["project", "b"])
             .where("la = lb")
         )
-        inner = cut_lineage(inner.select("project", F.col("b").alias("a"), F.col("a").alias("b")))
+        inner = cut_lineage(inner.select("project", "a", "b"))
         roots = label.where("node = label").select("project", "node", F.col("node").alias("component"))
-        back = _spread(inner, roots, ["project", "component"], None)
-        part = cut_lineage(
+        back = _spread(inner.select("project", F.col("b").alias("a"), F.col("a").alias("b")), roots, ["project", "component"], None)
+        part = done.add(
             back.select("project", "node", "component").unionByName(roots.select("project", "node", "component")).distinct()
         )
-        done.append(part)
         gone = part.select("project", "node")
-        rest = live.join(gone.withColumnRenamed("node", "a"), ["project", "a"], "left_anti").join(
+        rest = inner.join(gone.withColumnRenamed("node", "a"), ["project", "a"], "left_anti").join(
             gone.withColumnRenamed("node", "b"), ["project", "b"], "left_anti"
         )
-        live = _trim(cut_lineage(rest.select("project", "a", "b")), trim_rounds)
-    empty = edges.select("project", F.col("src").alias("node"), F.col("src").alias("component")).where(F.lit(False))
-    found = _union(done) if done else empty
+        live = _trim(rest.select("project", "a", "b"))
+    if not done.count:
+        return edges.select("project", F.col("src").alias("node"), F.col("src").alias("component")).where(F.lit(False))
+    found = done.all().select("project", "node", "component")
     sizes = count_rows(found, "project", "component").where("n > 1")
     return cut_lineage(found.join(sizes.select("project", "component"), ["project", "component"], "left_semi"))
 
@@ -270,15 +308,14 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
-    """Import cycles, one per set of files, written from the least file.
+def cycles(edges: DataFrame) -> DataFrame:
+    """Import cycles: for each edge inside a component the shortest, least way back, written from the least file.
 
-    Only edges inside one component take part, and a walk only visits files
-    greater than its start, so every cycle is walked once.  `max_len` bounds
-    the length; by default walks go on until none is left.
+    Every edge on a cycle is on one of them, and there are no more of them than
+    such edges, however dense a component is.
     """
     comp = cyclic_components(edges)
-    steps = directed(edges, "forward")
+    steps = directed(edges, "forward").where("a <> b")
     inner = (
         steps.join(comp.select("project", F.col("node").alias("a"), F.col("component").alias("ca")), ["project", "a"])
         .join(comp.select("project", F.col("node").alias("b"), F.col("component").alias("cb")), ["project", "b"])
@@ -286,34 +323,11 @@ def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
         .select("project", "a", "b")
     )
     inner = cut_lineage(inner)
-    walks = inner.where("b > a").select("project", F.col("a").alias("start"), F.col("b").alias("a"), F.array("a", "b").alias("path"))
-    found: list[DataFrame] = []
-    length = 2
-    while max_len is None or length <= max_len:
-        grown = walks.join(inner, ["project", "a"]).where(
-            (F.col("b") == F.col("start")) | ((F.col("b") > F.col("start")) & ~F.array_contains("path", F.col("b")))
-        )
-        level = cut_lineage(
-            grown.select(
-                "project",
-                "start",
-                (F.col("b") == F.col("start")).alias("closed"),
-                F.col("b").alias("a"),
-                F.when(F.col("b") == F.col("start"), F.col("path")).otherwise(F.concat("path", F.array("b"))).alias("path"),
-            )
-        )
-        if level.isEmpty():
-            break
-        found.append(level.where("closed").select("project", "path"))
-        walks = level.where("NOT closed").drop("closed")
-        length += 1
-    if not found:
-        found = [inner.select("project", F.array("a").alias("path")).where(F.lit(False))]
-    return (
-        _union(found)
-        .groupBy("project", F.array_sort("path").alias("members"))
-        .agg(F.min("path").alias("path"))
-        .select("project", F.size("path").alias("length"), F.array_join("path", " > ").alias("cycle"))
+    found = _least_paths(inner, inner.select("project", F.col("b").alias("src"), F.col("a").alias("dst")))
+    at = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", at, F.size("path")), F.slice("path", 1, at - 1))
+    return found.select("project", turned.alias("path")).distinct().select(
+        "project", F.size("path").alias("length"), F.array_join("path", " > ").alias("cycle")
     )
 
 
@@ -327,48 +341,34 @@ def guided_tour(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     cycle and come last.
     """
     steps = cut_lineage(directed(edges, "forward"))
-    indeg = count_rows(steps, "project", "b", name="left").withColumnRenamed("b", "file")
+    indeg = count_rows(steps, "project", "b", name="need").withColumnRenamed("b", "file")
     outdeg = count_rows(steps, "project", "a", name="out").withColumnRenamed("a", "file")
-    state = cut_lineage(
-        nodes.select("project", "file")
-        .distinct()
-        .join(indeg, ["project", "file"], "left")
-        .join(outdeg, ["project", "file"], "left")
-        .fillna(0, ["left", "out"])
-        .withColumn("entry", F.col("left") == 0)
+    files = cut_lineage(
+        nodes.select("project", "file").distinct().join(indeg, ["project", "file"], "left").join(outdeg, ["project", "file"], "left").fillna(0, ["need", "out"])
     )
-    done: list[DataFrame] = []
-    depth = 0
-    while True:
-        ready = state.where("left = 0")
-        if ready.isEmpty():
-            break
-        done.append(ready.withColumn("depth", F.lit(depth)))
-        paid = (
-            ready.select("project", F.col("file").alias("a"))
-            .join(steps, ["project", "a"])
-            .groupBy("project", F.col("b").alias("file"))
-            .agg(F.count(F.lit(1)).alias("paid"))
-        )
-        state = cut_lineage(
-            state.where("left > 0")
-            .join(paid, ["project", "file"], "left")
-            .select("project", "file", (F.col("left") - F.coalesce("paid", F.lit(0))).alias("left"), "out", "entry")
+    spark = nodes.sparkSession
+    read = _Levels(spark, "project STRING, file STRING")
+    paid = _Levels(spark, "project STRING, file STRING, n LONG")
+    ready = read.add(files.where("need = 0").select("project", "file"))
+    while not ready.isEmpty():
+        # only the files that the frontier imports are looked at; what earlier levels paid is added up
+        new = (
+            ready.withColumnRenamed("file", "a").join(steps, ["project", "a"]).groupBy("project", F.col("b").alias("file")).agg(F.count(F.lit(1)).alias("n"))
         )
-        depth += 1
-    last = _union(done).groupBy("project").agg((F.max("depth") + 1).alias("depth")) if done else None
+        touched = paid.add(new).select("project", "file")
+        total = paid.all().join(touched, ["project", "file"], "left_semi").groupBy("project", "file").agg(F.sum("n").alias("n"))
+        ready = read.add(total.join(files, ["project", "file"]).where("n = need").select("project", "file"))
+    done = read.all().select("project", "file", (F.col("level").cast("int") - 1).alias("depth"))
+    last = done.groupBy("project").agg((F.max("depth") + 1).alias("depth"))
     reason = F.concat_ws(
         ", ",
-        F.when(F.col("entry"), "entry point"),
+        F.when(F.col("need") == 0, "entry point"),
         F.when(F.col("out") > 3, F.concat(F.lit("connects to "), F.col("out"), F.lit(" modules"))),
     )
-    rest = state.select("project", "file")
-    rest = rest.join(last, "project", "left") if last is not None else rest.withColumn("depth", F.lit(0))
+    rest = files.join(done, ["project", "file"], "left_anti").select("project", "file").join(last, "project", "left")
     rest = rest.select("project", "file", F.coalesce("depth", F.lit(0)).alias("depth"), F.lit("in cycle").alias("reason"))
-    if not done:
-        return rest
-    read = _union(done).select("project", "file", "depth", F.when(reason == "", "dependency").otherwise(reason).alias("reason"))
-    return read.unionByName(rest)
+    told = files.join(done, ["project", "file"]).select("project", "file", "depth", F.when(reason == "", "dependency").otherwise(reason).alias("reason"))
+    return told.unionByName(rest)
 
 
 # ---- communities ----------------------------------------------------------------
@@ -380,7 +380,7 @@ def community_members(nodes: DataFrame, edges: DataFrame, resolution: float = 1.
     Each round counts every file's edges into the neighbouring communities and
     moves it to the best one.  Only half of the files move in a round, a fresh
     half each time (by hash), which keeps neighbours from swapping for ever.  Ties go to the least
-    community name.
+    community name.  It ends after `rounds` passes, or when no file anywhere gains by a move.
     """
     pairs = edges.select("project", "src", "dst")
     k = (
@@ -394,9 +394,10 @@ def community_members(nodes: DataFrame, edges: DataFrame, resolution: float = 1.
         .unionByName(pairs.select("project", F.col("dst").alias("node"), F.col("src").alias("other")))
         .distinct()
     )
-    state = cut_lineage(k.join(m, "project").select("project", "node", "k", "m", F.col("node").alias("c")))
-    quiet = 0
-    for r in range(rounds * 2):
+    held = _Latest(k.join(m, "project").select("project", "node", "k", "m", F.col("node").alias("c")))
+
+    def moves(state: DataFrame, who: Column) -> DataFrame:
+        """(project, node, to) of the files `who` that gain by moving."""
         sigma = state.groupBy("project", "c").agg(F.sum("k").alias("sigma"))
         links = (
             around.join(state.select("project", F.col("node").alias("other"), "c"), ["project", "other"])
@@ -408,7 +409,7 @@ def community_members(nodes: DataFrame, edges: DataFrame, resolution: float = 1.
             sigma.select("project", F.col("c").alias("own"), F.col("sigma").alias("own_sigma")), ["project", "own"]
         )
         weight = F.col("k") / (2 * F.col("m")) * resolution
-        scored = own.where(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0).join(links, ["project", "node"]).select(
+        scored = own.where(who).join(links, ["project", "node"]).select(
             "project",
             "node",
             "c",
@@ -418,7 +419,7 @@ def community_members(nodes: DataFrame, edges: DataFrame, resolution: float = 1.
             .alias("gain"),
             (-(F.col("own_sigma") - F.col("k")) * weight).alias("alone"),
         )
-        best = (
+        return (
             scored.groupBy("project", "node")
             .agg(
                 F.min_by(F.struct("c", "gain"), F.struct((-F.col("gain")).alias("g"), F.col("c").alias("c"))).alias("b"),
@@ -428,15 +429,14 @@ def community_members(nodes: DataFrame, edges: DataFrame, resolution: float = 1.
             .where(F.col("b.gain") > F.coalesce("stay", "alone") + 1e-12)
             .select("project", "node", F.col("b.c").alias("to"))
         )
-        state = cut_lineage(
-            state.join(best, ["project", "node"], "left").select(
-                "project", "node", "k", "m", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")
-            )
-        )
-        quiet = quiet + 1 if state.where("moved").isEmpty() else 0
-        state = state.drop("moved")
-        if quiet == 4:
+
+    for r in range(rounds * 2):
+        state = held.df
+        best = cut_lineage(moves(state, F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0))
+        if best.isEmpty() and moves(state, F.lit(True)).isEmpty():
             break
+        held.put(state.join(best, ["project", "node"], "left").select("project", "node", "k", "m", F.coalesce("to", "c").alias("c")))
+    state = held.df
     names = state.groupBy("project", "c").agg(F.min("node").alias("community"))
     inside = state.join(names, ["project", "c"]).select("project", F.col("node").alias("file"), "community")
     return (

@@ -55,7 +55,10 @@ SQL_CYCLES = """
     SELECT w.project, w.start, e.dst, list_append(w.path, w.node), e.dst = w.start
     FROM walks w JOIN edges e ON w.project = e.project AND w.node = e.src
     WHERE NOT w.closed AND e.dst >= w.start AND NOT list_contains(list_append(w.path, w.node)[2:], e.dst))
-, all_cycles AS (SELECT project, list_sort(path) AS members, min(path) AS path FROM walks WHERE closed GROUP BY ALL)
+, simple AS (SELECT DISTINCT project, path FROM walks WHERE closed)
+, turned AS (SELECT project, path[i] AS a, list_concat(path[i + 1:], path[:i]) AS way FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM simple) x)
+, least AS (SELECT project, way FROM (SELECT *, row_number() OVER (PARTITION BY project, a, way[1] ORDER BY len(way), way) AS rn FROM turned) x WHERE rn = 1)
+, all_cycles AS (SELECT DISTINCT project, list_concat(way[list_position(way, list_min(way)):], way[:list_position(way, list_min(way)) - 1]) AS path FROM least)
 """
 
 
@@ -250,20 +253,24 @@ R.add(
 
 # ---- reachability ---------------------------------------------------------------------
 
-_nodes_as_seeds = lambda d: d["node_files"].select("project", F.col("file").alias("seed"))
+# Starts are chosen, as a caller would: the hotspots of each project, or what has changed.
 _hot_seeds = lambda d: g.hotspots(d["edges"]).select("project", F.col("file").alias("seed"))
+_changed_seeds = lambda d: d["changes"].select("project", F.col("path").alias("seed")).distinct()
+SQL_HOT = SQL_DEG + """
+, hot AS (SELECT project, file FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY fan_in DESC, file) AS rn FROM deg WHERE fan_in > 0) x WHERE rn <= 20)
+"""
 
 R.add(
     "transitive_dependencies",
     "edges",
-    lambda d: t.transitive_dependencies(d["edges"], _nodes_as_seeds(d)).select("project", "seed", "node"),
-    SQL_REACH + "SELECT project, seed, node FROM reach",
+    lambda d: t.transitive_dependencies(d["edges"], _hot_seeds(d)).select("project", "seed", "node"),
+    SQL_HOT + SQL_REACH + "SELECT project, seed, node FROM reach SEMI JOIN hot ON hot.project = reach.project AND hot.file = reach.seed",
 )
 R.add(
     "transitive_dependents",
     "edges",
-    lambda d: t.transitive_dependents(d["edges"], _nodes_as_seeds(d)).select("project", "seed", "node"),
-    SQL_REACH + "SELECT project, node AS seed, seed AS node FROM reach",
+    lambda d: t.transitive_dependents(d["edges"], _hot_seeds(d)).select("project", "seed", "node"),
+    SQL_HOT + SQL_REACH + "SELECT project, node AS seed, seed AS node FROM reach SEMI JOIN hot ON hot.project = reach.project AND hot.file = reach.node",
 )
 SQL_STEPS = """
 , steps(project, seed, node, depth) AS (
@@ -275,17 +282,23 @@ SQL_STEPS = """
 R.add(
     "closure",
     "edges",
-    lambda d: t.closure(d["edges"], _nodes_as_seeds(d), "forward", 4).select("project", "seed", "node", "depth"),
-    SQL_STEPS.format(seed="src", node="dst", bound=4) + "SELECT project, seed, node, depth FROM nearest",
+    lambda d: t.closure(d["edges"], _hot_seeds(d), "forward", 4).select("project", "seed", "node", "depth"),
+    SQL_HOT + SQL_STEPS.format(seed="src", node="dst", bound=4) + "SELECT project, seed, node, depth FROM nearest SEMI JOIN hot ON hot.project = nearest.project AND hot.file = nearest.seed",
+)
+R.add(
+    "closure_unbounded",
+    "edges changes",
+    lambda d: t.closure(d["edges"], _changed_seeds(d), "reverse").select("project", "seed", "node", "depth"),
+    SQL_STEPS.format(seed="dst", node="src", bound=60) + "SELECT project, seed, node, depth FROM nearest SEMI JOIN changes ON changes.project = nearest.project AND changes.path = nearest.seed",
 )
 R.add(
     "change_impact",
-    "edges node_files",
-    lambda d: t.change_impact(d["edges"], _nodes_as_seeds(d)),
+    "edges changes",
+    lambda d: t.change_impact(d["edges"], _changed_seeds(d)),
     SQL_STEPS.format(seed="dst", node="src", bound=60)
-    + """SELECT n.project, n.file AS seed, count(depth) FILTER (WHERE depth = 1) AS direct,
+    + """SELECT n.project, n.path AS seed, count(depth) FILTER (WHERE depth = 1) AS direct,
       count(depth) FILTER (WHERE depth > 1) AS transitive, CAST(coalesce(max(depth), 0) AS INTEGER) AS impact_depth, count(depth) AS total_affected
-      FROM node_files n LEFT JOIN nearest x ON n.project = x.project AND n.file = x.seed AND x.node <> x.seed GROUP BY ALL""",
+      FROM (SELECT DISTINCT project, path FROM changes) n LEFT JOIN nearest x ON n.project = x.project AND n.path = x.seed AND x.node <> x.seed GROUP BY ALL""",
 )
 R.add(
     "change_set_impact",
