@@ -407,7 +407,8 @@ def set_links(
     chunked = cut_lineage(
         placed.join(weights.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     )
-    members = chunked.join(texts, chunked["rep"] == texts["id"]).select("node", "block", "chunk", "chunks", "text")
+    # The side without texts grows with the data; it is shuffled at every size, never broadcast.
+    members = chunked.hint("merge").join(texts, chunked["rep"] == texts["id"]).select("node", "block", "chunk", "chunks", "text")
     tasks = max(1, -(-total // TASK_SHINGLES))
     inner = cut_lineage(block_links(members, width, num, den, tasks))
     split = chunked.where("chunks > 1")
