@@ -9,6 +9,8 @@ from arborist.functions.paths import is_test_file, language_of
 from arborist.functions.rules import SUMMARY_LAYERS, VIOLATION_LAYERS
 from arborist.operators import graph as g
 from arborist.operators import traverse as t
+from arborist.operators.diagrams import diagram_edges, undocumented_dependencies
+from arborist.plans.docs import SQL_UNDOCUMENTED, sql_diagrams
 from arborist.plans.registry import Registry
 
 R = Registry()
@@ -90,12 +92,27 @@ R.add(
        SELECT project, language, files, lines, bytes,
           floor(bytes / sum(bytes) OVER (PARTITION BY project) * 10000 + 0.5) / 100 AS percentage FROM per""",
 )
+
+
+def _mixed_files(d):
+    """Sources, and a text file in an unknown language beside some of them."""
+    other = d["source_files"].where(F.col("path").contains("m1")).withColumn("path", F.regexp_replace("path", r"\.[^.]+$", ".md"))
+    return d["source_files"].unionByName(other)
+
+
+def _failed_files(d):
+    return d["source_files"].where(F.col("path").contains("m7")).select("project", F.col("path").alias("file"))
+
+
 R.add(
     "run_counts",
-    "source_files",
-    lambda d: g.run_counts(d["source_files"]),
-    """SELECT project, count(*) AS total_files, count(*) AS analyzed_files, CAST(0 AS BIGINT) AS skipped_files,
-       CAST(0 AS BIGINT) AS error_files FROM source_files GROUP BY ALL""",
+    "source_files docs",
+    lambda d: g.run_counts(_mixed_files(d), _failed_files(d)),
+    """, mixed AS (SELECT project, path FROM source_files UNION ALL SELECT project, regexp_replace(path, '\\.[^.]+$', '.md') FROM source_files WHERE contains(path, 'm1'))
+    , bad AS (SELECT DISTINCT project, path FROM source_files WHERE contains(path, 'm7'))
+    SELECT m.project, count(*) AS total_files, count(*) FILTER (WHERE NOT ends_with(m.path, '.md') AND b.path IS NULL) AS analyzed_files,
+      count(*) FILTER (WHERE ends_with(m.path, '.md')) AS skipped_files, count(b.path) AS error_files
+    FROM mixed m LEFT JOIN bad b ON b.project = m.project AND b.path = m.path GROUP BY m.project""",
 )
 
 # ---- degrees -------------------------------------------------------------------
@@ -402,9 +419,11 @@ R.add(
 R.add("communities", "edges node_files", lambda d: t.communities(t.community_members(d["node_files"], d["edges"]), d["edges"]))
 R.add(
     "fitness",
-    "edges node_files",
-    lambda d: g.fitness(d["node_files"], d["edges"], t.cycles(d["edges"])),
-    SQL_DEG + SQL_VIOLATIONS + SQL_CYCLES + f"""
+    "edges node_files fields",
+    lambda d: g.fitness(
+        d["node_files"], d["edges"], t.cycles(d["edges"]), undocumented_dependencies(d["edges"], diagram_edges(d["fields"]))
+    ),
+    SQL_DEG + SQL_VIOLATIONS + SQL_CYCLES + sql_diagrams("fields") + SQL_UNDOCUMENTED + f"""
     , modules AS (SELECT project, {SQL_DIR.format('file')} AS dir FROM node_files GROUP BY ALL HAVING count(*) >= 2)
     , flow AS (SELECT project, {SQL_DIR.format('src')} AS dir,
         count(*) FILTER (WHERE {SQL_DIR.format('src')} = {SQL_DIR.format('dst')}) AS i, count(*) AS t FROM edges GROUP BY ALL)
@@ -413,11 +432,12 @@ R.add(
     , n AS (SELECT p.project, coalesce(c, 1.0) AS c,
         coalesce((SELECT max(fan_in) FROM deg d WHERE d.project = p.project), 0) AS mf,
         (SELECT count(*) FROM viol v WHERE v.project = p.project AND j > i + 1) AS lv,
-        (SELECT count(*) FROM all_cycles a WHERE a.project = p.project) AS cy
+        (SELECT count(*) FROM all_cycles a WHERE a.project = p.project) AS cy,
+        (SELECT count(*) FROM undoc u WHERE u.project = p.project) AS ud
         FROM (SELECT DISTINCT project FROM node_files) p LEFT JOIN coh ON p.project = coh.project)
     , q AS (SELECT project, greatest(0, 20 - 2 * cy) AS circular_deps, CAST(floor(c * 20 + 0.5) AS BIGINT) AS cohesion,
-        greatest(0, 20 - 2 * greatest(0, mf - 5)) AS coupling, greatest(0, 20 - lv) AS layer_purity, CAST(20 AS BIGINT) AS doc_accuracy,
+        greatest(0, 20 - 2 * greatest(0, mf - 5)) AS coupling, greatest(0, 20 - lv) AS layer_purity, greatest(0, 20 - ud) AS doc_accuracy,
         cy AS cycles_found, CAST(floor(c * 100 + 0.5) AS BIGINT) AS avg_cohesion_pct, mf AS max_fan_in, lv AS layer_violation_count,
-        CAST(0 AS BIGINT) AS undocumented_deps FROM n)
+        ud AS undocumented_deps FROM n)
     SELECT *, least(100, circular_deps + cohesion + coupling + layer_purity + doc_accuracy) AS overall FROM q""",
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arborist.functions.rules import CLASSDEF_PALETTE
 from arborist.functions.text import sql_lane_digest
 from arborist.operators import diagrams as dg
 from arborist.operators import docs as dc
@@ -122,6 +123,7 @@ def _sql_unbalanced(expr: str) -> str:
 
 _DECL = "(?i)^(graph|flowchart)\\s+(LR|RL|TD|TB|BT)\\s*$"
 _DIRECTIVE = "(?i)^(graph|flowchart|classDef|class |click |style |linkStyle|subgraph|end$|%%)"
+_SQL_PALETTE = ", ".join(f"('{n}', '{a}', '{c}')" for n, attrs in CLASSDEF_PALETTE.items() for a, c in attrs.items())
 SQL_LINT = (
     sql_diagrams("fields")
     + SQL_REFS
@@ -133,29 +135,38 @@ SQL_LINT = (
       list_concat(quoted, flatten(list_transform(list_filter(regexp_split_to_array(regexp_replace(concat(line,
         CASE WHEN (length(line) - length(replace(line, '"', ''))) % 2 = 1 THEN '"' ELSE '' END), '"[^"]*"', chr(1), 'g'), chr(1)), lambda x: x <> ''),
         lambda x: regexp_extract_all(x, '[\\[(\\{{]([^\\]\\}})]*)[\\]\\}})]', 1)))) AS labels FROM bare)
+, tops AS (SELECT DISTINCT project, path FROM elements WHERE NOT contains(path, '/'))
 , lint AS (
-    SELECT project, path, 1 AS line, 'graph-declaration' AS rule FROM (SELECT DISTINCT project, path FROM fields WHERE field = 'diagram') f
+    SELECT project, path, 1 AS line, 'error' AS level, 'graph-declaration' AS rule, 'Diagram must start with a graph/flowchart direction declaration' AS message
+      FROM (SELECT DISTINCT project, path FROM fields WHERE field = 'diagram') f
       WHERE NOT EXISTS (SELECT 1 FROM dlines l WHERE l.project = f.project AND l.path = f.path AND regexp_matches(l.line, '{_DECL}')
         AND l.line_no = (SELECT min(m.line_no) FROM dlines m WHERE m.project = f.project AND m.path = f.path))
-    UNION ALL SELECT project, path, line_no, 'balanced-brackets' FROM bare WHERE {_sql_unbalanced('unquoted')}
-    UNION ALL SELECT project, path, line_no, 'reserved-word' FROM (SELECT project, path, line_no,
+    UNION ALL SELECT project, path, line_no, 'error', 'balanced-brackets', concat('Unbalanced brackets on line: ', line) FROM bare WHERE {_sql_unbalanced('unquoted')}
+    UNION ALL SELECT project, path, line_no, 'error', 'reserved-word', concat('Node ID "', id, '" is a reserved keyword') FROM (SELECT project, path, line_no,
         unnest(regexp_extract_all(regexp_replace(unquoted, '', '', 'g'), '\\b(\\w+)\\s*[\\[(\\{{]', 1)) AS id FROM bare WHERE NOT starts_with(line, 'classDef ')) r
       WHERE lower(id) IN ('graph', 'flowchart', 'subgraph', 'end', 'class', 'click', 'style', 'direction', 'interpolate')
-    UNION ALL SELECT project, path, line_no, 'special-char-label' FROM marks WHERE NOT cd AND len(list_filter(labels, lambda x: contains(x, '@'))) > 0
-    UNION ALL SELECT project, path, line_no, 'special-char-label' FROM marks WHERE NOT cd AND len(list_filter(labels, lambda x: contains(x, '<') AND contains(x, '>'))) > 0
-    UNION ALL SELECT project, path, line_no, 'edge-label' FROM dlines WHERE regexp_matches(line, '-->|==>|-.->')
+    UNION ALL SELECT project, path, line_no, 'warning', 'special-char-label', concat('Label contains @: ', line) FROM marks
+      WHERE NOT cd AND len(list_filter(labels, lambda x: contains(x, '@'))) > 0
+    UNION ALL SELECT project, path, line_no, 'warning', 'special-char-label', concat('Label contains <>: ', line) FROM marks
+      WHERE NOT cd AND len(list_filter(labels, lambda x: contains(x, '<') AND contains(x, '>'))) > 0
+    UNION ALL SELECT project, path, line_no, 'warning', 'edge-label', concat('Edge without label: ', line) FROM dlines WHERE regexp_matches(line, '-->|==>|-.->')
       AND NOT regexp_matches(line, '{_DIRECTIVE}') AND NOT regexp_matches(line, '\\|.*?\\|')
-    UNION ALL SELECT project, path, line_no, 'classdef-name' FROM dlines WHERE regexp_matches(line, '(?i)^classDef\\s+(\\S+)\\s+(.+)$')
-      AND regexp_extract(line, '(?i)^classDef\\s+(\\S+)', 1) NOT IN ('external', 'concern', 'entry', 'store')
-    UNION ALL SELECT project, path, line_no, 'classdef-color' FROM dlines WHERE line = 'classDef external fill:#000000,stroke:#585b70'
-    UNION ALL SELECT project, path, NULL, 'node-count' FROM dnodes GROUP BY project, path HAVING count(*) < 3 OR count(*) > 15
-    UNION ALL SELECT project, source_class, NULL, 'ref-self' FROM refs WHERE source_class = target_class
-    UNION ALL SELECT project, source_class, NULL, 'ref-exists' FROM refs r WHERE source_class <> target_class
-      AND NOT EXISTS (SELECT 1 FROM elements e WHERE e.project = r.project AND e.path = r.target_class AND NOT contains(e.path, '/'))
-    UNION ALL SELECT project, source_class, NULL, 'potential-circular-ref' FROM refs r WHERE NOT contains(source_class, '/')
-      AND EXISTS (SELECT 1 FROM elements e WHERE e.project = r.project AND e.path = r.target_class AND NOT contains(e.path, '/'))
-    UNION ALL SELECT DISTINCT project, source_class, CAST(NULL AS INTEGER), 'perspective-cross-ref' FROM refs r WHERE NOT contains(source_class, '/')
-      AND EXISTS (SELECT 1 FROM elements e WHERE e.project = r.project AND e.path = r.target_class AND NOT contains(e.path, '/')))
+    UNION ALL SELECT project, path, line_no, 'warning', 'classdef-name', concat('Unknown classDef name ', regexp_extract(line, '(?i)^classDef\\s+(\\S+)', 1)) FROM dlines
+      WHERE regexp_matches(line, '(?i)^classDef\\s+(\\S+)\\s+(.+)$') AND regexp_extract(line, '(?i)^classDef\\s+(\\S+)', 1) NOT IN ('external', 'concern', 'entry', 'store')
+    UNION ALL SELECT c.project, c.path, c.line_no, 'warning', 'classdef-color', concat('classDef "', c.name, '" has ', regexp_replace(c.pair, '\\s', '', 'g'), ', expected ', p.color)
+      FROM (SELECT project, path, line_no, regexp_extract(line, '(?i)^classDef\\s+(\\S+)\\s+(.+)$', 1) AS name,
+              unnest(regexp_extract_all(regexp_extract(line, '(?i)^classDef\\s+(\\S+)\\s+(.+)$', 2), '(\\w+\\s*:\\s*#[0-9a-fA-F]{{3,8}})', 1)) AS pair FROM dlines) c
+      JOIN (VALUES {_SQL_PALETTE}) p(name, attr, color) ON p.name = c.name AND p.attr = regexp_extract(c.pair, '^(\\w+)', 1)
+      WHERE p.color <> lower(regexp_extract(c.pair, '(#.*)$', 1))
+    UNION ALL SELECT project, path, NULL, 'warning', 'node-count', concat(count(*), ' nodes (recommended: 5-15)') FROM dnodes GROUP BY project, path HAVING count(*) < 3 OR count(*) > 15
+    UNION ALL SELECT project, source_class, NULL, 'error', 'ref-self', concat('Diagram references its own class: @', target_class) FROM refs WHERE source_class = target_class
+    UNION ALL SELECT project, source_class, NULL, 'error', 'ref-exists', concat('No such perspective: @', target_class) FROM refs r WHERE source_class <> target_class
+      AND NOT EXISTS (SELECT 1 FROM tops e WHERE e.project = r.project AND e.path = r.target_class)
+    UNION ALL SELECT project, source_class, NULL, 'warning', 'potential-circular-ref', concat('Check for a circular dependency with @', target_class) FROM refs r
+      WHERE NOT contains(source_class, '/') AND EXISTS (SELECT 1 FROM tops e WHERE e.project = r.project AND e.path = r.target_class)
+    UNION ALL SELECT project, source_class, CAST(NULL AS INTEGER), 'warning', 'perspective-cross-ref', concat('References other perspectives: ', count(*)) FROM refs r
+      WHERE NOT contains(source_class, '/') AND source_class NOT IN ('overall-architecture', 'architecture')
+      AND EXISTS (SELECT 1 FROM tops e WHERE e.project = r.project AND e.path = r.target_class) GROUP BY project, source_class)
 , errors AS (SELECT DISTINCT project, path FROM lint WHERE rule IN ('graph-declaration', 'balanced-brackets', 'reserved-word', 'ref-self', 'ref-exists'))
 """
 )
@@ -163,8 +174,8 @@ _lint = lambda d: dg.lint_diagrams(d["fields"], d["elements"])
 R.add(
     "lint_diagrams",
     "fields elements",
-    lambda d: _lint(d).groupBy("project", "path", "line", "rule").agg(F.count(F.lit(1)).alias("n")),
-    SQL_LINT + "SELECT project, path, CAST(line AS INTEGER) AS line, rule, count(*) AS n FROM lint GROUP BY ALL",
+    lambda d: _lint(d).select(*KEYS, "line", "level", "rule", "message"),
+    SQL_LINT + "SELECT project, path, CAST(line AS INTEGER) AS line, level, rule, message FROM lint",
 )
 R.add(
     "lint_sequence_diagrams",
@@ -178,14 +189,16 @@ R.add(
 )
 R.add("repair_diagrams", "fields", lambda d: dg.repair_diagrams(d["fields"]).select(*KEYS, "fixed", "changed"))
 R.add("repair_report", "fields elements", lambda d: dg.repair_report(_lint(d)).select(*KEYS, "line", "rule", "message", "fixed"))
+SQL_UNDOCUMENTED = """
+, undoc AS (SELECT DISTINCT project, regexp_replace(regexp_extract(src, '([^/]*)$', 1), '\\.[^.]+$', '') AS src,
+       regexp_replace(regexp_extract(dst, '([^/]*)$', 1), '\\.[^.]+$', '') AS dst FROM edges
+     EXCEPT SELECT project, src, dst FROM dedges WHERE arrow = '-->')
+"""
 R.add(
     "undocumented_dependencies",
     "edges fields",
     lambda d: dg.undocumented_dependencies(d["edges"], dg.diagram_edges(d["fields"])),
-    sql_diagrams("fields")
-    + """SELECT DISTINCT project, regexp_replace(regexp_extract(src, '([^/]*)$', 1), '\\.[^.]+$', '') AS src,
-       regexp_replace(regexp_extract(dst, '([^/]*)$', 1), '\\.[^.]+$', '') AS dst FROM edges
-     EXCEPT SELECT project, src, dst FROM dedges WHERE arrow = '-->'""",
+    sql_diagrams("fields") + SQL_UNDOCUMENTED + "SELECT * FROM undoc",
 )
 R.add(
     "dependency_counts",
@@ -618,10 +631,18 @@ R.add(
 )
 
 
+def _raw_tags(d):
+    """Tags as JSON; a perspective's list holds one entry that is no text, one in 'es...' two."""
+    name = F.concat(F.lit('["'), F.col("path"), F.lit('"'))
+    odd = F.when(F.col("path").startswith("es"), ', 1, {"a": 2}').when(~F.col("path").contains("/"), ", 3").otherwise("")
+    return d["elements"].select(*KEYS, F.concat(name, odd, F.lit("]")).alias("tags_json"))
+
+
 def _issues(d):
     return ql.quality_issues(
         _scores(d),
         dg.undocumented_diagram_nodes(d["fields"], d["elements"]),
+        corrupted_tags=dc.split_tags(_raw_tags(d)),
         stale=dc.check_signature(d["elements"], _stored(d)),
         orphans=orphaned_sources(d["meta"], d["files"]),
         broken_refs=dg.check_refs(dg.extract_refs(d["fields"]), d["elements"], "all").where("status = 'ref-exists'"),
@@ -638,6 +659,8 @@ SQL_ISSUES = SQL_SCORES + SQL_PENALTIES + """
     UNION ALL SELECT project, concat(path, '/', node), 'undocumented-diagram-node', 'warning', 1 FROM dnodes n
       WHERE len(string_split(path, '/')) <= 2 AND NOT starts_with(node, '@') AND NOT starts_with(node, '__')
       AND NOT EXISTS (SELECT 1 FROM elements e WHERE e.project = n.project AND e.path = concat(n.path, '/', n.node))
+    UNION ALL SELECT project, path, 'corrupted-tags', 'warning', CASE WHEN starts_with(path, 'es') THEN 2 ELSE 1 END FROM elements
+      WHERE starts_with(path, 'es') OR NOT contains(path, '/')
     UNION ALL SELECT project, NULL, 'stale-signature', 'info', 1 FROM stl
     UNION ALL SELECT project, NULL, 'orphaned-sources', 'warning', o FROM orp
     UNION ALL SELECT project, NULL, 'broken-refs', 'warning', b FROM brk)

@@ -195,9 +195,13 @@ R.add(
 )
 R.add(
     "explain",
-    "meta changes files snapshot_old",
-    lambda d: tr.explain(d["meta"].select(*KEYS).unionByName(d["snapshot_old"].select(*KEYS)), _plan(d)).select(*KEYS, "status", "reasons"),
-    SQL_PLAN + """SELECT project, path, status, reasons FROM plan UNION ALL SELECT project, path, 'not found', NULL FROM snapshot_old""",
+    "meta changes files snapshot_old elements",
+    lambda d: tr.explain(
+        d["meta"].select(*KEYS).unionByName(d["snapshot_old"].select(*KEYS)), _plan(d), d["elements"].select(*KEYS, F.length("path").alias("score"))
+    ).select(*KEYS, "status", "reasons", "score"),
+    SQL_PLAN + """SELECT x.*, CAST(length(e.path) AS INTEGER) AS score FROM (SELECT project, path, status, reasons FROM plan
+      UNION ALL SELECT project, path, 'not found', NULL FROM (SELECT DISTINCT project, path FROM snapshot_old)) x
+      LEFT JOIN elements e ON e.project = x.project AND e.path = x.path""",
 )
 R.add(
     "changed_vs_deleted",
