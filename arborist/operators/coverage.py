@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborist.functions.common import count_rows, half_up, top_n
@@ -22,9 +22,11 @@ def glob_matches(paths: DataFrame, globs: DataFrame) -> DataFrame:
     """Matching pairs of `paths(project, file)` and `globs(project, glob, ...)`.
 
     A glob fixes its leading directories and often its extension.  Both sides
-    carry that (prefix, extension) as a key, so the match is an equi-join whose
-    candidates already agree on everything literal; only the wild part is left
-    to the regular expression.  A bare `dir/**` needs no expression at all.
+    carry that (prefix, extension) as a key, so a file only meets globs that
+    agree with it on everything literal.  The globs of a key are gathered into
+    one row, and the wild part is tested inside the file's row: a key that all
+    files share costs each of them one row, and Spark can split its files.  A
+    bare `dir/**` needs no expression at all.
     """
     keyed = globs.select(
         *[F.col(c) for c in globs.columns],
@@ -33,8 +35,17 @@ def glob_matches(paths: DataFrame, globs: DataFrame) -> DataFrame:
         glob_to_regex(F.col("glob")).alias("g_regex"),
     ).withColumn("g_all", F.col("glob") == F.concat("g_prefix", F.lit("**")))
     files = paths.select("project", "file").distinct().select("project", "file", F.inline(path_glob_keys(F.col("file"))))
-    hit = F.when(F.col("g_all"), F.lit(True)).otherwise(F.expr("file RLIKE g_regex"))
-    return keyed.join(files, ["project", "g_prefix", "g_ext"]).where(hit).select("file", *globs.columns)
+    gathered = keyed.groupBy("project", "g_prefix", "g_ext").agg(
+        F.collect_list(F.struct("g_all", "g_regex", *[F.col(c) for c in globs.columns if c != "project"])).alias("g_list")
+    )
+    hits = F.expr("filter(g_list, g -> g.g_all OR file RLIKE g.g_regex)")
+    met = files.join(gathered, ["project", "g_prefix", "g_ext"]).select("project", "file", F.inline(hits))
+    return met.select("file", *globs.columns)
+
+
+def _rank(method: int, depth: Column | None = None) -> Column:
+    """Order of the ways a file finds its element: by method, then the deepest segment."""
+    return F.struct(F.lit(method).alias("method"), (F.lit(0) if depth is None else depth).alias("depth")).alias("rank")
 
 
 def _names(elements: DataFrame) -> DataFrame:
@@ -54,20 +65,20 @@ def coverage_map(files: DataFrame, elements: DataFrame) -> DataFrame:
         elements.select("project", "path", F.explode("source_files").alias("file"))
         .groupBy("project", F.regexp_replace("file", r"\\", "/").alias("file"))
         .agg(F.max("path").alias("element"))
-        .select("project", "file", "element", F.lit("source_files").alias("method"), F.lit(0).alias("rank"))
+        .select("project", "file", "element", F.lit("source_files").alias("method"), _rank(0))
     )
     globs = elements.select("project", "path", F.explode("source_globs").alias("glob")).groupBy("project", "glob").agg(
         F.min("path").alias("element")
     )
     by_glob = glob_matches(inventory, globs).select(
-        "project", "file", "element", F.lit("source_globs").alias("method"), F.lit(1).alias("rank")
+        "project", "file", "element", F.lit("source_globs").alias("method"), _rank(1)
     )
     segments = inventory.select("project", "file", F.posexplode(F.split("file", "/")).alias("pos", "segment"))
     by_name = (
         segments.withColumn("name", stem_of(F.col("segment")))
         .join(_names(elements).select("project", "name", "element"), ["project", "name"])
         .select(
-            "project", "file", "element", F.lit("heuristic").alias("method"), (F.lit(1_000_000) - F.col("pos")).alias("rank")
+            "project", "file", "element", F.lit("heuristic").alias("method"), _rank(2, -F.col("pos"))
         )
     )
     best = (

@@ -108,7 +108,7 @@ def _token(c: Column) -> Column:
     """Flowchart token -> struct(id, label, shape, is_ref, ref_target), null when it is none."""
     t = trimmed(c)
     raw = F.regexp_extract(t, r"^(@?[\w-]+)", 1)
-    body = F.substring(t, F.length(raw) + 1, F.lit(1_000_000_000))
+    body = F.substring(t, F.length(raw) + 1, F.length(t))
     shape = (
         F.when(body.rlike(r'^\["[^"]+"\]$'), "quoted")
         .when(body.rlike(r"^\[[^\]]+\]$"), "rect")

@@ -58,7 +58,7 @@ def split_tags(raw: DataFrame) -> DataFrame:
 # ---- references ----------------------------------------------------------------
 
 
-def ref_graph(fields: DataFrame, elements: DataFrame) -> DataFrame:
+def ref_graph(fields: DataFrame) -> DataFrame:
     """All references between perspectives' diagrams and what they name."""
     top = fields.where(~F.col("path").contains("/"))
     return extract_refs(top).select("project", "source_class", "target_class", "node_id")
@@ -298,7 +298,3 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     both = digest(old, "a").join(digest(new, "b"), KEYS, "full_outer")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified")
     return both.select(*KEYS, change.alias("change")).where("change IS NOT NULL")
-
-
-def blank(c: Column) -> Column:
-    return F.coalesce(~c.rlike(r"\S"), F.lit(True))

@@ -270,10 +270,6 @@ def feedback_report(summary: DataFrame, scores: DataFrame, issues: DataFrame) ->
     return packed.join(worst, "project", "left").join(counts, "project", "left")
 
 
-def undocumented_count(fields: DataFrame, elements: DataFrame) -> DataFrame:
-    return count_rows(undocumented_diagram_nodes(fields, elements), "project", name="undocumented")
-
-
 def reconcile_report(elements: DataFrame, fields: DataFrame, orphans: DataFrame) -> DataFrame:
     """Drift rows (project, path, kind, detail): orphaned sources, missing texts, broken references, empty elements.
 

@@ -234,8 +234,8 @@ R.add(
 )
 R.add(
     "ref_graph",
-    "fields elements",
-    lambda d: dc.ref_graph(d["fields"], d["elements"]),
+    "fields",
+    lambda d: dc.ref_graph(d["fields"]),
     SQL_REFS + "SELECT project, source_class, target_class, concat('@', target_class) AS node_id FROM refs WHERE NOT contains(source_class, '/')",
 )
 _SQL_CHECK = """

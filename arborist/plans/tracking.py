@@ -627,7 +627,9 @@ R.add(
     "changes meta files",
     lambda d: st.stale_stream(d["changes"], d["meta"]).select("project", "element", "path").distinct(),
     SQL_GLOBS + """SELECT e.project, e.path AS element, c.path FROM el_files e JOIN changes c ON c.project = e.project AND c.path = e.file
-      UNION SELECT e.project, e.path, c.path FROM gx e JOIN changes c ON c.project = e.project AND regexp_matches(c.path, e.rx)""",
+        AND (c.ref IS NULL OR e.git_commit IS NULL OR c.ref = e.git_commit)
+      UNION SELECT e.project, e.path, c.path FROM gx e JOIN changes c ON c.project = e.project AND regexp_matches(c.path, e.rx)
+        AND (c.ref IS NULL OR e.git_commit IS NULL OR c.ref = e.git_commit)""",
 )
 
 

@@ -134,11 +134,6 @@ def load_meta(spark: SparkSession, path: str, schema: str = META_SCHEMA, fmt: st
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def elements_of(fields: DataFrame) -> DataFrame:
-    """Element paths of a `fields` table."""
-    return fields.select("project", "path").distinct()
-
-
 def read_change_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 

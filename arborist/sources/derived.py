@@ -10,6 +10,7 @@ checks our results against.  Every derivation reads the whole of its tables.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -326,10 +327,13 @@ class Derived:
         """The derivation itself, unstored."""
         needed = [n for n in _needed([name]) if n != name]
         bases = {b for n in [*needed, name] for b in _DEPENDS[n] if b in TABLES}
-        for b in bases:
-            self.spark.read.parquet(f"{self.sf_dir}/{b}.parquet").createOrReplaceTempView(b)
-        ctes = ", ".join(f"{n} AS ({self._sql[n]})" for n in needed)
-        return self.spark.sql((f"WITH {ctes} " if ctes else "") + self._sql[name])
+        ctes = []
+        for b in sorted(bases):  # views of names of their own, so that the caller's stay as they are
+            view = f"arborist_{b}_{hashlib.md5(self.sf_dir.encode()).hexdigest()}"
+            self.spark.read.parquet(f"{self.sf_dir}/{b}.parquet").createOrReplaceTempView(view)
+            ctes.append(f"{b} AS (SELECT * FROM {view})")
+        ctes += [f"{n} AS ({self._sql[n]})" for n in needed]
+        return self.spark.sql(f"WITH {', '.join(ctes)} {self._sql[name]}")
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in TABLES:

@@ -45,10 +45,6 @@ def to_report_json(df: DataFrame) -> DataFrame:
     return df.select("project", F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    to_report_json(df).write.mode("overwrite").partitionBy("project").text(path)
-
-
 def number_rows(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Consecutive numbers from zero within `group`, without putting a group into one task.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,7 +14,7 @@ from arborist.functions.paths import glob_extension, glob_prefix, glob_to_regex,
 from arborist.functions.rules import WATCH_IGNORED
 from arborist.operators.history import latest_by_key
 from arborist.operators.search import text_tokens
-from arborist.session import cut_lineage
+from arborist.session import cut_lineage, drop_path
 
 CHANGE_SCHEMA = (
     "project STRING, ref STRING, path STRING, status STRING, seq BIGINT, ts TIMESTAMP"
@@ -45,10 +45,16 @@ def change_bursts(changes: DataFrame, gap: str = "2 seconds", late: str = "10 se
     )
 
 
+def _base(elements: DataFrame) -> Column:
+    """The commit an element was recorded at, where the table has one."""
+    return (F.col("git_commit") if "git_commit" in elements.columns else F.lit(None).cast("string")).alias("base")
+
+
 def _glob_keys(elements: DataFrame) -> DataFrame:
-    return elements.select("project", F.col("path").alias("element"), F.explode("source_globs").alias("glob")).select(
+    return elements.select("project", F.col("path").alias("element"), _base(elements), F.explode("source_globs").alias("glob")).select(
         "project",
         "element",
+        "base",
         glob_prefix(F.col("glob")).alias("g_prefix"),
         glob_extension(F.col("glob")).alias("g_ext"),
         glob_to_regex(F.col("glob")).alias("g_regex"),
@@ -58,17 +64,20 @@ def _glob_keys(elements: DataFrame) -> DataFrame:
 def stale_stream(changes: DataFrame, elements: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Changes -> stale elements as they come (project, element, path, reason, ts).
 
-    Stream-static joins: the exact path is one equi-join, globs another on
-    their literal prefix and extension.  An element is told once per path
-    within the watermark.
+    A change counts when it is in the working tree (no ref) or recorded since
+    the element's own commit, as in the batch plan.  Stream-static joins: the
+    exact path is one equi-join, globs another on their literal prefix and
+    extension.  An element is told once per path within the watermark.
     """
+    counts = F.col("ref").isNull() | F.col("base").isNull() | (F.col("ref") == F.col("base"))
+    counts = counts if "git_commit" in elements.columns else F.lit(True)
     source = changes.withWatermark("ts", late) if changes.isStreaming else changes
-    tracked = elements.select("project", F.col("path").alias("element"), F.explode("source_files").alias("file")).select(
-        "project", "element", normalize_path(F.col("file")).alias("clean"), F.lit("source_file").alias("reason")
+    tracked = elements.select("project", F.col("path").alias("element"), _base(elements), F.explode("source_files").alias("file")).select(
+        "project", "element", "base", normalize_path(F.col("file")).alias("clean"), F.lit("source_file").alias("reason")
     )
-    exact = source.withColumn("clean", normalize_path(F.col("path"))).join(tracked, ["project", "clean"])
-    keyed = source.select("project", "path", "ts", F.inline(path_glob_keys(F.col("path"))))
-    by_glob = keyed.join(_glob_keys(elements), ["project", "g_prefix", "g_ext"]).where(F.expr("path RLIKE g_regex"))
+    exact = source.withColumn("clean", normalize_path(F.col("path"))).join(tracked, ["project", "clean"]).where(counts)
+    keyed = source.select("project", "ref", "path", "ts", F.inline(path_glob_keys(F.col("path"))))
+    by_glob = keyed.join(_glob_keys(elements), ["project", "g_prefix", "g_ext"]).where(F.expr("path RLIKE g_regex") & counts)
     cols = ["project", "element", "path", "reason", "ts"]
     both = exact.select(*cols).unionByName(by_glob.withColumn("reason", F.lit("source_glob")).select(*cols))
     keys = ["project", "element", "path"]
@@ -78,8 +87,8 @@ def stale_stream(changes: DataFrame, elements: DataFrame, late: str = "10 minute
 FIELD_KEYS = ["project", "path", "field"]
 
 
-def live_index(field_stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a search index current from a stream of field writes.
+def live_index(field_stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep a search index current from a stream of field writes: a batch `every` so often, or all there is, then stop.
 
     Each batch adds one folder with the newest text of every field it touched
     and one with that text's postings, so a batch costs what it holds, not what
@@ -100,21 +109,45 @@ def live_index(field_stream: DataFrame, path: str, checkpoint: str) -> Streaming
     return (
         field_stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 
 
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Rewrite a live index as one batch of current versions, and drop the folders it replaces.
+
+    Run it between runs of the stream.  Readers let the newest version win, so
+    an index whose compaction broke off half way reads the same.
+    """
+    last = spark.read.parquet(f"{path}/fields").agg(F.max("batch")).first()[0]
+    for part, current in (("postings", _current_postings(spark, path)), ("fields", live_fields(spark, path))):
+        stored = cut_lineage(current)
+        stored.write.mode("overwrite").parquet(f"{path}/{part}/batch={last}")
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        system = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in system.listStatus(jvm_path):
+            name = status.getPath().getName()
+            if name.startswith("batch=") and name != f"batch={last}":
+                drop_path(spark, status.getPath().toString())
+
+
 def live_fields(spark: SparkSession, path: str) -> DataFrame:
     """Current text of every field of a live index."""
     return latest_by_key(spark.read.parquet(f"{path}/fields"), FIELD_KEYS, ["ts", "seq"]).drop("batch")
 
 
-def live_postings(spark: SparkSession, path: str) -> DataFrame:
-    """Current postings (project, doc, term, tf) of a live index."""
+def _current_postings(spark: SparkSession, path: str) -> DataFrame:
+    """Postings of the newest version of every field."""
     stored = spark.read.parquet(f"{path}/fields").groupBy(*FIELD_KEYS).agg(F.max(F.struct("ts", "seq")).alias("v"))
     versions = stored.select(*FIELD_KEYS, "v.ts", "v.seq")
-    current = spark.read.parquet(f"{path}/postings").join(versions, [*FIELD_KEYS, "ts", "seq"], "left_semi")
+    postings = spark.read.parquet(f"{path}/postings").drop("batch").dropDuplicates([*FIELD_KEYS, "ts", "seq", "term"])
+    return postings.join(versions, [*FIELD_KEYS, "ts", "seq"], "left_semi")
+
+
+def live_postings(spark: SparkSession, path: str) -> DataFrame:
+    """Current postings (project, doc, term, tf) of a live index."""
+    current = _current_postings(spark, path)
     return current.groupBy("project", F.col("path").alias("doc"), "term").agg(F.sum("tf").alias("tf"))
 
 

@@ -123,3 +123,23 @@ def test_fitness_without_modules(spark):
     n, e = nodes(spark, "x.ts"), edges(spark)
     none = spark.createDataFrame([], "project string, cycle string")
     assert rows(g.fitness(n, e, none), "overall", "cohesion") == [(100, 20)]
+
+
+def test_a_chain_of_components_takes_few_rounds(spark, monkeypatch):
+    """Twenty-four cycles of two files in a row: rounds grow with the logarithm of the chain."""
+    rounds = []
+    add = t._Levels.add
+    monkeypatch.setattr(t._Levels, "add", lambda self, df: rounds.append(self.schema) or add(self, df))
+    pairs = [(f"n{k:02}{x}", f"n{k:02}{y}") for k in range(24) for x, y in ("ab", "ba")]
+    chain = [(f"n{k:02}b", f"n{k + 1:02}a") for k in range(23)]
+    found = {r["node"]: r["component"] for r in t.cyclic_components(edges(spark, *pairs, *chain)).collect()}
+    assert len(found) == 48 and all(found[f"n{k:02}a"] == found[f"n{k:02}b"] for k in range(24)) and len(set(found.values())) == 24
+    assert sum("component STRING" in s and "project STRING, node" in s for s in rounds) <= 10
+
+
+def test_cycles_of_a_dense_component_are_bounded_by_its_edges(spark):
+    names = "abcdef"
+    found = t.cycles(edges(spark, *[(x, y) for x in names for y in names if x != y])).collect()
+    assert sorted(r["cycle"] for r in found) == [f"{x} > {y}" for i, x in enumerate(names) for y in names[i + 1 :]]
+    ring = t.cycles(edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"))).collect()
+    assert sorted(r["cycle"] for r in ring) == ["a > b > c", "a > c"]
