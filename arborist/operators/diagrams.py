@@ -257,8 +257,10 @@ def inside_quotes(line: Column) -> Column:
 
 def brackets_balanced(line: Column) -> Column:
     """Counts of the three bracket pairs agree outside quotes."""
-    text = F.array_join(outside_quotes(line), "")
+    return _balanced(F.array_join(outside_quotes(line), ""))
 
+
+def _balanced(text: Column) -> Column:
     def n(ch: str) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
@@ -300,17 +302,19 @@ def _issue(level: str, rule: str, message: Column, order: int) -> Column:
     )
 
 
-def _line_issues(line: Column) -> Column:
+def _line_issues(parts: Column) -> Column:
+    """Issues of a line given as struct(x: the line, bare: its text outside quotes, ids, marks: its labels)."""
+    line = parts["x"]
     none = F.array().cast("array<struct<level:string,rule:string,message:string,ord:int>>")
 
     def one(cond: Column, level: str, rule: str, text: str, order: int) -> Column:
         return F.when(cond, F.array(_issue(level, rule, F.concat(F.lit(text), line), order))).otherwise(none)
 
     reserved = F.transform(
-        F.filter(declared_node_ids(line), lambda i: F.lower(i).isin(*RESERVED_WORDS)),
+        F.filter(parts["ids"], lambda i: F.lower(i).isin(*RESERVED_WORDS)),
         lambda i: _issue("error", "reserved-word", F.concat(F.lit('Node ID "'), i, F.lit('" is a reserved keyword')), 2),
     )
-    marks = labels(line)
+    marks = parts["marks"]
     name = F.regexp_extract(line, r"(?i)^classDef\s+(\S+)\s+(.+)$", 1)
     attrs = F.regexp_extract(line, r"(?i)^classDef\s+(\S+)\s+(.+)$", 2)
     wrong = F.filter(
@@ -334,7 +338,7 @@ def _line_issues(line: Column) -> Column:
         ),
     )
     return F.concat(
-        one(~brackets_balanced(line), "error", "balanced-brackets", "Unbalanced brackets on line: ", 1),
+        one(~_balanced(parts["bare"]), "error", "balanced-brackets", "Unbalanced brackets on line: ", 1),
         reserved,
         one(F.exists(marks, lambda m: m.contains("@")), "warning", "special-char-label", "Label contains @: ", 3),
         one(
@@ -404,6 +408,10 @@ def check_refs(refs: DataFrame, elements: DataFrame, universe: str = "perspectiv
     )
 
 
+#: What a line must hold for any rule to apply: a bracket, a quote, an arrow or a class definition.
+RULED_LINE = r'(?i)[\[\](){}"]|->|=>|classDef'
+
+
 def lint_diagrams(fields: DataFrame, elements: DataFrame | None = None) -> DataFrame:
     """Flowchart rules: one row per issue (project, path, line, level, rule, message).
 
@@ -425,13 +433,17 @@ def lint_diagrams(fields: DataFrame, elements: DataFrame | None = None) -> DataF
         F.lit("Diagram must start with a graph/flowchart direction declaration").alias("message"),
         F.lit(0).alias("ord"),
     )
-    per_line = F.transform(
-        F.transform(F.split("text", "\n"), trimmed),
-        lambda x, i: F.struct(
-            (i + 1).alias("line"),
-            F.when((x != "") & ~x.startswith("%%"), _line_issues(x)).alias("issues"),
+    # The parts of a line that several rules look at are made once, and only where a rule could apply.
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), trimmed(x).alias("x")))
+    ruled = F.filter(lines, lambda s: s["x"].rlike(RULED_LINE) & ~s["x"].startswith("%%"))
+    parted = F.transform(
+        ruled,
+        lambda s: F.struct(
+            s["line"].alias("line"), s["x"].alias("x"), F.array_join(outside_quotes(s["x"]), "").alias("bare"),
+            declared_node_ids(s["x"]).alias("ids"), labels(s["x"]).alias("marks"),
         ),
     )
+    per_line = F.transform(parted, lambda s: F.struct(s["line"].alias("line"), _line_issues(s).alias("issues")))
     by_line = (
         diagrams.select("project", "path", F.inline(per_line))
         .where(F.size("issues") > 0)
