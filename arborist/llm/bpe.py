@@ -19,16 +19,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from arborist.llm.common import fresh
+from arborist.llm.common import fresh, give_back
 
 NONE = np.int64(1) << np.int64(62)
 SHIFT = 32
-CACHE_ENTRIES = 200_000
-CHUNK_BYTES = 2 << 20
+CACHE_ENTRIES = 80_000
+CHUNK_BYTES = 1 << 19
 OUTPUTS = {
     "n_tokens": (T.LongType(), pa.int64()),
     "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
@@ -194,16 +195,15 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def chunks(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about CHUNK_BYTES characters."""
-    begin = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK_BYTES:
-            yield begin, k + 1
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about CHUNK_BYTES."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+        yield begin, end
+        begin = end
 
 
 def bpe_round_trip(
@@ -230,10 +230,11 @@ def bpe_round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            for begin, end in chunks(texts):
+            column = batch.column(batch.schema.get_field_index(text_col))
+            for begin, end in chunks(column):
+                texts = [t or "" for t in column.slice(begin, end - begin).to_pylist()]
                 found: dict[str, list] = {o: [] for o in outputs}
-                for pieces in own.encode(texts[begin:end]):
+                for pieces in own.encode(texts):
                     ids = list(chain.from_iterable(p[0] for p in pieces))
                     if "n_tokens" in found:
                         found["n_tokens"].append(len(ids))
@@ -250,5 +251,7 @@ def bpe_round_trip(
                 part = batch.slice(begin, end - begin)
                 columns = [*part.columns, *(pa.array(found[o], OUTPUTS[o][1]) for o in outputs)]
                 yield pa.RecordBatch.from_arrays(columns, names=columns_out)
+        own.cache.clear()
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Turn markers of the rendered text (fixed values).
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Marks the character that is put into a marker-like piece of content to disarm it.
-GUARD = "​"
+GUARD = "\u200b"
 
 TURNS_PER_PART = 256
 

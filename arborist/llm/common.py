@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +51,15 @@ def locator() -> Column:
     return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; idle workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (node, component), component being the smallest node reached.
 

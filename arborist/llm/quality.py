@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborist.llm.common import fresh
+from arborist.llm.common import fresh, give_back
 
 STATISTICS = [
     "log_words", "vocabulary_exponent", "log_word_length", "inner_upper_share", "symbol_share", "digit_share",
@@ -72,6 +72,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
             texts = batch.column(len(columns) - 1).to_pylist()
             values = pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=columns)
+        give_back()
 
     return source.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 

@@ -17,7 +17,7 @@ from arborist.llm.curriculum import curriculum_mix, training_order
 from arborist.llm.exact_dedup import exact_dedup
 from arborist.llm.jaccard import jaccard_join
 from arborist.llm.quality import classify, quality_model
-from arborist.session import cut_lineage
+from arborist.session import configure, cut_lineage
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -59,7 +59,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
-STAGES = [("quality", quality), ("exact_dedup", dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
+
+
+def _configured(stage):
+    """A stage that runs under the library's session settings, whoever calls it."""
+    return lambda spark, docs, sf_dir: stage(configure(spark), docs, sf_dir)
+
+
+STAGES = [
+    (name, _configured(stage))
+    for name, stage in (("quality", quality), ("exact_dedup", dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode))
+]
 
 #: The classifier is not expressible in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
