@@ -18,6 +18,8 @@ shingles have their three least common ones among the first n - o + 3.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -26,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborist.llm.common import components, fresh
+from arborist.llm.common import components, fresh, give_back
 from arborist.llm.shingles import digests, mix, shingle_sets, text_chunks
 from arborist.session import cut_lineage
 
 SMALL = 32
 NO_ID = (1 << 63) - 1  # stands for a null id
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 BUCKET_KEYS = 1 << 19
 BLOCK_SHINGLES = 4 << 20
 TASK_SHINGLES = 2 << 20
@@ -56,9 +58,25 @@ class Parts:
             low = self.high[-1] + 1
         high = np.array(self.high, dtype=np.int64)
         differ = 2 * high * (den - num) // (den + num)
-        self.parts = (differ + 1) + np.ceil(0.15 * (differ + 1)).astype(np.int64) + 2
+        self.parts = np.array([self.enough(int(d) + 1, int(h)) for d, h in zip(differ, high, strict=True)], dtype=np.int64)
         self.bounds = high
 
+    @staticmethod
+    def enough(least: int, size: int) -> int:
+        """Parts for sets of `size`: `least`, and as many more as keep the light ones of nearly all sets below them."""
+        best, at, more = -math.inf, 1, 1
+        while more <= 2 * least:
+            load = size / (least + more)
+            light = (1 + load) * math.exp(-load)
+            expected = (least + more) * light
+            margin = (more - expected) / math.sqrt(expected * (1 - light))
+            if margin > best:
+                best, at = margin, more
+            if margin >= 3.5:
+                break
+            more += max(1, more // 16)
+        return least + at
+
     def spare(self, n: np.ndarray, scheme: np.ndarray) -> np.ndarray:
         """Light parts a set of size n may have without losing a partner."""
         partner = np.minimum(self.bounds[scheme], n * self.den // self.num)
@@ -139,7 +157,7 @@ class Matrix:
         bounds = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
         self.sets = [np.sort(codes[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
         self.first = np.full(len(tokens), -1, dtype=np.int64)  # the first group that holds a token
-        self.more: dict[int, list[int]] = {}  # the others
+        self.more: dict[int, array] = {}  # the others
         self.shared = np.zeros(len(tokens), dtype=bool)
         self.groups: list[Group] = []
         self.parent = list(range(len(sets)))
@@ -160,9 +178,10 @@ class Matrix:
     def counts(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Groups that hold shingles of `s`, and how many: the bounds."""
         hit = self.first[s]
-        found = [hit[hit >= 0]]
-        found.extend(np.array(self.more[t]) for t in s[self.shared[s]].tolist())
-        return np.unique(np.concatenate(found), return_counts=True)
+        found = [hit[hit >= 0], *(np.array(self.more[t], dtype=np.int64) for t in s[self.shared[s]].tolist())]
+        held = np.bincount(np.concatenate(found), minlength=1)
+        groups = np.flatnonzero(held)
+        return groups, held[groups]
 
     def open(self, g: Group, k: int) -> int | None:
         """A member within the threshold of set k, if there is one."""
@@ -208,15 +227,16 @@ class Matrix:
                         home = g if home is None else home
             if place >= len(order) - probes or not len(s):
                 continue
-            if home is None:
+            fresh_group = home is None
+            if fresh_group:
                 home = len(self.groups)
                 self.groups.append(Group())
             self.groups[home].members.append(k)
             hit = self.first[s]
             self.first[s[hit < 0]] = home
             for t in s[(hit >= 0) & (hit != home)].tolist():
-                others = self.more.setdefault(t, [])
-                if home not in others:
+                others = self.more.setdefault(t, array("q"))
+                if fresh_group or home not in others:
                     others.append(home)
                 self.shared[t] = True
         return links
@@ -236,6 +256,7 @@ def shingled(docs: DataFrame, text: str, width: int) -> DataFrame:
                 rows = len(offsets) - 1
                 columns = batch.slice(begin, rows).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*columns, binaries(digests(h, bounds)), pa.array(np.diff(bounds))], names=names)
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -301,6 +322,9 @@ def stars(texts: DataFrame, width: int, num: int, den: int, buckets: int) -> Dat
                     size = 0
         if size:
             yield from flush()
+        held.clear()
+        seen.clear()
+        give_back()
 
     def match(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(b, dtype=U64) for b in table["keys"].to_pylist()])
@@ -317,6 +341,7 @@ def stars(texts: DataFrame, width: int, num: int, den: int, buckets: int) -> Dat
         leader = line[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]
         rest = ~head
         names = binaries(nodes)
+        give_back()
         return pa.table([pa.array(keys[rest].view(np.int64)), names.take(pa.array(line[rest])), names.take(pa.array(leader[rest]))], schema=STARS)
 
     packed = texts.mapInArrow(pack, "bucket LONG, keys BINARY, line BINARY, nodes BINARY")
@@ -358,6 +383,8 @@ def block_links(members: DataFrame, width: int, num: int, den: int, tasks: int)
             for x, y in Matrix(sets, num, den).link(order):
                 a.append(nodes[members_of[x]])
                 b.append(nodes[members_of[y]])
+        del all_sets
+        give_back()
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=LINKS)
 
     spread = members.withColumn("task", F.pmod(F.xxhash64("block", "chunk"), F.lit(tasks)))
