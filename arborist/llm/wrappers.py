@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborist.llm.common import fresh
+from arborist.session import cut_lineage
 
 # Names of HTML elements and usual words of class names.
 RAW = frozenset("script style noscript template textarea iframe svg canvas object select head title".split())
@@ -467,11 +468,12 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     as they are; an added column that clashes with one of them gets a leading
     underscore.  An empty table gives an empty result.
 
-    Wrappers are a row per host; Spark broadcasts them while they are small and
-    shuffles otherwise, splitting a host that holds many pages.
+    Wrappers are a row per host.  They are stored, so that the join is planned
+    from their size: below Spark's broadcast limit pages stay where they are,
+    above it both sides are shuffled and a host with many pages is split.
     """
     (text,) = fresh(pages, "main_text")
-    wrappers = infer_wrappers(pages, url_col, html_col)
+    wrappers = cut_lineage(infer_wrappers(pages, url_col, html_col))
     source = pages.withColumns({"_host": host_of(F.col(url_col)), "_page": F.coalesce(F.col(html_col), F.lit(""))})
     joined = source.join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")), "_host").drop("_host")
     kept = pages.columns
