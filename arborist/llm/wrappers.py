@@ -8,8 +8,9 @@ is part of the template.  Wrappers align with pages and with each other alike,
 so the pages of a host are folded into one wrapper in any order: within each
 task first, then between tasks, in two steps for hosts that many tasks hold.
 
-The wrapper says where the article is: the marked-up article if the host has
-one, else the part that holds most of the text that varies between pages.
+The article of a page is its marked-up regions; on a page without any, the
+wrapper says where it is: the part that holds most of the text that varies
+between pages.
 """
 
 from __future__ import annotations
@@ -353,61 +354,25 @@ def _hold(node: Node, keep: list[Node]) -> None:
         _hold(c, keep)
 
 
-def content_slots(wrapper: Node) -> set[int]:
-    """Ids of the wrapper's text nodes that hold the article."""
+def regions(node: Node) -> list[Node]:
+    """The outermost article regions below `node` that are not within boilerplate."""
+    if boilerplate(node.label, False):
+        return []
+    return [node] if article(node.label) else [r for c in node.children for r in regions(c)]
 
-    def mass(node: Node, marked: bool) -> int:
-        """Characters of running text below a node that vary between pages."""
-        if boilerplate(node.label, marked):
-            return 0
-        own = 0 if node.label != "#text" or template(node) else max(0, node.chars - 2 * node.link_chars)
-        return own + sum(mass(c, marked or article(node.label)) for c in node.children)
-
-    def template(node: Node) -> bool:
-        return wrapper.pages >= MIN_PAGES and node.pages > 1 and bool(node.constant)
-
-    def marked(node: Node) -> list[Node]:
-        if boilerplate(node.label, False):
-            return []
-        inner = [m for c in node.children for m in marked(c)]
-        return inner or ([node] if article(node.label) else [])
-
-    regions = marked(wrapper)
-    semantic = bool(regions)
-    if semantic:
-        region = max(regions, key=lambda n: mass(n, True))
-    else:
-        region = wrapper
-        while True:
-            total = mass(region, False)
-            child = max((c for c in region.children if c.label != "#text"), key=lambda n: mass(n, False), default=None)
-            if child is None or not total or mass(child, False) < 0.6 * total or child.repeats:
-                break
-            region = child
-    found: set[int] = set()
-
-    def collect(node: Node) -> None:
-        if node is not region and boilerplate(node.label, semantic):
-            return
-        if node.label == "#text":
-            if semantic or not template(node):
-                found.add(id(node))
-            return
-        for c in node.children:
-            collect(c)
-
-    collect(region)
-    return found
 
+def extract(page: str, wrapper: Node) -> str:
+    """Texts of the article of a page, a line each.
 
-def extract(page: str, wrapper: Node, slots: set[int]) -> str:
-    """Texts of a page that fall into the chosen slots of its host's wrapper, a line each."""
+    All marked regions of the page are its article.  On a page without text in
+    any, it is the part with most of the text that varies in the host's wrapper.
+    """
     root, texts = page_tree(page)
     chosen: set[int] = set()
+    partner: dict[int, Node] = {}
 
     def match(p: Node, w: Node) -> None:
-        if p.label == "#text" and id(w) in slots:
-            chosen.add(id(p))
+        partner[id(p)] = w
         named = {}
         for c in w.children:
             named.setdefault(c.label, c)
@@ -417,7 +382,38 @@ def extract(page: str, wrapper: Node, slots: set[int]) -> str:
                 if y is not None:
                     match(x, y)
 
-    match(root, wrapper)
+    def template(p: Node) -> bool:
+        w = partner.get(id(p))
+        return w is None or (wrapper.pages >= MIN_PAGES and w.pages > 1 and bool(w.constant))
+
+    def mass(p: Node) -> int:
+        """Characters of running text below a node that vary between pages."""
+        if boilerplate(p.label, False):
+            return 0
+        own = 0 if p.label != "#text" or template(p) else max(0, p.chars - 2 * p.link_chars)
+        return own + sum(map(mass, p.children))
+
+    def collect(p: Node, marked: bool) -> None:
+        if p.label == "#text":
+            if marked or not template(p):
+                chosen.add(id(p))
+            return
+        for c in p.children:
+            if not boilerplate(c.label, marked):
+                collect(c, marked)
+
+    for region in regions(root):
+        collect(region, True)
+    if not chosen:
+        match(root, wrapper)
+        region = root
+        while True:
+            total = mass(region)
+            child = max((c for c in region.children if c.label != "#text"), key=mass, default=None)
+            if child is None or not total or mass(child) < 0.6 * total or child.repeats or any(c.label == "#text" for c in child.children):
+                break
+            region = child
+        collect(region, False)
     return "\n".join(text for slot, text in texts if id(slot) in chosen)
 
 
@@ -480,16 +476,15 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     names = [*kept, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[Node, set[int]]] = {}
+        known: dict[str, Node] = {}
         for batch in batches:
             out = []
             for page, packed in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
                 if packed not in known:
                     if len(known) > 256:
                         known.clear()
-                    wrapper = Node.unpack(json.loads(packed))
-                    known[packed] = (wrapper, content_slots(wrapper))
-                out.append(extract(page, *known[packed]))
+                    known[packed] = Node.unpack(json.loads(packed))
+                out.append(extract(page, known[packed]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], names=names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), f"`{text}` STRING"])
