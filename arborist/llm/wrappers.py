@@ -55,7 +55,6 @@ ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([
 MIN_PAGES = 3
 MAX_DEPTH = 120  # deeper elements end a block but have no node of their own
 TABLE_CELLS = 200_000  # beyond this product of lengths, siblings are aligned greedily
-SEPARATORS = re.compile(r"[^a-z]+")
 
 
 class Node:
@@ -89,16 +88,26 @@ def label_of(tag: str, attrs: str) -> str:
 
 
 def boilerplate(label: str, within_article: bool) -> bool:
-    """Whether a node's name says that it is no part of an article."""
+    """Whether a node's tag says that it is no part of an article."""
+    tag = label.partition(" ")[0]
+    return tag in BOILERPLATE and tag != "form" and not (tag == "header" and within_article)
+
+
+def doubtful(label: str) -> bool:
+    """Whether a whole class, id or role, or being a form, says so, which what the node holds may outweigh."""
     tag, _, rest = label.partition(" ")
-    if tag in BOILERPLATE and not (tag == "header" and within_article):
-        return True
-    return bool(rest) and tag not in ("body", "html") and not WORDS.isdisjoint(SEPARATORS.split(rest))
+    if label.startswith("(") or tag in ("body", "html"):
+        return False
+    return tag == "form" or any(t.strip("#-_") in WORDS for t in rest.split())
 
 
 def article(label: str) -> bool:
     tag, _, rest = label.partition(" ")
-    return tag in ("article", "main") or "main" in rest.split()
+    return not label.startswith("(") and tag not in ("body", "html") and (tag in ("article", "main") or "main" in rest.split())
+
+
+def holds_article(node: Node) -> bool:
+    return any((article(c.label) and not doubtful(c.label)) or holds_article(c) for c in node.children)
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -356,16 +365,34 @@ def _hold(node: Node, keep: list[Node]) -> None:
 
 def regions(node: Node) -> list[Node]:
     """The outermost article regions below `node` that are not within boilerplate."""
-    if boilerplate(node.label, False):
+    if boilerplate(node.label, False) or (doubtful(node.label) and not holds_article(node)):
         return []
     return [node] if article(node.label) else [r for c in node.children for r in regions(c)]
 
 
-def extract(page: str, wrapper: Node) -> str:
+def main_nodes(wrapper: Node) -> set[int]:
+    """Ids of the nodes that hold most of the running text of a host that varies."""
+    held: list[tuple[int, int]] = []
+
+    def mass(node: Node) -> int:
+        if boilerplate(node.label, False):
+            return 0
+        varies = node.label == "#text" and not (wrapper.pages >= MIN_PAGES and node.pages > 1 and node.constant)
+        total = (max(0, node.chars - 2 * node.link_chars) if varies else 0) + sum(map(mass, node.children))
+        held.append((id(node), total))
+        return total
+
+    total = mass(wrapper)
+    return {k for k, own in held if 2 * own > total}
+
+
+def extract(page: str, wrapper: Node, central: set[int]) -> str:
     """Texts of the article of a page, a line each.
 
     All marked regions of the page are its article.  On a page without text in
     any, it is the part with most of the text that varies in the host's wrapper.
+    A class word cuts nothing off that holds most of the host's varying text
+    (`central`) or, outside a region, an article.
     """
     root, texts = page_tree(page)
     chosen: set[int] = set()
@@ -382,38 +409,55 @@ def extract(page: str, wrapper: Node) -> str:
                 if y is not None:
                     match(x, y)
 
+    def partner_of(p: Node) -> Node | None:
+        if not partner:
+            match(root, wrapper)
+        return partner.get(id(p))
+
     def template(p: Node) -> bool:
-        w = partner.get(id(p))
+        w = partner_of(p)
         return w is None or (wrapper.pages >= MIN_PAGES and w.pages > 1 and bool(w.constant))
 
-    def mass(p: Node) -> int:
+    def cut(p: Node, marked: bool, words: bool) -> bool:
+        """Whether `p` is cut off; `words`: by class words as well."""
+        if boilerplate(p.label, marked):
+            return True
+        if not words or not doubtful(p.label) or id(partner_of(p)) in central:
+            return False
+        return marked or not (article(p.label) or holds_article(p))
+
+    def mass(p: Node, words: bool) -> int:
         """Characters of running text below a node that vary between pages."""
-        if boilerplate(p.label, False):
-            return 0
         own = 0 if p.label != "#text" or template(p) else max(0, p.chars - 2 * p.link_chars)
-        return own + sum(map(mass, p.children))
+        return own + sum(mass(c, words) for c in p.children if not cut(c, False, words))
 
-    def collect(p: Node, marked: bool) -> None:
+    def collect(p: Node, marked: bool, words: bool) -> None:
         if p.label == "#text":
             if marked or not template(p):
                 chosen.add(id(p))
             return
         for c in p.children:
-            if not boilerplate(c.label, marked):
-                collect(c, marked)
+            if not cut(c, marked, words):
+                collect(c, marked, words)
 
-    for region in regions(root):
-        collect(region, True)
-    if not chosen:
-        match(root, wrapper)
+    def dominant(words: bool) -> Node:
         region = root
         while True:
-            total = mass(region)
-            child = max((c for c in region.children if c.label != "#text"), key=mass, default=None)
-            if child is None or not total or mass(child) < 0.6 * total or child.repeats or any(c.label == "#text" for c in child.children):
-                break
+            total = mass(region, words)
+            inner = [c for c in region.children if c.label != "#text" and not cut(c, False, words)]
+            child = max(inner, key=lambda c: mass(c, words), default=None)
+            if child is None or not total or mass(child, words) < 0.6 * total or child.repeats or any(c.label == "#text" for c in child.children):
+                return region
             region = child
-        collect(region, False)
+
+    marked = regions(root)
+    for words in (True, False):  # a page whose text is all below class words keeps it
+        for region in marked:
+            collect(region, True, words)
+        if not chosen:
+            collect(dominant(words), False, words)
+        if chosen:
+            break
     return "\n".join(text for slot, text in texts if id(slot) in chosen)
 
 
@@ -476,15 +520,16 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     names = [*kept, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Node] = {}
+        known: dict[str, tuple[Node, set[int]]] = {}
         for batch in batches:
             out = []
             for page, packed in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
                 if packed not in known:
                     if len(known) > 256:
                         known.clear()
-                    known[packed] = Node.unpack(json.loads(packed))
-                out.append(extract(page, known[packed]))
+                    wrapper = Node.unpack(json.loads(packed))
+                    known[packed] = (wrapper, main_nodes(wrapper))
+                out.append(extract(page, *known[packed]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], names=names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), f"`{text}` STRING"])

@@ -25,3 +25,12 @@ def test_every_page_of_a_host_with_several_templates(spark):
         bodies += [f"<article class=one><p>{news}</p></article><hr><article class=two><p>{second}</p></article>"]
         want += [news, travel, f"Head {k}\n{main}", plain, f"{news}\n{second}"]
     assert texts_of(spark, bodies) == want
+
+
+def test_class_words_cut_no_article_off(spark):
+    opened = ["<div class='container has-sidebar'><article>", "<main class='no-sidebar'>", "<div class='page with-comments'><article class='post tag-menu'>", "<article class='category-social'>"]
+    opened += ["<div class='widget'><article>", "<form id='aspnetForm'><main>", "<article class='post social'>", "<article><div class='widget'>"]
+    for k, head in enumerate(opened):
+        body = [prose(f"w{k}{j}") for j in range(3)]
+        found = texts_of(spark, [f"{head}<p>{b}</p><div class='ad-1'>buy {b}</div><ul class='share'><li>send {b}</li></ul>" for b in body])
+        assert found == body, head
