@@ -20,7 +20,9 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,7 +56,6 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MIN_PAGES = 3
 MAX_DEPTH = 120  # deeper elements end a block but have no node of their own
-TABLE_CELLS = 200_000  # beyond this product of lengths, siblings are aligned greedily
 
 
 class Node:
@@ -228,25 +229,57 @@ def merge(a: Node, b: Node, same_page: bool = False) -> Node:
 
 
 def align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
-    """Pairs of two sibling lists by a longest common subsequence of labels; what has no partner is optional."""
+    """Pairs of two sibling lists by a longest common subsequence of labels; what has no partner is optional.
+
+    A row of the usual table is the number whose bit i says that a[i] lengthens
+    the subsequence of a[i:] and b[j:].  Every so many rows are kept and those
+    between made again, so memory grows with len(a) * sqrt(len(b)) bits.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head].label == b[head].label:
         head += 1
     pairs: list[tuple[Node | None, Node | None]] = list(zip(a[:head], b[:head], strict=True))
     a, b = a[head:], b[head:]
-    if a and b and len(a) * len(b) > TABLE_CELLS:
-        return pairs + greedy(a, b)
     if a and b:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[i].label == b[j].label else max(best[i + 1][j], best[i][j + 1])
+        n, m = len(a), len(b)
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(a):
+            places.setdefault(x.label, []).append(n - 1 - i)
+        ones = (1 << n) - 1
+
+        @lru_cache(maxsize=256)
+        def held(label: str) -> int:
+            bits = bytearray(n // 8 + 1)
+            for k in places.get(label, ()):
+                bits[k >> 3] |= 1 << (k & 7)
+            return int.from_bytes(bits, "little")
+
+        def above(row: int, j: int) -> int:
+            """Row j from row j + 1; a zero at bit n - 1 - i says that a[i] lengthens."""
+            same = row & held(b[j].label)
+            return ((row + same) | (row - same)) & ones
+
+        step = isqrt(m) + 1
+        kept = {m: ones}
+        row = ones
+        for j in range(m - 1, -1, -1):
+            row = above(row, j)
+            if j % step == 0:
+                kept[j] = row
         i = j = 0
-        while i < len(a) and j < len(b):
+        rows: dict[int, bytes] = {}
+        while i < n and j < m:
+            if j not in rows:
+                rows, top = {}, min(m, (j // step + 1) * step)
+                row = kept[top]
+                for k in range(top - 1, j - 1, -1):
+                    row = above(row, k)
+                    rows[k] = row.to_bytes(n // 8 + 1, "little")
+            at = n - 1 - i
             if a[i].label == b[j].label:
                 pairs.append((a[i], b[j]))
                 i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
+            elif rows[j][at >> 3] >> (at & 7) & 1:
                 pairs.append((a[i], None))
                 i += 1
             else:
@@ -257,7 +290,7 @@ def align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]
 
 
 def greedy(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
-    """Pairs of very long sibling lists: each of `a` with the next free one of `b` that has its label."""
+    """Each of `a` with the next free one of `b` that has its label; not exact, so `align` does not use it."""
     places: dict[str, list[int]] = {}
     for j, y in enumerate(b):
         places.setdefault(y.label, []).append(j)
@@ -392,7 +425,8 @@ def extract(page: str, wrapper: Node, central: set[int]) -> str:
     All marked regions of the page are its article.  On a page without text in
     any, it is the part with most of the text that varies in the host's wrapper.
     A class word cuts nothing off that holds most of the host's varying text
-    (`central`) or, outside a region, an article.
+    (`central`) or, outside a region, an article.  Text without a partner in the
+    wrapper is an optional part and kept.
     """
     root, texts = page_tree(page)
     chosen: set[int] = set()
@@ -416,7 +450,7 @@ def extract(page: str, wrapper: Node, central: set[int]) -> str:
 
     def template(p: Node) -> bool:
         w = partner_of(p)
-        return w is None or (wrapper.pages >= MIN_PAGES and w.pages > 1 and bool(w.constant))
+        return w is not None and wrapper.pages >= MIN_PAGES and w.pages > 1 and bool(w.constant)
 
     def cut(p: Node, marked: bool, words: bool) -> bool:
         """Whether `p` is cut off; `words`: by class words as well."""

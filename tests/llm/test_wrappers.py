@@ -34,3 +34,27 @@ def test_class_words_cut_no_article_off(spark):
         body = [prose(f"w{k}{j}") for j in range(3)]
         found = texts_of(spark, [f"{head}<p>{b}</p><div class='ad-1'>buy {b}</div><ul class='share'><li>send {b}</li></ul>" for b in body])
         assert found == body, head
+
+
+def test_text_without_a_partner_in_the_wrapper_is_kept():
+    bodies = [f"<div class=x>{b}</div>" for b in ("<h2>a1</h2><div>a2<ul><li>a3</li></ul></div>", "<h2>b1</h2><figure>b2</figure><div>b3</div>", "<h2>c1</h2><div>c2</div><h2>c3</h2><div>c4</div>")]
+    wrapper, rare = (wrappers.page_tree(f"<body>{b}</body>")[0] for b in (bodies[2], bodies[1]))
+    wrapper = wrappers.merge(wrapper, rare)
+    found = [wrappers.extract(f"<body>{b}</body>", wrapper, wrappers.main_nodes(wrapper)) for b in bodies]
+    assert found == ["a1\na2\na3", "b1\nb2\nb3", "c1\nc2\nc3\nc4"]
+
+
+def test_alignment_is_a_longest_common_subsequence_at_every_size():
+    rng = random.Random(2)
+    for n, m, letters in [*((rng.randrange(40), rng.randrange(40), "uvwx") for _ in range(300)), (600, 700, "uvwxyz")]:
+        a, b = ([wrappers.Node(rng.choice(letters)) for _ in range(k)] for k in (n, m))
+        row = [0] * (m + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x.label == y.label else max(row[j], last[j + 1]))
+        pairs = wrappers.align(a, b)
+        assert [x for x, _ in pairs if x] == a and [y for _, y in pairs if y] == b
+        both = [(x, y) for x, y in pairs if x and y]
+        assert len(both) == row[-1] and all(x.label == y.label for x, y in both)
