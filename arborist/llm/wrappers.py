@@ -5,8 +5,9 @@ repeat, alone or as groups, are folded into one repeated node.  Aligning two
 such trees level by level gives a wrapper: what both have is required, what one
 has is optional, text that differs is a variable slot and text that never does
 is part of the template.  Wrappers align with pages and with each other alike,
-so the pages of a host are folded into one wrapper in any order: within each
-task first, then between tasks, in two steps for hosts that many tasks hold.
+so the pages of a host are folded into one wrapper in any order: within tasks,
+to which they are dealt by their texts, then between tasks.  Pages of a host
+with equal texts count as one.
 
 The article of a page is its marked-up regions; on a page without any, the
 wrapper says where it is: the part that holds most of the text that varies
@@ -54,7 +55,8 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-MIN_PAGES = 3
+MIN_PAGES = 3  # pages of different texts
+TEMPLATE_SHARE = 0.5  # of a host's pages of different texts: a text that so many have, and always the same, is template
 MAX_DEPTH = 120  # deeper elements end a block but have no node of their own
 
 
@@ -403,6 +405,11 @@ def regions(node: Node) -> list[Node]:
     return [node] if article(node.label) else [r for c in node.children for r in regions(c)]
 
 
+def constant(node: Node, wrapper: Node) -> bool:
+    """Whether a text slot is part of the host's template: the same on all of enough different pages."""
+    return bool(node.constant) and node.pages >= max(MIN_PAGES, TEMPLATE_SHARE * wrapper.pages)
+
+
 def main_nodes(wrapper: Node) -> set[int]:
     """Ids of the nodes that hold most of the running text of a host that varies."""
     held: list[tuple[int, int]] = []
@@ -410,7 +417,7 @@ def main_nodes(wrapper: Node) -> set[int]:
     def mass(node: Node) -> int:
         if boilerplate(node.label, False):
             return 0
-        varies = node.label == "#text" and not (wrapper.pages >= MIN_PAGES and node.pages > 1 and node.constant)
+        varies = node.label == "#text" and not constant(node, wrapper)
         total = (max(0, node.chars - 2 * node.link_chars) if varies else 0) + sum(map(mass, node.children))
         held.append((id(node), total))
         return total
@@ -450,7 +457,7 @@ def extract(page: str, wrapper: Node, central: set[int]) -> str:
 
     def template(p: Node) -> bool:
         w = partner_of(p)
-        return w is not None and wrapper.pages >= MIN_PAGES and w.pages > 1 and bool(w.constant)
+        return w is not None and constant(w, wrapper)
 
     def cut(p: Node, marked: bool, words: bool) -> bool:
         """Whether `p` is cut off; `words`: by class words as well."""
@@ -500,36 +507,61 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
 
 
-WRAPPERS = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())])
+TREES = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("content", pa.binary()), ("wrapper", pa.string())])
+WRAPPERS = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
-    """One wrapper per host, from all its pages: host, wrapper (JSON)."""
+    """One wrapper per host, from all its pages of different texts: host, wrapper (JSON).
+
+    Trees, which hold no text, are dealt by the digest of their page's texts, so copies
+    meet and count once.  A task reads its trees in order, one at a time.
+    """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Node] = {}
-        task = 0
+        seen: set[tuple[str, bytes]] = set()
         for batch in batches:
-            if batch.num_rows:
-                task = batch.column(2)[0].as_py()
+            rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tree, _ = page_tree(page)
-                found[host] = merge(found[host], tree) if host in found else tree
-        hosts = list(found)
-        packed = [json.dumps(found[h].pack()) for h in hosts]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([task] * len(hosts), pa.int32()), pa.array(packed, pa.string())], schema=WRAPPERS)
+                tree, texts = page_tree(page)
+                content = blake2b("\n".join(text for _, text in texts).encode(), digest_size=16).digest()
+                if (host, content) not in seen:
+                    seen.add((host, content))
+                    rows.append((host, content[0] % salts, content, json.dumps(tree.pack())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 4, TREES, strict=True)], schema=TREES)
+
+    def fold_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host: str | None = None
+        last, total = b"", Node("#page")
+        done: list[tuple[str, str]] = []
+        for batch in batches:
+            for h, content, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if h == host and content == last:
+                    continue
+                tree = Node.unpack(json.loads(text))
+                if h == host:
+                    total = merge(total, tree)
+                else:
+                    if host is not None:
+                        done.append((host, json.dumps(total.pack())))
+                    host, total = h, tree
+                last = content
+        if host is not None:
+            done.append((host, json.dumps(total.pack())))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.string()), pa.array([w for _, w in done], pa.string())], schema=WRAPPERS)
 
     def join(table: pa.Table) -> pa.Table:
         total: Node | None = None
         for text in sorted(table["wrapper"].to_pylist()):
             node = Node.unpack(json.loads(text))
             total = node if total is None else merge(total, node)
-        return pa.table([table["host"][:1].combine_chunks(), pa.array([0], pa.int32()), pa.array([json.dumps(total.pack())])], schema=WRAPPERS)
+        return pa.table([table["host"][:1].combine_chunks(), pa.array([json.dumps(total.pack())])], schema=WRAPPERS)
 
-    kind = "host STRING, salt INT, wrapper STRING"
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("page"), (F.spark_partition_id() % salts).alias("salt"))
-    learnt = rows.mapInArrow(learn, kind)
-    return learnt.groupBy("host", "salt").applyInArrow(join, kind).groupBy("host").applyInArrow(join, kind).select("host", "wrapper")
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("page"))
+    trees = rows.mapInArrow(learn, "host STRING, salt INT, content BINARY, wrapper STRING")
+    dealt = trees.repartition("host", "salt").sortWithinPartitions("host", "content", "wrapper")
+    kind = "host STRING, wrapper STRING"
+    return dealt.mapInArrow(fold_trees, kind).groupBy("host").applyInArrow(join, kind)
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -58,3 +58,13 @@ def test_alignment_is_a_longest_common_subsequence_at_every_size():
         assert [x for x, _ in pairs if x] == a and [y for _, y in pairs if y] == b
         both = [(x, y) for x, y in pairs if x and y]
         assert len(both) == row[-1] and all(x.label == y.label for x, y in both)
+
+
+def test_copies_do_not_make_text_a_template(spark):
+    page = f"<div class=text><h2>Title</h2><p>{prose('c')}</p></div>"
+    assert texts_of(spark, [page] * 4) == [f"Title\n{prose('c')}"] * 4
+    plain = [f"<div class=text><h2>Title {k}</h2><p>{prose(f'd{k}')}</p><div class=low>Always</div></div>" for k in range(4)]
+    optional = f"<div class=text><h2>Title x</h2><p>{prose('x')}</p><blockquote>{prose('q')}</blockquote><div class=low>Always</div></div>"
+    copies = [optional.replace("<div", f"<script>track({k})</script><div") for k in range(3)]
+    found = texts_of(spark, plain + copies)
+    assert found == [f"Title {k}\n{prose(f'd{k}')}" for k in range(4)] + [f"Title x\n{prose('x')}\n{prose('q')}"] * 3
