@@ -10,8 +10,8 @@ to which they are dealt by their texts, then between tasks.  Pages of a host
 with equal texts count as one.
 
 The article of a page is its marked-up regions; on a page without any, the
-wrapper says where it is: the part that holds most of the text that varies
-between pages.
+wrapper says where it is: text that varies between pages and is not mostly
+links, and all of the part that holds most of it.
 """
 
 from __future__ import annotations
@@ -430,7 +430,8 @@ def extract(page: str, wrapper: Node, central: set[int]) -> str:
     """Texts of the article of a page, a line each.
 
     All marked regions of the page are its article.  On a page without text in
-    any, it is the part with most of the text that varies in the host's wrapper.
+    any, it is the part with most of the text that varies in the host's wrapper,
+    and beside it all text that varies and is not mostly links.
     A class word cuts nothing off that holds most of the host's varying text
     (`central`) or, outside a region, an article.  Text without a partner in the
     wrapper is an optional part and kept.
@@ -438,6 +439,8 @@ def extract(page: str, wrapper: Node, central: set[int]) -> str:
     root, texts = page_tree(page)
     chosen: set[int] = set()
     partner: dict[int, Node] = {}
+    masses: dict[tuple[int, bool], int] = {}
+    sizes: dict[int, tuple[int, int]] = {}
 
     def match(p: Node, w: Node) -> None:
         partner[id(p)] = w
@@ -469,8 +472,22 @@ def extract(page: str, wrapper: Node, central: set[int]) -> str:
 
     def mass(p: Node, words: bool) -> int:
         """Characters of running text below a node that vary between pages."""
-        own = 0 if p.label != "#text" or template(p) else max(0, p.chars - 2 * p.link_chars)
-        return own + sum(mass(c, words) for c in p.children if not cut(c, False, words))
+        if (id(p), words) not in masses:
+            own = 0 if p.label != "#text" or template(p) else max(0, p.chars - 2 * p.link_chars)
+            masses[id(p), words] = own + sum(mass(c, words) for c in p.children if not cut(c, False, words))
+        return masses[id(p), words]
+
+    def size(n: Node) -> tuple[int, int]:
+        """Characters below a node, and those in links."""
+        if id(n) not in sizes:
+            below = [size(c) for c in n.children]
+            sizes[id(n)] = (n.chars if n.label == "#text" else 0) + sum(c for c, _ in below), (n.link_chars if n.label == "#text" else 0) + sum(k for _, k in below)
+        return sizes[id(n)]
+
+    def linked(p: Node) -> bool:
+        """Whether most of a node's text is links, on the pages of the host that have it."""
+        chars, links = size(partner_of(p) or p)
+        return 2 * links > chars
 
     def collect(p: Node, marked: bool, words: bool) -> None:
         if p.label == "#text":
@@ -481,12 +498,39 @@ def extract(page: str, wrapper: Node, central: set[int]) -> str:
             if not cut(c, marked, words):
                 collect(c, marked, words)
 
+    def leads(p: Node, inner: list[Node]) -> bool:
+        return any(c is r for c in p.children for r in inner) or any(leads(c, inner) for c in p.children)
+
+    def beside(p: Node, inner: list[Node], marked: bool, words: bool) -> None:
+        """All of the `inner` nodes; of what is around them, text that varies and is not mostly links."""
+        for c in p.children:
+            if any(c is r for r in inner):
+                take(c, words) if marked else collect(c, False, words)
+            elif leads(c, inner):
+                beside(c, inner, marked, words)
+            elif cut(c, marked, words) or linked(c):
+                continue
+            elif c.label == "#text":
+                if not template(c):
+                    chosen.add(id(c))
+            else:
+                beside(c, [], marked, words)
+
+    def take(region: Node, words: bool) -> None:
+        """A marked region; one that is no article itself may hold articles among other things."""
+        inner = [] if region.label.partition(" ")[0] == "article" else [r for c in region.children for r in regions(c)]
+        if inner:
+            beside(region, inner, True, words)
+        else:
+            collect(region, True, words)
+
     def dominant(words: bool) -> Node:
+        """Where most of the running text that varies is; link lists within it are no boilerplate."""
         region = root
         while True:
-            total = mass(region, words)
             inner = [c for c in region.children if c.label != "#text" and not cut(c, False, words)]
             child = max(inner, key=lambda c: mass(c, words), default=None)
+            total = mass(region, words)
             if child is None or not total or mass(child, words) < 0.6 * total or child.repeats or any(c.label == "#text" for c in child.children):
                 return region
             region = child
@@ -494,9 +538,13 @@ def extract(page: str, wrapper: Node, central: set[int]) -> str:
     marked = regions(root)
     for words in (True, False):  # a page whose text is all below class words keeps it
         for region in marked:
-            collect(region, True, words)
+            take(region, words)
         if not chosen:
-            collect(dominant(words), False, words)
+            region = dominant(words)
+            if region is root:
+                collect(root, False, words)
+            else:
+                beside(root, [region], False, words)
         if chosen:
             break
     return "\n".join(text for slot, text in texts if id(slot) in chosen)

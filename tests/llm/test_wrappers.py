@@ -68,3 +68,13 @@ def test_copies_do_not_make_text_a_template(spark):
     copies = [optional.replace("<div", f"<script>track({k})</script><div") for k in range(3)]
     found = texts_of(spark, plain + copies)
     assert found == [f"Title {k}\n{prose(f'd{k}')}" for k in range(4)] + [f"Title x\n{prose('x')}\n{prose('q')}"] * 3
+
+
+def test_siblings_of_the_main_part_are_kept(spark):
+    links = "<ul>" + "".join(f"<li><a href=/{n}>go to {n}</a></li>" for n in range(5)) + "</ul>"
+    parts = [(f"Head {k}", f"lead {prose(f'l{k}', 8)}", [prose(f"b{k}{j}") for j in range(3)], prose(f"s{k}", 12)) for k in range(4)]
+    plain = [f"{links}<div><h1>{h}</h1><div class=lead>{e}</div><div class=wrap><div class=body>{''.join(f'<p>{p}</p>' for p in b)}</div><div class=second>{s}</div></div></div>" for h, e, b, s in parts]
+    want = ["\n".join([h, e, *b, s]) for h, e, b, s in parts]
+    assert texts_of(spark, plain) == want
+    around = [f"<div id=main>{links}<h1>{h}</h1><article>{''.join(f'<p>{p}</p>' for p in b)}</article><div class=second>{s}</div></div>" for h, _, b, s in parts]
+    assert texts_of(spark, around) == ["\n".join([h, *b, s]) for h, _, b, s in parts]
