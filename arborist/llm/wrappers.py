@@ -55,6 +55,8 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9:-])", re.I | re.A) for tag in RAW}
+BODY = re.compile("<body", re.I | re.A)
 MIN_PAGES = 3  # pages of different texts
 TEMPLATE_SHARE = 0.5  # of a host's pages of different texts: a text that so many have, and always the same, is template
 MAX_DEPTH = 120  # deeper elements end a block but have no node of their own
@@ -115,7 +117,7 @@ def holds_article(node: Node) -> bool:
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("open", tag, attributes), ("close", tag, "") and ("text", text, "") of a page, raw elements left out."""
-    at, size, lower = 0, len(page), None
+    at, size = 0, len(page)
     for_match = TOKEN.search
     while at < size:
         m = for_match(page, at)
@@ -132,17 +134,15 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if m["end"]:
             yield "close", tag, ""
         elif tag in RAW:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{tag}", at)
-            if tag == "head" and end < 0:
-                end = lower.find("<body", at) - 1 if "<body" in lower[at:] else at - 1
-            if tag == "head" and end < 0:
-                continue
-            at = size if end < 0 else end
-            if end >= 0 and lower.startswith(f"</{tag}", end):
-                closing = lower.find(">", end)
+            end = RAW_END[tag].search(page, at)
+            if end is not None:
+                closing = page.find(">", end.end())
                 at = size if closing < 0 else closing + 1
+            elif tag == "head":
+                body = BODY.search(page, at)
+                at = body.start() if body else at
+            else:
+                at = size
         else:
             yield "open", tag, m["attrs"]
 

@@ -78,3 +78,10 @@ def test_siblings_of_the_main_part_are_kept(spark):
     assert texts_of(spark, plain) == want
     around = [f"<div id=main>{links}<h1>{h}</h1><article>{''.join(f'<p>{p}</p>' for p in b)}</article><div class=second>{s}</div></div>" for h, _, b, s in parts]
     assert texts_of(spark, around) == ["\n".join([h, *b, s]) for h, _, b, s in parts]
+
+
+def test_text_after_a_raw_element_is_whole_after_capital_dotted_i():
+    page = f"<HEAD><title>x</title><header>no end of head</header><body><article><p>{'İ' * 9} bir</p><SCRIPT>a</ſcript>b</Script ><p>iki üç</p><svg><g/></svg><p>dört</p></article>"
+    host = wrappers.page_tree(page)[0]
+    assert wrappers.extract(page, host, set()) == f"{'İ' * 9} bir\niki üç\ndört"
+    assert [v for k, v, _ in wrappers.events("<script>İİ</script>dört<iframe>x</IFRAME>beş") if k == "text"] == ["dört", "beş"]
