@@ -351,7 +351,7 @@ def stars(texts: DataFrame, width: int, num: int, den: int, buckets: int) -> Dat
 def sets_of(table: pa.Table, width: int) -> tuple[pa.Table, list[np.ndarray]]:
     """The rows of `table` whose text has the set their `node` names, one per node and place, and these sets.
 
-    Where rows repeat an id, a join on the id also brings texts of others.
+    Where rows repeat an id and a text, the join brings it more than once.
     """
     keep, sets, known = [], [], set()
     names = table["node"].to_pylist()
@@ -421,7 +421,7 @@ def set_links(
 ) -> DataFrame:
     """Links (a, b) that span every component of the similarity graph over different shingle sets.
 
-    `reps` names each set: node, rep (the id of one row that has it), n_shingles.
+    `reps` names each set: node, rep and mark (id and text hash of one row that has it), n_shingles.
     """
     total = reps.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-int(total * 0.6) // bucket_keys))
@@ -435,28 +435,66 @@ def set_links(
         placed.join(weights.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     )
     # The side without texts grows with the data; it is shuffled at every size, never broadcast.
-    members = chunked.hint("merge").join(texts, chunked["rep"] == texts["id"]).select("node", "block", "chunk", "chunks", "text")
+    text = texts.select(F.col("id").alias("rep"), "mark", "text")
+    members = chunked.hint("merge").join(text, ["rep", "mark"]).select("node", "block", "chunk", "chunks", "text")
     tasks = max(1, -(-total // TASK_SHINGLES))
     inner = cut_lineage(block_links(members, width, num, den, tasks))
     split = chunked.where("chunks > 1")
     if split.isEmpty():
         return inner
-    return inner.unionByName(cross_links(texts, split, found, inner, width, num, den))
+    return inner.unionByName(cross_links(texts, split, found, inner, width, num, den, block_shingles))
 
 
-def cross_links(texts: DataFrame, split: DataFrame, found: DataFrame, inner: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def in_parts(rows: DataFrame, by: str, block_shingles: int) -> DataFrame:
+    """`rows` (node, n_shingles) with `parts`, as many as keep each part of a `by` to `block_shingles`, and the node's `part`."""
+    parts = rows.groupBy(by).agg(F.ceil(F.sum("n_shingles") / F.lit(block_shingles)).alias("parts"))
+    return rows.join(parts, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+
+
+def meetings(open_runs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, block, lo, hi): the pairs of parts in which a node meets all nodes of other labels that share an open key.
+
+    A node goes to as many pairs as its block has parts, whatever the number of labels under a key.
+    """
+    runs = open_runs.join(placed.select("node", "block", "part"), "node")
+    held = runs.groupBy("key", F.col("part").alias("other")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    met = runs.join(held, "key").where("least != label OR most != label")
+    return met.select("node", "block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).distinct()
+
+
+def pair_links(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between the labels of each (block, lo, hi) of `members` (node, label, text)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, sets = sets_of(table, width)
+        nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
+        matrix = Matrix(sets, num, den)
+        first: dict[bytes, int] = {}
+        matrix.parent = [first.setdefault(label, k) for k, label in enumerate(labels)]
+        found = matrix.link(sorted(range(len(sets)), key=lambda k: (len(sets[k]), nodes[k])))
+        del matrix, sets
+        give_back()
+        return pa.table([pa.array([nodes[x] for x, _ in found], pa.binary()), pa.array([nodes[y] for _, y in found], pa.binary())], schema=LINKS)
+
+    return members.groupBy("block", "lo", "hi").applyInArrow(run, "a BINARY, b BINARY")
+
+
+def cross_links(texts: DataFrame, split: DataFrame, found: DataFrame, inner: DataFrame, width: int, num: int, den: int, block_shingles: int) -> DataFrame:
     """Links between chunks of blocks too large for one task.
 
     First every set meets the leader of each key it shares, which joins large
-    groups of near copies.  Then only sets and components that still differ and
-    share a key meet: the set is sent to the component's chunks.
+    groups of near copies; the sets are dealt to parts of bounded shingles, and
+    the leader goes to each.  Then only sets that share a key with a component
+    that still differs meet: they are dealt to parts, and pairs of parts compared.
     """
-    inside = split.select("node", "chunk", "rep")
-    text = texts.select(F.col("id").alias("rep"), "text")
+    inside = split.select("node", "block", "rep", "mark", "n_shingles")
+    text = texts.select(F.col("id").alias("rep"), "mark", "text")
     ours = found.join(inside.select("node"), "node", "left_semi")
     pairs = ours.select("node", F.col("leader").alias("label")).distinct()
-    leaders = inside.select(F.col("node").alias("label"), "rep").join(pairs.select("label").distinct(), "label").join(text, "rep").select(F.col("label").alias("node"), "label", F.lit(0).alias("chunk"), "text")
-    asking = pairs.join(inside, "node").join(text, "rep").select("node", "label", F.lit(0).alias("chunk"), "text")
+    asked = cut_lineage(in_parts(pairs.join(inside, "node"), "label", block_shingles))
+    asking = asked.join(text, ["rep", "mark"]).select("node", "label", F.col("part").alias("chunk"), "text")
+    led = asked.select("label", "parts").distinct().join(inside.withColumnRenamed("node", "label"), "label").join(text, ["rep", "mark"])
+    leaders = led.select(F.col("label").alias("node"), "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"), "text")
     stars_linked = cut_lineage(probe_links(leaders, asking, width, num, den))
     linked = inner.unionByName(stars_linked)
 
@@ -465,13 +503,10 @@ def cross_links(texts: DataFrame, split: DataFrame, found: DataFrame, inner: Dat
     seen = runs.join(labels.select("node", "label"), "node")
     mixed = seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
     open_runs = cut_lineage(seen.join(mixed, "key", "left_semi"))
-    targets = open_runs.select("key", F.col("label").alias("target")).distinct()
-    wanted = open_runs.join(targets, "key").where("label > target").select("node", F.col("target").alias("label")).distinct()
-    places = labels.select("label", "chunk").distinct()
-    probes = wanted.join(places, "label").join(inside.select("node", "rep"), "node").join(text, "rep").select("node", "label", "chunk", "text")
-    targeted = wanted.select("label").distinct()
-    members = labels.join(targeted, "label", "left_semi").join(text, "rep").select("node", "label", "chunk", "text")
-    return stars_linked.unionByName(cut_lineage(probe_links(members, probes, width, num, den)))
+    placed = cut_lineage(in_parts(labels.join(open_runs.select("node").distinct(), "node", "left_semi"), "block", block_shingles))
+    met = cut_lineage(meetings(open_runs, placed))
+    members = met.join(placed.drop("block"), "node").join(text, ["rep", "mark"]).select("node", "label", "block", "lo", "hi", "text")
+    return stars_linked.unionByName(cut_lineage(pair_links(members, width, num, den)))
 
 
 def jaccard_join(
@@ -499,11 +534,14 @@ def jaccard_join(
     shuffle, so copies cost a row each and nothing more.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.withColumn("mark", F.xxhash64("text"))  # with the id: rows without an id, or that repeat one, meet their own set only
     carried = {f"_carry{k}": F.col(c) for k, c in enumerate(carry)}
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(c.alias(n) for n, c in carried.items()))
+    keyed = keyed.withColumn("mark", F.xxhash64("text"))
     thin = cut_lineage(shingled(keyed, "text", width))
     full = thin.where("n_shingles > 0")
-    reps = cut_lineage(full.groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
+    one = full.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("one"), F.max("n_shingles").alias("n_shingles"))
+    reps = cut_lineage(one.select("node", F.col("one.id").alias("rep"), F.col("one.mark").alias("mark"), "n_shingles"))
     links = set_links(texts, reps, width, num, den, block_shingles)
     labelled = with_labels(reps.select("node", "rep"), links)
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from arborist.llm.jaccard import Matrix, Parts, jaccard_join
+from arborist.llm.jaccard import Matrix, Parts, in_parts, jaccard_join, meetings
 from arborist.llm.shingles import digests, shingle_sets
 
 SCHEMA = "doc_id LONG, text STRING, n_shingles STRING"
@@ -147,3 +148,24 @@ def test_matrix_opens_few_groups_and_links_the_same():
         ours.setdefault(m.find(k), set()).add(k)
         theirs.setdefault(find(k), set()).add(k)
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_probes_and_meetings_are_bounded(spark):
+    rows = spark.createDataFrame([(bytes([k // 256, k % 256]), b"leader", 10) for k in range(400)], "node BINARY, label BINARY, n_shingles LONG")
+    sizes = [r["count"] for r in in_parts(rows, "label", 500).groupBy("label", "part").count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 400 and max(sizes) < 100
+    nodes = rows.select("node", F.lit(b"block").alias("block"), "n_shingles")
+    met = meetings(rows.select(F.lit(7).alias("key"), "node", F.col("node").alias("label")), in_parts(nodes, "block", 1000))
+    assert met.count() == 400 * 4 and met.select("lo", "hi").distinct().count() == 10
+
+
+def test_unlinked_sets_and_near_copies_without_ids_across_parts(spark):
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(None if k % 3 else k, " ".join([f"u{k}x{j}" for j in range(30)] + passage)) for k in range(24)]
+    base = [f"b{k}" for k in range(150)]
+    for k in range(24):
+        words = list(base)
+        words[rng.randrange(150)] = f"e{k}"
+        rows.append((None if k % 3 else 100 + k, " ".join(words + (passage[:20] if k % 2 else []))))
+    assert run(spark, rows, width=4, num=80, den=100, block_shingles=400) == brute_force(rows, 4, 80, 100)
