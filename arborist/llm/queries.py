@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from arborist.llm.bpe import bpe_round_trip
 from arborist.llm.chat import rotate_perspectives
-from arborist.llm.common import word_count
+from arborist.llm.common import WORD, word_count
 from arborist.llm.curriculum import curriculum_mix
 from arborist.llm.exact_dedup import exact_dedup
 from arborist.llm.jaccard import jaccard_join
 from arborist.llm.quality import classify, held_out, quality_model
+from arborist.llm.runs import periodic_runs
 from arborist.llm.sharding import external_shuffle, record_bytes, write_shards
 from arborist.llm.topk import exact_top_k
 from arborist.llm.warc import archive_pages, read_records
@@ -208,6 +209,79 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by the checksum of its id, goes on periodically from a place on."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    planted = docs.where((h % 10 == 0) & (word_count(F.col("text")) > 0))
+    n, g = F.size("words"), F.floor(h / 10)
+    parts = (
+        planted.select("doc_id", words.alias("words"))
+        .select("doc_id", "words", n.alias("n"), (g % n).cast("int").alias("a"), (3 + g % 8).cast("int").alias("d"))
+        .select("*", (1 + F.floor((F.col("n") - F.col("a")) / F.col("d"))).cast("int").alias("p"))
+    )
+    rest = F.col("n") - F.col("a")
+    again = F.array_repeat(F.slice("words", F.col("a") + 1, "p"), F.ceil(rest / F.col("p")).cast("int"))
+    tail = F.slice(F.flatten(again), F.lit(1), rest)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    others = docs.where(~((h % 10 == 0) & (word_count(F.col("text")) > 0)))
+    return others.select("doc_id", "text").unionByName(parts.select("doc_id", text.alias("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS s, -r.period AS p)))")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (
+        periodic_runs(docs)
+        .withColumn("longest", longest)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            (-F.col("longest.s")).alias("start"),
+            F.col("longest.length").alias("length"),
+            (-F.col("longest.p")).alias("period"),
+            F.floor(1000 * F.col("longest.length") / -F.col("longest.p")).alias("exponent_milli"),
+            F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+#: CRC-32 of the bytes of a short ASCII string, by its table of remainders.
+SQL_CRC32 = """crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t)"""
+
+
+def sql_crc32(blob: str) -> str:
+    """Unsigned CRC-32 of a blob expression, where `crc` of SQL_CRC32 is joined."""
+    byte = f"('0x' || substr(hex({blob}), 2 * k + 1, 2))::BIGINT"
+    return f"xor(4294967295, list_reduce(range(octet_length({blob})), lambda c, k: xor(c >> 8, t[xor(c & 255, {byte}) + 1]), 4294967295))"
+
+
+SQL_OP11 = f"""
+WITH {SQL_CRC32},
+d AS (
+  SELECT doc_id, {sql_crc32("coalesce(doc_id::VARCHAR, '')::BLOB")} AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0 FROM documents, crc),
+a AS (SELECT *, len(w0) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) ELSE len(w0) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (SELECT doc_id, n, list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS w FROM p),
+t AS (SELECT doc_id, n, unnest(w) AS w, unnest(range(n)) AS i FROM w),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 2),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+r0 AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM s GROUP BY doc_id, q, island HAVING count(*) >= greatest(q, 12 - q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM r0 GROUP BY 1, 2, 3),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS l,
+                 arg_max(struct_pack(s := start, l := length, p := period), [length, -start, -period]) AS b FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT t.doc_id, string_agg(t.w, ' ' ORDER BY t.i) AS k FROM t ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY 1)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli,
+       sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
@@ -219,5 +293,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum": op8_curriculum,
     "op9_chat_rotation": op9_chat_rotation,
     "op10_html_extraction": op10_html_extraction,
+    "op11_periodic_runs": op11_periodic_runs,
+}
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": SQL_OP1,
+    "op3_warc": SQL_OP3,
+    "op5_exact_dedup": SQL_OP5,
+    "op6_top_k": SQL_OP6,
+    "op8_curriculum": SQL_OP8,
+    "op9_chat_rotation": SQL_OP9,
+    "op11_periodic_runs": SQL_OP11,
 }
-ORACLES: dict[str, str] = {"op1_jaccard_join": SQL_OP1, "op3_warc": SQL_OP3, "op5_exact_dedup": SQL_OP5, "op6_top_k": SQL_OP6, "op8_curriculum": SQL_OP8, "op9_chat_rotation": SQL_OP9}
