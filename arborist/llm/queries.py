@@ -17,6 +17,7 @@ from arborist.llm.jaccard import jaccard_join
 from arborist.llm.quality import classify, held_out, quality_model
 from arborist.llm.runs import periodic_runs
 from arborist.llm.sharding import external_shuffle, record_bytes, write_shards
+from arborist.llm.spelling import counted, letter_runs, spelling_variants
 from arborist.llm.topk import exact_top_k
 from arborist.llm.warc import archive_pages, read_records
 from arborist.llm.wrappers import extract_main_text
@@ -282,6 +283,47 @@ FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+SHORTEST_WORD = 7
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = docs.select("doc_id", F.explode(letter_runs(F.col("text"), SHORTEST_WORD)).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run"))
+    hit = runs.select("run", h.alias("h"))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    words = counted(hit, F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")))
+    words = words.where((F.char_length("word") >= SHORTEST_WORD) & (F.col("n") >= 2))
+    return spelling_variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+SQL_OP12 = f"""
+WITH RECURSIVE {SQL_CRC32},
+d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS m FROM d WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (SELECT run, m, {sql_crc32("encode(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM u, crc),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM h),
+w AS (SELECT word, sum(m)::BIGINT AS n FROM c WHERE length(word) >= 7 GROUP BY 1 HAVING sum(m) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM x),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.rest = w.word
+  UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.rest = w.word),
+g AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY 1),
+b AS (SELECT p.word, min(near) AS near, near_n FROM p JOIN g ON p.word = g.word AND p.near_n = g.top GROUP BY p.word, near_n),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN g USING (word) LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS at, form AS onward FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.onward = f.word)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.at AS root FROM f JOIN r ON r.word = f.word AND r.onward IS NULL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
@@ -294,6 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_rotation": op9_chat_rotation,
     "op10_html_extraction": op10_html_extraction,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": SQL_OP1,
@@ -303,4 +346,5 @@ ORACLES: dict[str, str] = {
     "op8_curriculum": SQL_OP8,
     "op9_chat_rotation": SQL_OP9,
     "op11_periodic_runs": SQL_OP11,
+    "op12_spelling_variants": SQL_OP12,
 }
