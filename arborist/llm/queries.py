@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborist.llm.bpe import bpe_round_trip
+from arborist.llm.brown import brown_scores
 from arborist.llm.chat import rotate_perspectives
 from arborist.llm.common import WORD, word_count
 from arborist.llm.curriculum import curriculum_mix
@@ -324,6 +325,13 @@ SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.at AS root FROM f JOIN r ON r.
 """
 
 
+def op13_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    scored = brown_scores(docs, learn=~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
@@ -337,6 +345,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_brown_lm": op13_brown_lm,
 }
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": SQL_OP1,
