@@ -362,7 +362,7 @@ def exchange_round(stats: DataFrame, matrix: np.ndarray, slice_rows: int = 60_00
         codes, at = np.unique(pc.list_flatten(table["codes"]).to_numpy(), return_inverse=True)
         counts = np.bincount(at, pc.list_flatten(table["counts"]).to_numpy()).astype(np.int64)
         row = {"word": [table["word"][0].as_py()], "class": [table["class"][0].as_py()], "n": [pc.sum(table["n"]).as_py()], "codes": [codes], "counts": [counts]}
-        return pa.table({c: pa.array(v, table.schema.field(c).type) for c, v in row.items()})
+        return pa.table({c: pa.array(v, table.schema.field(c).type) for c, v in row.items()}, schema=table.schema)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []

@@ -144,7 +144,7 @@ def test_scores_do_not_depend_on_blocks(spark):
 def test_streamed_sums_of_a_word(spark):
     """A word whose rows fill several slices gets one class, from the sum of its rows."""
     rows = [(bytearray(b"w%d" % (i % 3)), 1, 2, [0, 4 + i % 4], [1, 1]) for i in range(400)]
-    stats = spark.createDataFrame(rows, brown.STATS)
+    stats = spark.createDataFrame([*rows, (None, 0, 0, [], [])], brown.STATS).where("word is not null")
     matrix = np.array([[0, 9, 3, 0], [4, 2, 8, 0], [8, 1, 5, 0], [0, 0, 0, 0]])
     small, large = ({bytes(r.word): r["class"] for r in brown.exchange_round(stats, matrix, size).collect()} for size in (7, 10**6))
     assert small == large and set(small) == {b"w0", b"w1", b"w2"}
