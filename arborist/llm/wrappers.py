@@ -9,9 +9,12 @@ so the pages of a host are folded into one wrapper in any order: within tasks,
 to which they are dealt by their texts, then between tasks.  Pages of a host
 with equal texts count as one.
 
-The article of a page is its marked-up regions; on a page without any, the
-wrapper says where it is: text that varies between pages and is not mostly
-links, and all of the part that holds most of it.
+Every page is aligned with its host's wrapper, and what its nodes match decides
+about their text: slots whose text is the same on the host's pages are template,
+nodes that are mostly links on all of them are menus, varying slots are content.
+Tags and class names are further witnesses, weighed against what a node holds
+on the host's pages; a text that matches nothing follows the node around it,
+and a wrapper without varying text has no content.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -43,11 +46,14 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 BLOCKS_END_P = frozenset(
     "address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split()
 )
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments cookie cookies consent disqus "
-    "footer header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond "
-    "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+# Of these, a class name's part is enough for the first kind; the second needs its place or its links to agree.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus modal nav navbar navigation "
+    "newsletter pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe widget widgets".split()
 )
+WEAK = frozenset("banner byline footer header menu notice notices pager skip toolbar".split())
+PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption td th dd dt".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>"
@@ -57,62 +63,87 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9:-])", re.I | re.A) for tag in RAW}
 BODY = re.compile("<body", re.I | re.A)
-MIN_PAGES = 3  # pages of different texts
+NUMBERED = re.compile(r"[^\s_-]*\d[^\s_-]*")
 TEMPLATE_SHARE = 0.5  # of a host's pages of different texts: a text that so many have, and always the same, is template
-MAX_DEPTH = 120  # deeper elements end a block but have no node of their own
+CERTAIN_PAGES, CERTAIN_SHARE = 4, 0.8  # so many agree that it is template even at the edge of an article
+RUNNING = 80  # characters of a block of running text
+RARE_CHILDREN = 200  # beyond, children of labels that hardly a page has share one node per tag
+DEPTH = 1 << 20  # of Python calls: trees are as deep as the page
+CUT = -4  # evidence at which a node is cut off
 
 
 class Node:
-    """Wrapper or page node: how many pages have it, whether it repeats, its text, its children."""
+    """Wrapper or page node: how many pages have it, whether it repeats, its text and blocks of text, its children."""
 
-    __slots__ = ("label", "pages", "repeats", "chars", "link_chars", "constant", "children")
+    __slots__ = ("label", "pages", "repeats", "chars", "link_chars", "units", "constant", "children")
 
     def __init__(self, label: str):
-        self.label, self.pages, self.repeats, self.chars, self.link_chars = label, 1, False, 0, 0
+        self.label, self.pages, self.repeats, self.chars, self.link_chars, self.units = label, 1, False, 0, 0, 0
         self.constant: str | None = None  # digest of the text; "" where it varies
         self.children: list[Node] = []
 
     def pack(self) -> list:
-        return [self.label, self.pages, int(self.repeats), self.chars, self.link_chars, self.constant, [c.pack() for c in self.children]]
+        """The tree as a flat list, node by node from the top, so that its depth doesn't matter."""
+        out, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            out.append([node.label, node.pages, int(node.repeats), node.chars, node.link_chars, node.units, node.constant, len(node.children)])
+            stack.extend(reversed(node.children))
+        return out
 
     @staticmethod
-    def unpack(x: list) -> Node:
-        node = Node(x[0])
-        node.pages, node.repeats, node.chars, node.link_chars, node.constant = x[1], bool(x[2]), x[3], x[4], x[5]
-        node.children = [Node.unpack(c) for c in x[6]]
-        return node
+    def unpack(rows: list) -> Node:
+        top = Node("")
+        open_nodes: list[tuple[Node, int]] = [(top, 1)]
+        for label, pages, repeats, chars, link_chars, units, constant, children in rows:
+            node = Node(label)
+            node.pages, node.repeats, node.chars, node.link_chars, node.units, node.constant = pages, bool(repeats), chars, link_chars, units, constant
+            parent, left = open_nodes.pop()
+            parent.children.append(node)
+            if left > 1:
+                open_nodes.append((parent, left - 1))
+            if children:
+                open_nodes.append((node, children))
+        return top.children[0]
 
 
 def label_of(tag: str, attrs: str) -> str:
-    """Tag with class, id and role, without digits, which number things."""
+    """Tag with class, id and role; parts of names with digits, which number or hash things, are one sign."""
     found = {}
     for name, *values in ATTRIBUTE.findall(attrs) if attrs else ():
         found.setdefault(name.lower(), next((v for v in values if v), "").lower())
-    parts = [re.sub(r"\d+", "#", found[n]).strip() for n in ("class", "id", "role") if found.get(n)]
+    parts = [" ".join(NUMBERED.sub("#", found[n]).split()) for n in ("class", "id", "role") if found.get(n)]
     return " ".join([tag, *parts])
 
 
-def boilerplate(label: str, within_article: bool) -> bool:
-    """Whether a node's tag says that it is no part of an article."""
-    tag = label.partition(" ")[0]
-    return tag in BOILERPLATE and tag != "form" and not (tag == "header" and within_article)
-
-
-def doubtful(label: str) -> bool:
-    """Whether a whole class, id or role, or being a form, says so, which what the node holds may outweigh."""
+@lru_cache(maxsize=4096)
+def witness(label: str) -> tuple[str, int, bool, bool]:
+    """(tag, what class, id and role say against the node, whether they say so weakly, whether it is marked as an article)."""
     tag, _, rest = label.partition(" ")
-    if label.startswith("(") or tag in ("body", "html"):
-        return False
-    return tag == "form" or any(t.strip("#-_") in WORDS for t in rest.split())
+    if label.startswith("(") or tag in ("body", "html", "#text", "#page"):
+        return tag, 0, False, False
+    marked = tag in ("article", "main") or "main" in rest.split()
+    whole = {t.strip("#-_") for t in rest.split()}
+    parts = {p for t in whole for p in re.split(r"[-_#]+", t)} if tag not in PROSE else whole
+    against = 6 if whole & (STRONG | WEAK) or parts & STRONG else 0
+    if tag == "form":
+        against += 6
+    return tag, against, not against and bool(parts & WEAK), marked
 
 
 def article(label: str) -> bool:
-    tag, _, rest = label.partition(" ")
-    return not label.startswith("(") and tag not in ("body", "html") and (tag in ("article", "main") or "main" in rest.split())
+    return witness(label)[3]
 
 
 def holds_article(node: Node) -> bool:
-    return any((article(c.label) and not doubtful(c.label)) or holds_article(c) for c in node.children)
+    stack = list(node.children)
+    while stack:
+        c = stack.pop()
+        _, against, _, marked = witness(c.label)
+        if marked and not against:
+            return True
+        stack.extend(c.children)
+    return False
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -154,7 +185,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     tags: list[str] = ["#page"]
     texts: list[tuple[Node, str]] = []
     run: list[str] = []
-    links = linked = deeper = 0
+    links = linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -167,6 +198,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 slot = Node("#text")
                 node.children.append(slot)
             slot.chars += len(text)
+            slot.units += 1
             slot.link_chars += min(linked, len(text))
             mark = blake2b(text.encode(), digest_size=8).hexdigest()
             slot.constant = mark if slot.constant is None else blake2b((slot.constant + mark).encode(), digest_size=8).hexdigest()
@@ -198,9 +230,6 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             flush()
             if value in VOID:
                 continue
-            if len(stack) > MAX_DEPTH:
-                deeper += 1
-                continue
             node = Node(label_of(value, attrs))
             stack[-1].children.append(node)
             stack.append(node)
@@ -208,9 +237,6 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         else:
             links = 0
             flush()
-            if deeper:
-                deeper -= 1
-                continue
             for at in range(len(tags) - 1, 0, -1):
                 if tags[at] == value:
                     close(at)
@@ -224,9 +250,37 @@ def merge(a: Node, b: Node, same_page: bool = False) -> Node:
     out = Node(a.label)
     out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     out.repeats = a.repeats or b.repeats or same_page
-    out.chars, out.link_chars = a.chars + b.chars, a.link_chars + b.link_chars
+    out.chars, out.link_chars, out.units = a.chars + b.chars, a.link_chars + b.link_chars, a.units + b.units
     out.constant = a.constant if a.constant == b.constant else ""
     out.children = [x if y is None else y if x is None else merge(x, y, same_page) for x, y in align(regroup(a.children, b.children), regroup(b.children, a.children))]
+    if len(out.children) > RARE_CHILDREN:
+        out.children = gather_rare(out.children, out.pages)
+    return out
+
+
+def any_label(label: str) -> str:
+    """The label of all nodes of a tag whose own labels are rare."""
+    return label.partition(" ")[0] + " *"
+
+
+def gather_rare(children: list[Node], pages: int) -> list[Node]:
+    """Children with labels of their own that hardly a page has, as one node per tag."""
+    out: list[Node] = []
+    rare: dict[str, Node] = {}
+    for c in children:
+        label = any_label(c.label)
+        if c.label.startswith(("(", "#")) or (c.label != label and 50 * c.pages > pages):
+            out.append(c)
+            continue
+        held = rare.get(label)
+        c.label = label
+        if held is None:
+            rare[label] = c
+            out.append(c)
+        else:
+            total = held.pages + c.pages
+            absorb(held, c, {})
+            held.pages = total
     return out
 
 
@@ -291,25 +345,6 @@ def align(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]
     return pairs + [(x, None) for x in a] + [(None, y) for y in b]
 
 
-def greedy(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
-    """Each of `a` with the next free one of `b` that has its label; not exact, so `align` does not use it."""
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(b):
-        places.setdefault(y.label, []).append(j)
-    pairs: list[tuple[Node | None, Node | None]] = []
-    at = 0
-    for x in a:
-        own = places.get(x.label, [])
-        k = bisect_left(own, at)
-        if k < len(own):
-            pairs.extend((None, y) for y in b[at : own[k]])
-            pairs.append((x, b[own[k]]))
-            at = own[k] + 1
-        else:
-            pairs.append((x, None))
-    return pairs + [(None, y) for y in b[at:]]
-
-
 def group_of(nodes: list[Node]) -> Node:
     group = Node("(" + "|".join(n.label for n in nodes) + ")")
     group.pages = max(n.pages for n in nodes)
@@ -365,7 +400,7 @@ def absorb(into: Node, other: Node, place: dict[int, Node]) -> Node:
     """Merge `other` into `into`, in place, as a repeat on the same page."""
     place[id(other)] = into
     into.repeats = into.repeats or other.repeats
-    into.chars, into.link_chars = into.chars + other.chars, into.link_chars + other.link_chars
+    into.chars, into.link_chars, into.units = into.chars + other.chars, into.link_chars + other.link_chars, into.units + other.units
     into.constant = into.constant if into.constant == other.constant else ""
     children = []
     for x, y in align(regroup(into.children, other.children), regroup(other.children, into.children)):
@@ -393,158 +428,223 @@ def page_tree(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 
 def _hold(node: Node, keep: list[Node]) -> None:
-    for c in node.children:
-        keep.append(c)
-        _hold(c, keep)
-
-
-def regions(node: Node) -> list[Node]:
-    """The outermost article regions below `node` that are not within boilerplate."""
-    if boilerplate(node.label, False) or (doubtful(node.label) and not holds_article(node)):
-        return []
-    return [node] if article(node.label) else [r for c in node.children for r in regions(c)]
-
-
-def constant(node: Node, wrapper: Node) -> bool:
-    """Whether a text slot is part of the host's template: the same on all of enough different pages."""
-    return bool(node.constant) and node.pages >= max(MIN_PAGES, TEMPLATE_SHARE * wrapper.pages)
-
-
-def main_nodes(wrapper: Node) -> set[int]:
-    """Ids of the nodes that hold most of the running text of a host that varies."""
-    held: list[tuple[int, int]] = []
-
-    def mass(node: Node) -> int:
-        if boilerplate(node.label, False):
-            return 0
-        varies = node.label == "#text" and not constant(node, wrapper)
-        total = (max(0, node.chars - 2 * node.link_chars) if varies else 0) + sum(map(mass, node.children))
-        held.append((id(node), total))
-        return total
-
-    total = mass(wrapper)
-    return {k for k, own in held if 2 * own > total}
-
-
-def extract(page: str, wrapper: Node, central: set[int]) -> str:
-    """Texts of the article of a page, a line each.
-
-    All marked regions of the page are its article.  On a page without text in
-    any, it is the part with most of the text that varies in the host's wrapper,
-    and beside it all text that varies and is not mostly links.
-    A class word cuts nothing off that holds most of the host's varying text
-    (`central`) or, outside a region, an article.  Text without a partner in the
-    wrapper is an optional part and kept.
+    stack = [node]
+    while stack:
+        children = stack.pop().children
+        keep.extend(children)
+        stack.extend(children)
+
+
+class Host:
+    """A wrapper with what its nodes hold on all pages of the host."""
+
+    def __init__(self, wrapper: Node):
+        self.wrapper = wrapper
+        self.sizes: dict[int, tuple[int, int, int, int]] = {}  # characters, those in links, varying ones, running text that varies
+        order, stack = [], [wrapper]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(node.children)
+        for node in reversed(order):
+            below = [self.sizes[id(c)] for c in node.children]
+            varies = node.label == "#text" and not self.template(node)
+            own = (node.chars, node.link_chars, node.chars * varies, max(0, node.chars - 2 * node.link_chars) * varies)
+            self.sizes[id(node)] = tuple(map(sum, zip(own, *below)))
+        total = self.sizes[id(wrapper)][3]
+        self.central = {id(n) for n in order if total and 2 * self.sizes[id(n)][3] > total}
+
+    def template(self, slot: Node, certain: bool = False) -> bool:
+        """Whether a text slot is part of the template: the same on two different pages at least, and on enough of them."""
+        least = CERTAIN_PAGES if certain else 2
+        share = CERTAIN_SHARE if certain else TEMPLATE_SHARE
+        return bool(slot.constant) and slot.pages >= max(least, share * self.wrapper.pages)
+
+
+def extract(page: str, host: Host) -> str:
+    """Texts of the article of a page, a line each, as the host's wrapper tells them.
+
+    Text is kept where its slot in the wrapper varies over the host, and cut off
+    where the evidence about a node around it is against it: tags, class names,
+    links on the host's pages, place.  What a node holds outweighs its names: an
+    article, or most of the varying text of the host.  All marked regions of the
+    page are its article, in which only what nearly all of many pages have at
+    its edges is template.  On a page without text in any, it is the part
+    with most of the text that varies, and beside it all text that varies and is
+    not mostly links; a host with a single text has no variation to go by, and
+    there only running text and headings beside the main part are kept.
     """
     root, texts = page_tree(page)
-    chosen: set[int] = set()
-    partner: dict[int, Node] = {}
+    partner: dict[int, Node] = {id(root): host.wrapper}
+    around: dict[int, Node] = {}  # of nodes without a partner: that of the nearest node above them
     masses: dict[tuple[int, bool], int] = {}
-    sizes: dict[int, tuple[int, int]] = {}
-
-    def match(p: Node, w: Node) -> None:
-        partner[id(p)] = w
-        named = {}
+    lone = host.wrapper.pages < 2
+    chosen: set[int] = set()
+    stack = [(root, host.wrapper)]
+    while stack:
+        p, w = stack.pop()
+        named: dict[str, Node] = {}
         for c in w.children:
             named.setdefault(c.label, c)
         for x, y in align(regroup(p.children, w.children), regroup(w.children, p.children)):
-            if x is not None:
-                y = y or named.get(x.label)
-                if y is not None:
-                    match(x, y)
-
-    def partner_of(p: Node) -> Node | None:
-        if not partner:
-            match(root, wrapper)
-        return partner.get(id(p))
-
-    def template(p: Node) -> bool:
-        w = partner_of(p)
-        return w is not None and constant(w, wrapper)
-
-    def cut(p: Node, marked: bool, words: bool) -> bool:
-        """Whether `p` is cut off; `words`: by class words as well."""
-        if boilerplate(p.label, marked):
-            return True
-        if not words or not doubtful(p.label) or id(partner_of(p)) in central:
-            return False
-        return marked or not (article(p.label) or holds_article(p))
+            if x is None:
+                continue
+            y = y or named.get(x.label) or named.get(any_label(x.label))
+            if y is not None:
+                partner[id(x)] = y
+                stack.append((x, y))
+                continue
+            below = [x]
+            while below:
+                n = below.pop()
+                around[id(n)] = w
+                below.extend(n.children)
+
+    def template(p: Node, certain: bool = False) -> bool:
+        w = partner.get(id(p))
+        if w is None:  # follows the node around it
+            w = around.get(id(p))
+            return w is None or not host.sizes[id(w)][2]
+        return host.template(w, certain)
+
+    def link_share(p: Node) -> float:
+        """Share of links in a node's text, on the pages of the host that have it."""
+        w = partner.get(id(p))
+        if w is None:
+            chars = links = 0
+            below = [p]
+            while below:
+                n = below.pop()
+                chars, links = chars + n.chars, links + n.link_chars
+                below.extend(n.children)
+        else:
+            chars, links = host.sizes[id(w)][:2]
+        return links / chars if chars else 0.0
+
+    def evidence(p: Node, marked: bool, names: bool, edge: bool) -> int:
+        """What tells against a node (negative), `edge`: no running text of its parent on one side of it."""
+        tag, against, weak, _ = witness(p.label)
+        out = 0
+        if tag in BOILERPLATE and tag != "form" and not (tag == "header" and marked):
+            out -= 8
+        if names and (against or weak):
+            if weak:
+                against = 2 + 2 * (edge or link_share(p) > 0.2)
+            if id(partner.get(id(p))) in host.central or (not marked and (article(p.label) or holds_article(p))):
+                against = 0
+            out -= against
+        return out
+
+    def kept(p: Node, marked: bool, names: bool) -> list[Node]:
+        """Children that nothing tells against; in their order."""
+        edges = set()
+        for side in (p.children, reversed(p.children)):
+            for c in side:
+                if c.label != "#text" and witness(c.label)[2]:
+                    edges.add(id(c))
+                elif c.units and c.chars >= RUNNING or c.children:
+                    break
+        return [c for c in p.children if c.label == "#text" or evidence(c, marked, names, id(c) in edges) > CUT]
 
-    def mass(p: Node, words: bool) -> int:
+    def mass(p: Node, names: bool) -> int:
         """Characters of running text below a node that vary between pages."""
-        if (id(p), words) not in masses:
-            own = 0 if p.label != "#text" or template(p) else max(0, p.chars - 2 * p.link_chars)
-            masses[id(p), words] = own + sum(mass(c, words) for c in p.children if not cut(c, False, words))
-        return masses[id(p), words]
-
-    def size(n: Node) -> tuple[int, int]:
-        """Characters below a node, and those in links."""
-        if id(n) not in sizes:
-            below = [size(c) for c in n.children]
-            sizes[id(n)] = (n.chars if n.label == "#text" else 0) + sum(c for c, _ in below), (n.link_chars if n.label == "#text" else 0) + sum(k for _, k in below)
-        return sizes[id(n)]
-
-    def linked(p: Node) -> bool:
-        """Whether most of a node's text is links, on the pages of the host that have it."""
-        chars, links = size(partner_of(p) or p)
-        return 2 * links > chars
-
-    def collect(p: Node, marked: bool, words: bool) -> None:
+        if (id(p), names) not in masses:
+            total = 0 if p.label != "#text" or template(p) else max(0, p.chars - 2 * p.link_chars)
+            for c in kept(p, False, names):
+                total += mass(c, names)
+            masses[id(p), names] = total
+        return masses[id(p), names]
+
+    def collect(p: Node, marked: bool, names: bool) -> None:
         if p.label == "#text":
-            if marked or not template(p):
+            if not template(p) or (marked and id(p) in partner):
                 chosen.add(id(p))
             return
-        for c in p.children:
-            if not cut(c, marked, words):
-                collect(c, marked, words)
-
-    def leads(p: Node, inner: list[Node]) -> bool:
-        return any(c is r for c in p.children for r in inner) or any(leads(c, inner) for c in p.children)
+        for c in kept(p, marked, names):
+            collect(c, marked, names)
+
+    def trim(region: Node) -> None:
+        """Leave out what is certainly template before and after the other text of a region."""
+        inside = []
+        below = [region]
+        while below:
+            n = below.pop()
+            if id(n) in chosen:
+                inside.append(n)
+            below.extend(reversed(n.children))
+        own = [n for n in inside if not template(n, True)]
+        if own:
+            first, last = inside.index(own[0]), inside.index(own[-1])
+            chosen.difference_update(id(n) for n in inside[:first] + inside[last + 1 :])
+
+    def leads(p: Node, inner: set[int]) -> bool:
+        below = list(p.children)
+        while below:
+            n = below.pop()
+            if id(n) in inner:
+                return True
+            below.extend(n.children)
+        return False
 
-    def beside(p: Node, inner: list[Node], marked: bool, words: bool) -> None:
+    def beside(p: Node, inner: set[int], marked: bool, names: bool) -> None:
         """All of the `inner` nodes; of what is around them, text that varies and is not mostly links."""
+        fine = {id(c) for c in kept(p, marked, names)}
         for c in p.children:
-            if any(c is r for r in inner):
-                take(c, words) if marked else collect(c, False, words)
+            if id(c) in inner:
+                take(c, names) if marked else collect(c, False, names)
             elif leads(c, inner):
-                beside(c, inner, marked, words)
-            elif cut(c, marked, words) or linked(c):
+                beside(c, inner, marked, names)
+            elif id(c) not in fine or link_share(c) > 0.5:
                 continue
             elif c.label == "#text":
-                if not template(c):
+                if not template(c) and not (lone and c.chars < RUNNING * c.units and witness(p.label)[0] not in HEADINGS):
                     chosen.add(id(c))
             else:
-                beside(c, [], marked, words)
+                beside(c, set(), marked, names)
+
+    def regions(node: Node, names: bool) -> list[Node]:
+        """The outermost article regions below `node` that nothing around them tells against."""
+        out, below = [], [node]
+        while below:
+            n = below.pop()
+            if article(n.label):
+                out.append(n)
+            else:
+                below.extend(reversed(kept(n, False, names)))
+        return out
 
-    def take(region: Node, words: bool) -> None:
+    def take(region: Node, names: bool) -> None:
         """A marked region; one that is no article itself may hold articles among other things."""
-        inner = [] if region.label.partition(" ")[0] == "article" else [r for c in region.children for r in regions(c)]
+        inner: list[Node] = []
+        if region.label.partition(" ")[0] != "article":
+            for c in kept(region, True, True):
+                inner += regions(c, True)
         if inner:
-            beside(region, inner, True, words)
+            beside(region, {id(r) for r in inner}, True, names)
         else:
-            collect(region, True, words)
+            collect(region, True, names)
+            trim(region)
 
-    def dominant(words: bool) -> Node:
+    def dominant(names: bool) -> Node:
         """Where most of the running text that varies is; link lists within it are no boilerplate."""
         region = root
         while True:
-            inner = [c for c in region.children if c.label != "#text" and not cut(c, False, words)]
-            child = max(inner, key=lambda c: mass(c, words), default=None)
-            total = mass(region, words)
-            if child is None or not total or mass(child, words) < 0.6 * total or child.repeats or any(c.label == "#text" for c in child.children):
+            inner = [c for c in kept(region, False, names) if c.label != "#text"]
+            child = max(inner, key=lambda c: mass(c, names), default=None)
+            total = mass(region, names)
+            if child is None or not total or mass(child, names) < 0.6 * total or child.repeats or any(c.label == "#text" for c in child.children):
                 return region
             region = child
 
-    marked = regions(root)
-    for words in (True, False):  # a page whose text is all below class words keeps it
-        for region in marked:
-            take(region, words)
+    for names in (True, False):  # a page whose text is all below such names keeps it
+        for region in regions(root, True):
+            take(region, names)
         if not chosen:
-            region = dominant(words)
+            region = dominant(names)
             if region is root:
-                collect(root, False, words)
+                beside(root, set(), False, names)
             else:
-                beside(root, [region], False, words)
+                beside(root, {id(region)}, False, names)
         if chosen:
             break
     return "\n".join(text for slot, text in texts if id(slot) in chosen)
@@ -567,6 +667,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEPTH)
         seen: set[tuple[str, bytes]] = set()
         for batch in batches:
             rows = []
@@ -579,6 +680,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 4, TREES, strict=True)], schema=TREES)
 
     def fold_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEPTH)
         host: str | None = None
         last, total = b"", Node("#page")
         done: list[tuple[str, str]] = []
@@ -599,6 +701,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.string()), pa.array([w for _, w in done], pa.string())], schema=WRAPPERS)
 
     def join(table: pa.Table) -> pa.Table:
+        sys.setrecursionlimit(DEPTH)
         total: Node | None = None
         for text in sorted(table["wrapper"].to_pylist()):
             node = Node.unpack(json.loads(text))
@@ -626,25 +729,25 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     from their size: below Spark's broadcast limit pages stay where they are,
     above it both sides are shuffled and a host with many pages is split.
     """
-    (text,) = fresh(pages, "main_text")
+    text, host_name, page_name, wrapper_name = fresh(pages, "main_text", "host", "page", "wrapper")
     wrappers = cut_lineage(infer_wrappers(pages, url_col, html_col))
-    source = pages.withColumns({"_host": host_of(F.col(url_col)), "_page": F.coalesce(F.col(html_col), F.lit(""))})
-    joined = source.join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")), "_host").drop("_host")
+    source = pages.withColumns({host_name: host_of(F.col(url_col)), page_name: F.coalesce(F.col(html_col), F.lit(""))})
+    joined = source.join(wrappers.toDF(host_name, wrapper_name), host_name)
     kept = pages.columns
     names = [*kept, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[Node, set[int]]] = {}
+        sys.setrecursionlimit(DEPTH)
+        known: dict[str, Host] = {}
         for batch in batches:
             out = []
             for page, packed in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
                 if packed not in known:
                     if len(known) > 256:
                         known.clear()
-                    wrapper = Node.unpack(json.loads(packed))
-                    known[packed] = (wrapper, main_nodes(wrapper))
-                out.append(extract(page, *known[packed]))
+                    known[packed] = Host(Node.unpack(json.loads(packed)))
+                out.append(extract(page, known[packed]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], names=names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), f"`{text}` STRING"])
-    return joined.select(*kept, "_page", "_wrapper").mapInArrow(run, schema)
+    return joined.select(*kept, page_name, wrapper_name).mapInArrow(run, schema)
