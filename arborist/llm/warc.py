@@ -175,10 +175,18 @@ def roles(manifest: DataFrame, min_payload: int = 0) -> DataFrame:
     )
 
 
+def per_archive(rows: DataFrame, *then: str) -> DataFrame:
+    """`rows` in as many partitions as they name archives, by archive and then by the columns of `then`."""
+    archives = rows.agg(F.count_distinct("archive")).first()[0]
+    return rows.repartitionByRange(max(1, archives), "archive", *then)
+
+
 def normalise(wanted: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite the monolithic archives named in `wanted` (see `roles`) record by record; returns the manifest.
 
-    One task handles one archive: it inflates the file once, holds one record at
+    Archives are dealt to as many tasks as there are archives: the rows that name
+    them are few, and would be put into one task for their size, while the work
+    lies in the files.  One task handles one archive: it inflates the file once, holds one record at
     a time, and writes `<archive>` and its sidecar `<archive>.cdxj`, a line of
     JSON per record with offset and length.
     """
@@ -215,7 +223,8 @@ def normalise(wanted: DataFrame, source: str, target: str) -> DataFrame:
                 offset += len(member)
         return pa.table({"archive": [new], "records": pa.array([len(role)], pa.int64()), "bytes": pa.array([offset], pa.int64())})
 
-    return cut_lineage(wanted.groupBy("archive").applyInArrow(rewrite, "archive STRING, records LONG, bytes LONG"))
+    wanted = cut_lineage(wanted)
+    return cut_lineage(per_archive(wanted).groupBy("archive").applyInArrow(rewrite, "archive STRING, records LONG, bytes LONG"))
 
 
 def offset_index(manifest: DataFrame, folder: str) -> DataFrame:
@@ -261,7 +270,8 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
         if source is not None:
             source.close()
 
-    return index.select("archive", "offset", "length").mapInArrow(read, READ)
+    dealt = per_archive(cut_lineage(index.select("archive", "offset", "length")), "offset")
+    return dealt.sortWithinPartitions("archive", "offset").mapInArrow(read, READ)
 
 
 def archive_pages(pages: DataFrame, folder: str, min_payload: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:

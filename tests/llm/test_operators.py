@@ -160,6 +160,18 @@ def test_warc_members_stand_alone_and_damage_is_seen(spark):
         list(warc.records(iter([b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab"])))
 
 
+def test_archives_are_dealt_to_a_task_each(spark):
+    rows = spark.createDataFrame([(f"archive-{k % 24}", k) for k in range(24 * 30)], "archive STRING, record INT").repartition(3)
+    tasks = warc.per_archive(rows).select("archive", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 24 == len({r["task"] for r in tasks})
+    folder = scratch(spark, "test-warc")
+    many = [(k, f"https://x.example/{k}", f"page {k} " * 30) for k in range(60)]
+    index = warc.archive_pages(pages(spark, many), folder, file_bytes=600)
+    assert index.select("archive").distinct().count() >= 20
+    found = warc.read_records(index, f"{folder}/records")
+    assert found.rdd.getNumPartitions() >= 20 and sorted(r["page_id"] for r in found.collect()) == list(range(60))
+
+
 # Sharding
 
 
