@@ -6,9 +6,11 @@ probability is then the product, over its tokens, of a class transition and of
 the word's share in its class.
 
 Texts are packed into blocks of bounded size, each with its own dictionary.
-What the corpus knows of a word (count, class) reaches the tokens through the
-dictionaries: one row per block and distinct word is joined and sent to its
-block, never one per token.  Classes come from two stages:
+Words are dealt by their hashes to ranges of bounded size.  Blocks and ranges
+exchange packets: a block sends its words of a range, and later their counts of
+neighbouring classes; a range sends back what it knows of these words.  So a
+shuffle moves a few packed rows for each block, never a row per token or word.
+Classes come from two stages:
 
 * the most frequent words, a fixed number, exchange one after the other on
   their own bigram counts until none gains;
@@ -34,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborist.llm.common import fresh, from_files, give_back, locator
-from arborist.session import cut_lineage, scratch
+from arborist.llm.shingles import mix, powers
+from arborist.session import cut_lineage
 
 CLASSES = 48  #: classes of words; the end of a text is a further one, 0
 SEEDS = 512  #: most frequent words, clustered first
 ROUNDS = 2  #: exchange rounds over the whole vocabulary
 BLOCK_BYTES = 1 << 23  #: text in a block; a longer text is a block of its own
+RANGE_WORDS = 1 << 19  #: dictionary entries in a range of words
 SHARE = 0.1  #: pseudo-count of a word in its class, and of an unknown word in every class
 BACKOFF = 10.0  #: pseudo-count of the class frequencies in a transition
 END = b""  #: the end of a text, in dictionaries: no word is empty
@@ -55,43 +59,53 @@ def phi(x: np.ndarray) -> np.ndarray:
 # blocks
 
 
-BLOCK = T.StructType(
-    [
-        T.StructField("block", T.LongType()),
-        T.StructField("places", T.ArrayType(T.StringType())),
-        T.StructField("learn", T.BinaryType()),
-        T.StructField("sizes", T.BinaryType()),
-        T.StructField("tokens", T.BinaryType()),
-        T.StructField("words", T.ArrayType(T.BinaryType())),
-        T.StructField("counts", T.ArrayType(T.LongType())),
-    ]
-)
-BLOCK_ARROW = pa.schema(
-    [
-        ("block", pa.int64()),
-        ("places", pa.list_(pa.string())),
-        *((c, pa.binary()) for c in ("learn", "sizes", "tokens")),
-        ("words", pa.list_(pa.binary())),
-        ("counts", pa.list_(pa.int64())),
-    ]
-)
+BLOCK = "block LONG, places ARRAY<STRING>, learn BINARY, sizes BINARY, tokens BINARY, seats BINARY, words BINARY, hashes BINARY, counts BINARY, n_words LONG"
+PACKET = "range LONG, block LONG, data BINARY"
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """An array of non-negative integers as bytes, short numbers in two bytes."""
-    wide = bool(len(values)) and int(values.max()) > 65535
-    raw = values.astype("<i4" if wide else "<u2").tobytes()
-    return (b"4" if wide else b"2") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """An array of integers as bytes, small numbers in two bytes each."""
+    values = np.asarray(values)
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    kind = "<u2" if low >= 0 and high < 1 << 16 else "<i4" if -(1 << 31) <= low and high < 1 << 31 else "<i8"
+    raw = values.astype(kind).tobytes()
+    return kind[1:].encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[1:9], "little")
-    raw = pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, "<i4" if data[:1] == b"4" else "<u2").astype(np.int64)
+    raw = pa.decompress(data[10:], decompressed_size=int.from_bytes(data[2:10], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, "<" + data[:2].decode()).astype(np.int64)
 
 
-def pack_block(number: int, places: list[str], learn: list[bool], texts: list[bytes]) -> pa.RecordBatch:
-    """One block: where its texts are, whether they teach, their lengths, and their tokens in the block's dictionary."""
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays of a packet that holds several."""
+    out = []
+    while data:
+        size = int.from_bytes(data[:8], "little")
+        out.append(unsqueeze(data[8 : 8 + size]))
+        data = data[8 + size :]
+    return out
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Numbers below 2**62 that deal words out; equal words have equal numbers."""
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(words.to_pylist()), dtype=np.uint8)
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    mixed = mix((sums[ends] - sums[ends - sizes]) * down[ends - sizes] + sizes.astype(np.uint64))
+    return (mixed >> np.uint64(2)).astype(np.int64)
+
+
+def pack_block(number: int, places: list[str], learn: list[bool], texts: list[bytes]) -> dict:
+    """One block: where its texts are, whether they teach, their lengths and tokens, and the block's dictionary.
+
+    Tokens are ranks by frequency.  The dictionary is in the order of the words'
+    hashes, so that every range of hashes is a slice; `seats` says where the word
+    of a rank is in it.
+    """
     parts, sizes = [], []
     for text in texts:
         words = text.translate(LOWER).split()
@@ -99,25 +113,38 @@ def pack_block(number: int, places: list[str], learn: list[bool], texts: list[by
         sizes.append(len(words))
         parts.append(pa.array(words, pa.binary()))
     coded = pa.chunked_array(parts).combine_chunks().dictionary_encode()
+    del parts
     tokens = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = len(coded.dictionary)
     teaches = np.repeat(np.array(learn, dtype=bool), sizes)
-    counts = np.bincount(tokens[teaches], minlength=len(coded.dictionary))
-    # frequent words get small numbers
-    order = np.argsort(-np.bincount(tokens, minlength=len(coded.dictionary)), kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    columns = [
-        pa.array([number], pa.int64()),
-        pa.array([places], pa.list_(pa.string())),
-        *(pa.array([squeeze(np.asarray(v))], pa.binary()) for v in (np.array(learn, dtype=np.int64), sizes, rank[tokens])),
-        pa.array([coded.dictionary.take(pa.array(order))], pa.list_(pa.binary())),
-        pa.array([counts[order]], pa.list_(pa.int64())),
-    ]
-    return pa.RecordBatch.from_arrays(columns, schema=BLOCK_ARROW)
+    counts = np.bincount(tokens[teaches], minlength=size)
+    by_rank = np.argsort(-np.bincount(tokens, minlength=size), kind="stable")
+    rank = np.empty(size, dtype=np.int64)
+    rank[by_rank] = np.arange(size)
+    hashes = word_hashes(coded.dictionary)
+    by_hash = np.argsort(hashes, kind="stable")
+    seat = np.empty(size, dtype=np.int64)
+    seat[by_hash] = np.arange(size)
+    return {
+        "block": number,
+        "places": places,
+        "learn": squeeze(np.array(learn, dtype=np.int64)),
+        "sizes": squeeze(np.array(sizes)),
+        "tokens": squeeze(rank[tokens]),
+        "seats": squeeze(seat[by_rank]),
+        "words": b" ".join(coded.dictionary.take(pa.array(by_hash)).to_pylist()),
+        "hashes": hashes[by_hash].tobytes(),
+        "counts": squeeze(counts[by_hash]),
+        "n_words": size,
+    }
 
 
 def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks of `docs`(place, learn, text)."""
+    schema = T._parse_datatype_string(BLOCK)
+    arrow = pa.schema(
+        [("block", pa.int64()), ("places", pa.list_(pa.string())), *((c, pa.binary()) for c in schema.names[2:9]), ("n_words", pa.int64())]
+    )
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -129,44 +156,130 @@ def pack(docs: DataFrame, block_bytes: int) -> DataFrame:
             for place, teaches, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 text = text or b""
                 if texts and held + len(text) > block_bytes:
-                    yield pack_block(number, places, learn, texts)
+                    yield pa.RecordBatch.from_pylist([pack_block(number, places, learn, texts)], schema=arrow)
                     number, places, learn, texts, held = number + 1, [], [], [], 0
                 places.append(place)
                 learn.append(bool(teaches))
                 texts.append(text)
                 held += len(text) + 1
         if texts:
-            yield pack_block(number, places, learn, texts)
+            yield pa.RecordBatch.from_pylist([pack_block(number, places, learn, texts)], schema=arrow)
         del places, learn, texts
         give_back()
 
-    return docs.select("place", "learn", "text").mapInArrow(kernel, BLOCK)
+    return docs.select("place", "learn", "text").mapInArrow(kernel, schema)
 
 
-def local(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, whether each teaches, number of tokens of every text) of a block."""
-    sizes = unsqueeze(block["sizes"][0].as_py())
-    teaches = np.repeat(unsqueeze(block["learn"][0].as_py()).astype(bool), sizes)
-    return unsqueeze(block["tokens"][0].as_py()), teaches, sizes
+def cuts(hashes: bytes, ranges: int) -> np.ndarray:
+    """Where the slices of a block's dictionary begin and end, for so many ranges of hashes."""
+    bounds = np.array([((1 << 62) * r) // ranges for r in range(ranges)], dtype=np.int64)
+    own = np.frombuffer(hashes, dtype=np.int64)
+    return np.append(np.searchsorted(own, bounds), len(own))
 
 
-def spread(entries: pa.Table, column: str, size: int, missing: int) -> np.ndarray:
-    """A column of a block's dictionary rows, by the word's number in the block."""
-    out = np.full(size, missing, dtype=np.int64)
-    out[entries["at"].to_numpy()] = pc.fill_null(entries[column], missing).to_numpy()
-    return out
+def packets(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table(
+        {"range": pa.array([r for r, _, _ in rows], pa.int64()), "block": pa.array([b for _, b, _ in rows], pa.int64()), "data": pa.array([d for _, _, d in rows], pa.binary())}
+    )
+
+
+def number_words(blocks: DataFrame, ranges: int, seeds: int) -> DataFrame:
+    """Packets of a range of words: per block the numbers of its words, and for the whole range (`block` -1) their counts.
+
+    A range's most frequent words come with it (`block` -2, one packet per word:
+    its count, high byte first, its number, and the word), and where the end is
+    (`block` -3: its number).
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, counts, at = row["words"].split(b" "), unsqueeze(row["counts"]), cuts(row["hashes"], ranges)
+                found = [
+                    (r, row["block"], len(c := squeeze(counts[a:b])).to_bytes(8, "little") + c + b" ".join(words[a:b]))
+                    for r, (a, b) in enumerate(zip(at, at[1:]))
+                    if b > a
+                ]
+                yield from packets(found).to_batches()
+        give_back()
+
+    def number(table: pa.Table) -> pa.Table:
+        r = table["range"][0].as_py()
+        parts, counts = [], []
+        for data in table["data"].to_pylist():
+            size = int.from_bytes(data[:8], "little")
+            counts.append(unsqueeze(data[8 : 8 + size]))
+            parts.append(pa.array(data[8 + size :].split(b" "), pa.binary()))
+        coded = pa.chunked_array(parts).combine_chunks().dictionary_encode()
+        ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.bincount(ids, np.concatenate(counts), minlength=len(coded.dictionary)).astype(np.int64)
+        bounds = np.cumsum([0, *map(len, parts)])
+        rows = [(r, b, squeeze(ids[a:z])) for b, a, z in zip(table["block"].to_pylist(), bounds, bounds[1:])]
+        rows.append((r, -1, squeeze(total)))
+        # by count, then by word
+        lead = np.flatnonzero(total >= max(1, np.sort(total)[-min(seeds + 1, len(total))]))
+        named = sorted((-int(total[k]), coded.dictionary[int(k)].as_py(), int(k)) for k in lead)
+        for count, word, k in [x for x in named if x[1] != END][:seeds]:
+            rows.append((r, -2, (-count).to_bytes(8, "big") + k.to_bytes(8, "little") + word))
+        end = pc.index(coded.dictionary, pa.scalar(END, pa.binary())).as_py()
+        if end >= 0:
+            rows.append((r, -3, end.to_bytes(8, "little")))
+        give_back()
+        return packets(rows)
+
+    dealt = blocks.select("block", "words", "hashes", "counts").mapInArrow(deal, PACKET)
+    return dealt.groupBy("range").applyInArrow(number, PACKET)
+
+
+def attach(ids: DataFrame, *states: DataFrame) -> DataFrame:
+    """What is known of the words of every range (`states`: range, data), dealt to the blocks that have them."""
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        values = [unsqueeze(d) for _, d in sorted(zip(right["place"].to_pylist(), right["data"].to_pylist()))]
+        rows = []
+        for r, block, data in zip(left["range"].to_pylist(), left["block"].to_pylist(), left["data"].to_pylist()):
+            own = unsqueeze(data)
+            packed = [squeeze(v[own]) for v in values]
+            rows.append((r, block, b"".join(len(p).to_bytes(8, "little") + p for p in packed)))
+        return packets(rows)
+
+    known = [s.select(F.col("range").alias("of"), F.lit(k).alias("place"), "data") for k, s in enumerate(states)]
+    every = known[0]
+    for more in known[1:]:
+        every = every.unionByName(more)
+    return ids.groupBy("range").cogroup(every.groupBy("of")).applyInArrow(kernel, PACKET)
+
+
+def meet(blocks: DataFrame, attached: DataFrame, kernel, schema: str) -> DataFrame:
+    """Each block with what is attached to its dictionary, in one task of bounded size.
 
+    `kernel` takes the block's row, its tokens as places in the dictionary, and the attached values by place.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (block,) = left.to_pylist()
+        slices = []
+        for _, data in sorted(zip(right["range"].to_pylist(), right["data"].to_pylist())):
+            slices.append(unpacked(data))
+        known = [np.concatenate(v) for v in zip(*slices)]
+        del slices
+        out = kernel(block, unsqueeze(block["seats"])[unsqueeze(block["tokens"])], *known)
+        give_back()
+        return out
 
-def meet(blocks: DataFrame, entries: DataFrame, kernel, schema: str) -> DataFrame:
-    """Each block with its dictionary rows, in one task of bounded size."""
-    tokens = blocks.select("block", "places", "learn", "sizes", "tokens")
-    dictionary = entries.select(F.col("block").alias("in_block"), *(c for c in entries.columns if c != "block"))
-    return tokens.groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(kernel, schema)
+    own = blocks.select("block", "places", "learn", "sizes", "tokens", "seats", "hashes")
+    dealt = attached.select("range", F.col("block").alias("in_block"), "data")
+    return own.groupBy("block").cogroup(dealt.groupBy("in_block")).applyInArrow(run, schema)
+
+
+def teaching(block: dict) -> np.ndarray:
+    """Whether each token of a block is in a text that teaches."""
+    return np.repeat(unsqueeze(block["learn"]).astype(bool), unsqueeze(block["sizes"]))
 
 
 def square(cells: DataFrame, width: int) -> np.ndarray:
-    """The matrix of a table (cell, n) with no more than `width` squared rows."""
-    found = cells.toArrow()
+    """The matrix of a table (cell, n) with no more than `width` squared different cells."""
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(width * width, dtype=np.int64)
     matrix[found["cell"].to_numpy()] = found["n"].to_numpy()
     return matrix.reshape(width, width)
@@ -216,78 +329,67 @@ def exchange_seeds(pairs: np.ndarray, classes: int, passes: int = 20) -> np.ndar
     return of
 
 
-def seed_pairs(blocks: DataFrame, entries: DataFrame, seeds: int) -> np.ndarray:
-    """Counts of neighbouring pairs of the most frequent words, the end being number 0."""
+def seed_pairs(blocks: DataFrame, attached: DataFrame, seeds: int) -> np.ndarray:
+    """Counts of neighbouring pairs of the most frequent words, the end being number 0 and other words -1."""
 
-    def kernel(block: pa.Table, entries: pa.Table) -> pa.Table:
-        tokens, teaches, _ = local(block)
-        number = spread(entries, "seed", len(entries), -1)[tokens]
-        before = np.concatenate(([0], number[:-1]))
-        both = teaches & (number >= 0) & (before >= 0)
-        cells, counts = np.unique(before[both] * (seeds + 1) + number[both], return_counts=True)
+    def kernel(block: dict, tokens: np.ndarray, number: np.ndarray) -> pa.Table:
+        here = number[tokens]
+        before = np.concatenate(([0], here[:-1]))  # a block begins after an end
+        both = teaching(block) & (here >= 0) & (before >= 0)
+        cells, counts = np.unique(before[both] * (seeds + 1) + here[both], return_counts=True)
         return pa.table({"cell": cells, "n": counts})
 
-    # a block begins after an end, which the first token follows
-    cells = meet(blocks, entries, kernel, "cell LONG, n LONG").groupBy("cell").agg(F.sum("n").alias("n"))
-    return square(cells, seeds + 1)
+    return square(meet(blocks, attached, kernel, "cell LONG, n LONG"), seeds + 1)
 
 
 # exchange over the vocabulary
 
 
-STATS = "word BINARY, class INT, n LONG, codes ARRAY<INT>, counts ARRAY<LONG>"
-
+def neighbour_stats(blocks: DataFrame, attached: DataFrame, width: int, ranges: int, of_words: bool) -> DataFrame:
+    """Per block a packet (`range` -1) with its transitions between classes, a matrix line by line.
 
-def neighbour_stats(blocks: DataFrame, entries: DataFrame, width: int, of_words: bool) -> DataFrame:
-    """Per block a row without a word, with its transitions between classes (codes: class before * `width` + class).
-
-    With `of_words` also a row for every training word: counts of the classes
-    before it (codes below `width`) and after it.  The start of a text counts as an end.
+    With `of_words` also a packet per range: of every word of the slice the
+    number of its cells, then the cells' codes and counts: a class before it
+    (codes below `width`) or after it.  The start of a text counts as an end.
     """
 
-    def kernel(block: pa.Table, entries: pa.Table) -> pa.Table:
-        tokens, teaches, _ = local(block)
-        size = len(entries)
-        of = spread(entries, "class", size, width - 1)
+    def kernel(block: dict, tokens: np.ndarray, of: np.ndarray) -> pa.Table:
+        teaches = teaching(block)
         here = of[tokens]
         before = np.concatenate(([0], here[:-1]))[teaches]
         after = np.concatenate((here[1:], [0]))[teaches]
         at = tokens[teaches]
-        moves = np.bincount(before * width + here[teaches], minlength=width * width)
-        found = np.flatnonzero(moves)
-        del here
-        if not of_words:
-            at = at[:0]
-            before, after = before[:0], after[:0]
-        else:
+        rows = [(-1, block["block"], squeeze(np.bincount(before * width + here[teaches], minlength=width * width)))]
+        del here, teaches
+        if of_words:
             inner = of[at] != 0  # the end stays where it is
             at, before, after = at[inner], before[inner], after[inner]
-        codes = np.concatenate((at * (2 * width) + before, at * (2 * width) + width + after))
-        cells, counts = np.unique(codes, return_counts=True)
-        words, begins = np.unique(cells // (2 * width), return_index=True)
-        total = np.bincount(at, minlength=size)[words]
-        row_of = np.empty(size, dtype=np.int64)
-        row_of[entries["at"].to_numpy()] = np.arange(size)
-        offsets = np.concatenate((begins, [len(cells), len(cells) + len(found)]))
-        names = pa.chunked_array([entries["word"].combine_chunks().take(pa.array(row_of[words])), pa.array([None], pa.binary())])
-        return pa.table(
-            {
-                "word": names.combine_chunks(),
-                "class": pa.array(np.append(of[words], 0), pa.int32()),
-                "n": pa.array(np.append(total, 0), pa.int64()),
-                "codes": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.append(cells % (2 * width), found), pa.int32())),
-                "counts": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.append(counts, moves[found]), pa.int64())),
-            }
-        )
+            cells, counts = np.unique(np.concatenate((at * (2 * width) + before, at * (2 * width) + width + after)), return_counts=True)
+            words = cells // (2 * width)
+            edges = cuts(block["hashes"], ranges)
+            places = np.searchsorted(words, edges)
+            for r in range(ranges):
+                a, b = places[r], places[r + 1]
+                if edges[r + 1] > edges[r]:
+                    parts = (np.bincount(words[a:b] - edges[r], minlength=edges[r + 1] - edges[r]), cells[a:b] % (2 * width), counts[a:b])
+                    rows.append((r, block["block"], b"".join(len(p).to_bytes(8, "little") + p for p in map(squeeze, parts))))
+        return packets(rows)
 
-    return meet(blocks, entries, kernel, STATS)
+    return meet(blocks, attached, kernel, PACKET)
 
 
 def transitions(stats: DataFrame, width: int) -> np.ndarray:
     """Counts of neighbouring classes in all training texts."""
-    both = F.explode(F.arrays_zip("codes", "counts")).alias("c")
-    cells = stats.where("word is null").select(both).select(F.col("c.codes").cast("long").alias("cell"), F.col("c.counts").alias("n"))
-    return square(cells.groupBy("cell").agg(F.sum("n").alias("n")), width)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * width, dtype=np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += unsqueeze(data)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": cells, "n": total[cells]})
+
+    return square(stats.where("range = -1").select("data").mapInArrow(add, "cell LONG, n LONG"), width)
 
 
 def likelihood(matrix: np.ndarray) -> float:
@@ -335,59 +437,36 @@ def best_classes(matrix: np.ndarray, old: np.ndarray, total: np.ndarray, rows: n
     return out
 
 
-def exchange_round(stats: DataFrame, matrix: np.ndarray, slice_rows: int = 60_000) -> DataFrame:
-    """(word, class) after one round; rows of a word are summed as they stream by, in the order of the words."""
+def exchange_round(ids: DataFrame, state: DataFrame, stats: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """The state (range, data: classes by word number) after one round."""
     width = len(matrix)
 
-    def flush(table: pa.Table) -> pa.RecordBatch:
-        words = table["word"].combine_chunks()
-        changes = np.concatenate(([True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))) if len(words) > 1 else np.ones(1, dtype=bool)
-        group = np.cumsum(changes) - 1
-        lengths = pc.list_value_length(table["codes"]).to_numpy()
-        code = np.repeat(group, lengths) * (2 * width) + pc.list_flatten(table["codes"]).to_numpy()
-        cells, at = np.unique(code, return_inverse=True)
-        counts = np.bincount(at, pc.list_flatten(table["counts"]).to_numpy()).astype(np.int64)
-        old = table["class"].to_numpy()[changes].astype(np.int64)
-        total = np.bincount(group, table["n"].to_numpy()).astype(np.int64)
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers = {b: unsqueeze(d) for b, d in zip(left["block"].to_pylist(), left["data"].to_pylist())}
+        old = numbers.pop(-1)
+        coded, counted = [], []
+        for block, data in zip(right["in_block"].to_pylist(), right["data"].to_pylist()):
+            lengths, codes, counts = unpacked(data)
+            coded.append(np.repeat(numbers[block], lengths) * (2 * width) + codes)
+            counted.append(counts)
         new = old.copy()
-        rows = cells // (2 * width)
-        for low in range(0, len(old), 4096):
-            a, b = np.searchsorted(rows, (low, low + 4096))
-            part = slice(low, low + 4096)
-            new[part] = best_classes(matrix, old[part], total[part], rows[a:b] - low, cells[a:b] % (2 * width), counts[a:b])
-        return pa.RecordBatch.from_arrays([words.filter(pa.array(changes)), pa.array(new, pa.int32())], names=["word", "class"])
-
-    def fold(table: pa.Table) -> pa.Table:
-        """The rows of one word as a single row."""
-        codes, at = np.unique(pc.list_flatten(table["codes"]).to_numpy(), return_inverse=True)
-        counts = np.bincount(at, pc.list_flatten(table["counts"]).to_numpy()).astype(np.int64)
-        row = {"word": [table["word"][0].as_py()], "class": [table["class"][0].as_py()], "n": [pc.sum(table["n"]).as_py()], "codes": [codes], "counts": [counts]}
-        return pa.table({c: pa.array(v, table.schema.field(c).type) for c, v in row.items()}, schema=table.schema)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size = 0
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            size += len(batch)
-            if size < slice_rows:
-                continue
-            table = pa.concat_tables(held).combine_chunks()
-            last = table["word"][-1]
-            same = pc.equal(table["word"], last).to_numpy()
-            cut = len(table) - int(same.sum())  # rows come in the order of the words
-            if cut:
-                yield flush(table.slice(0, cut))
-            tail = fold(table.slice(cut))
-            held, size = [tail], len(tail)
-        if held:
-            table = pa.concat_tables(held).combine_chunks()
-            if len(table):
-                yield flush(table)
+        if coded:
+            cells, at = np.unique(np.concatenate(coded), return_inverse=True)
+            counts = np.bincount(at, np.concatenate(counted), minlength=len(cells)).astype(np.int64)
+            del coded, counted, at
+            words, codes = cells // (2 * width), cells % (2 * width)
+            total = np.bincount(words[codes < width], counts[codes < width], minlength=len(old)).astype(np.int64)
+            for low in range(0, len(old), 4096):
+                a, b = np.searchsorted(words, (low, low + 4096))
+                if b > a:
+                    part = slice(low, low + 4096)
+                    new[part] = best_classes(matrix, old[part], total[part], words[a:b] - low, codes[a:b], counts[a:b])
         give_back()
+        return packets([(left["range"][0].as_py(), -1, squeeze(new))])
 
-    dealt = stats.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(kernel, "word BINARY, class INT")
+    known = ids.unionByName(state)
+    dealt = stats.where("range >= 0").select(F.col("range").alias("of"), F.col("block").alias("in_block"), "data")
+    return known.groupBy("range").cogroup(dealt.groupBy("of")).applyInArrow(kernel, PACKET)
 
 
 # the model
@@ -419,16 +498,12 @@ def class_model(matrix: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> Cla
         return ClassModel(np.log10(move), np.log10(mass), np.log10(unknown), int(total), int(words.sum()))
 
 
-def score_blocks(blocks: DataFrame, entries: DataFrame, model: ClassModel) -> DataFrame:
+def score_blocks(blocks: DataFrame, attached: DataFrame, model: ClassModel) -> DataFrame:
     """(place, n_tokens, n_known, base_score, score) of every text."""
-    width = len(model.move)
     floor = math.log10(model.tokens + SHARE * (model.words + 1))
 
-    def kernel(block: pa.Table, entries: pa.Table) -> pa.Table:
-        tokens, _, sizes = local(block)
-        size = len(entries)
-        of = spread(entries, "class", size, width - 1)
-        count = spread(entries, "count", size, 0)
+    def kernel(block: dict, tokens: np.ndarray, of: np.ndarray, count: np.ndarray) -> pa.Table:
+        sizes = unsqueeze(block["sizes"])
         text = np.repeat(np.arange(len(sizes)), sizes)
         here = of[tokens]
         before = np.concatenate(([0], here[:-1]))
@@ -438,7 +513,7 @@ def score_blocks(blocks: DataFrame, entries: DataFrame, model: ClassModel) -> Da
         likely = np.where(known, model.move[before, here] + weight - model.share_of[here], model.unknown[before])
         return pa.table(
             {
-                "place": block["places"].combine_chunks().flatten(),
+                "place": pa.array(block["places"], pa.string()),
                 "n_tokens": sizes,
                 "n_known": np.bincount(text, known, minlength=len(sizes)).astype(np.int64),
                 "base_score": np.bincount(text, weight - floor, minlength=len(sizes)),
@@ -446,18 +521,39 @@ def score_blocks(blocks: DataFrame, entries: DataFrame, model: ClassModel) -> Da
             }
         )
 
-    return meet(blocks, entries, kernel, "place STRING, n_tokens LONG, n_known LONG, base_score DOUBLE, score DOUBLE")
+    return meet(blocks, attached, kernel, "place STRING, n_tokens LONG, n_known LONG, base_score DOUBLE, score DOUBLE")
+
 
+def first_state(counts: DataFrame, ends: dict[int, int], seeds: dict[int, list[tuple[int, int]]], other: int, unseen: int) -> DataFrame:
+    """The state in which seeds have their number or class, the end has 0, words of training texts `other` and the rest `unseen`."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.where(unsqueeze(data) > 0, other, unseen)
+                if r in ends:
+                    values[ends[r]] = 0
+                for k, v in seeds.get(r, ()):
+                    values[k] = v
+                rows.append((r, -1, squeeze(values)))
+            yield from packets(rows).to_batches()
+
+    return counts.select("range", "data").mapInArrow(fill, PACKET)
 
-def dictionary_rows(blocks: DataFrame) -> DataFrame:
-    """(block, at, word, n): one row per block and word, n being its training occurrences there."""
-    both = F.posexplode(F.arrays_zip("words", "counts"))
-    return blocks.select("block", both.alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
 
+def class_sizes(state: DataFrame, counts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and different training words of every class."""
 
-def informed(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Dictionary rows with what is known of their words."""
-    return rows.select("block", "at", "word").join(facts, "word", "left")
+    def change(left: pa.Table, right: pa.Table) -> pa.Table:
+        of, n = unsqueeze(left["data"][0].as_py()), unsqueeze(right["data"][0].as_py())
+        sizes = np.bincount(of, n, minlength=width).astype(np.int64)
+        return pa.table({"class": np.arange(width), "size": sizes, "words": np.bincount(of[n > 0], minlength=width)})
+
+    other = counts.select(F.col("range").alias("of"), "data")
+    rows = state.groupBy("range").cogroup(other.groupBy("of")).applyInArrow(change, "class LONG, size LONG, words LONG")
+    found = {r["class"]: r for r in rows.groupBy("class").agg(F.sum("size").alias("size"), F.sum("words").alias("words")).collect()}
+    return tuple(np.array([found[c][k] if c in found else 0 for c in range(width)]) for k in ("size", "words"))
 
 
 def brown_scores(
@@ -488,37 +584,34 @@ def brown_scores(
     placed = from_files(df).withColumn(place, locator())
     docs = placed.withColumn(teaches, F.coalesce(learn, F.lit(False)))
     blocks = cut_lineage(pack(docs.select(F.col(place).alias("place"), F.col(teaches).alias("learn"), F.col(text).alias("text")), block_bytes))
-    rows = dictionary_rows(blocks)
+    ranges = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // RANGE_WORDS))
     width = classes + 2
-    vocabulary = cut_lineage(rows.groupBy("word").agg(F.sum("n").alias("count")).where("count > 0"))
-
-    top = [r["word"] for r in vocabulary.where(F.length("word") > 0).orderBy(F.desc("count"), "word").limit(seeds).collect()]
-    numbers = spark.createDataFrame([(END, 0), *((bytes(w), i + 1) for i, w in enumerate(top))], "word BINARY, seed INT")
-    pairs = seed_pairs(blocks, rows.join(numbers, "word", "left").select("block", "at", "seed"), seeds)
-    of = exchange_seeds(pairs[: len(top) + 1, : len(top) + 1], classes)
-    start = spark.createDataFrame([(END, 0), *((bytes(w), int(of[i + 1])) for i, w in enumerate(top))], "word BINARY, class INT")
-    facts = vocabulary.join(start, "word", "left").select("word", "count", F.coalesce("class", F.lit(width - 1)).cast("int").alias("class"))
-
-    best, matrix, entries, sized = -math.inf, None, None, None
+    numbered = cut_lineage(number_words(blocks, ranges, seeds))
+    ids, counts = numbered.where("block >= 0"), numbered.where("block = -1")
+
+    lead = numbered.where("block = -2").orderBy(F.expr("substring(data, 1, 8)").desc(), F.expr("substring(data, 17)")).limit(seeds)
+    at = [(r["range"], int.from_bytes(r["data"][8:16], "little")) for r in lead.select("range", "data").collect()]
+    ends = {r["range"]: int.from_bytes(r["data"], "little") for r in numbered.where("block = -3").collect()}
+    of_range = lambda values: {r: [(k, v) for (q, k), v in zip(at, values) if q == r] for r, _ in at}
+    numbers = first_state(counts, ends, of_range(range(1, len(at) + 1)), -1, -1)
+    pairs = seed_pairs(blocks, attach(ids, numbers), seeds)
+    of = exchange_seeds(pairs[: len(at) + 1, : len(at) + 1], classes)
+    state = cut_lineage(first_state(counts, ends, of_range(of[1:].tolist()), width - 1, width - 1))
+
+    best, matrix, kept = -math.inf, None, state
     for turn in range(rounds + 1):
-        path = scratch(spark, "entries")
-        informed(rows, facts).write.parquet(path)
-        now = spark.read.schema("word BINARY, block LONG, at INT, count LONG, class INT").parquet(path)
-        stats = cut_lineage(neighbour_stats(blocks, now, width, turn < rounds))
+        stats = cut_lineage(neighbour_stats(blocks, attach(ids, state), width, ranges, turn < rounds))
         moves = transitions(stats, width)
         # before the first round most words have no class, and so no likelihood to compare
         fits = likelihood(moves) if turn else -math.inf
         if turn > 1 and fits < best:
             break
-        best, matrix, entries, sized = fits, moves, now, facts
+        best, matrix, kept = fits, moves, state
         if turn and history is not None:
             history.append(fits)
         if turn < rounds:
-            moved = exchange_round(stats.where("word is not null"), moves)
-            facts = cut_lineage(vocabulary.join(moved, "word", "left").select("word", "count", F.coalesce("class", F.lit(0)).alias("class")))
-    by_class = {r["class"]: r for r in sized.groupBy("class").agg(F.sum("count").alias("size"), F.count(F.lit(1)).alias("words")).collect()}
-    sizes, words = (np.array([by_class[c][k] if c in by_class else 0 for c in range(width)]) for k in ("size", "words"))
-    model = class_model(matrix, sizes, words)
+            state = cut_lineage(exchange_round(ids, state, stats, moves))
+    model = class_model(matrix, *class_sizes(kept, counts, width))
     total, *others = names[2], *(n for n in names if n != names[2])
-    found = score_blocks(blocks, entries, model).toDF(place, *others)
+    found = score_blocks(blocks, attach(ids, kept, counts), model).toDF(place, *others)
     return placed.join(found, place).withColumn(total, F.lit(model.tokens).cast("long")).select(*df.columns, *names)

@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < size:
         size = max(size, CHUNK_BYTES * 2)
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
@@ -63,7 +63,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     before = np.r_[False, word[:-1]] & ~edge[:-1]
     after = np.r_[word[1:], False] & ~edge[1:]
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    up, down = _powers(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * down[starts])

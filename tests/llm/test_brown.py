@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arborist.llm import brown
@@ -110,7 +111,7 @@ def test_probabilities_sum_to_one():
         assert math.isclose(known + 10 ** model.unknown[before], 1, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("block_bytes", [1, 700])
+@pytest.mark.parametrize("block_bytes", [700])
 def test_scores_against_brute_force(spark, block_bytes):
     rows = corpus() + [(None, None, None, "", 0), (7, "", True, "", 0), (8, "A1 " * 4000, False, "", 0), (3, "a1 a1", True, "", 0), (3, "a1 a1", True, "", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -141,14 +142,24 @@ def test_scores_do_not_depend_on_blocks(spark):
     assert one == many
 
 
-def test_streamed_sums_of_a_word(spark):
-    """A word whose rows fill several slices gets one class, from the sum of its rows."""
-    rows = [(bytearray(b"w%d" % (i % 3)), 1, 2, [0, 4 + i % 4], [1, 1]) for i in range(400)]
-    stats = spark.createDataFrame([*rows, (None, 0, 0, [], [])], brown.STATS).where("word is not null")
-    matrix = np.array([[0, 9, 3, 0], [4, 2, 8, 0], [8, 1, 5, 0], [0, 0, 0, 0]])
-    small, large = ({bytes(r.word): r["class"] for r in brown.exchange_round(stats, matrix, size).collect()} for size in (7, 10**6))
-    assert small == large and set(small) == {b"w0", b"w1", b"w2"}
-    assert brown.exchange_round(stats, matrix, 7).count() == 3
+def test_packed_numbers_and_hashes():
+    for values in ([], [0, 65535], [0, 65536], [-1, 5], [1 << 40, 2]):
+        assert brown.unsqueeze(brown.squeeze(np.array(values, dtype=np.int64))).tolist() == values
+    words = [b"", b"a", b"aa", b"b", "é".encode(), b"ab", b"ba"] + [b"w%d" % i for i in range(5000)]
+    hashes = brown.word_hashes(pa.array(words, pa.binary()))
+    assert len(set(hashes.tolist())) == len(words) and hashes.min() >= 0 and hashes.max() < 1 << 62
+    assert brown.word_hashes(pa.array(words[::-1], pa.binary())).tolist() == hashes[::-1].tolist()
+    at = brown.cuts(np.sort(hashes).tobytes(), 7)
+    assert at[0] == 0 and at[-1] == len(words) and (np.diff(at) > len(words) / 10).all()
+
+
+def test_one_range_or_many_give_the_same_scores(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(60), SCHEMA).coalesce(2)
+    found = []
+    for words in (1 << 19, 40):
+        monkeypatch.setattr(brown, "RANGE_WORDS", words)
+        found.append({r.id: round(r["_score"], 9) for r in brown.brown_scores(df, F.col("learn"), classes=3, seeds=5, block_bytes=900).collect()})
+    assert found[0] == found[1]
 
 
 def test_no_training_texts_and_empty_tables(spark):
