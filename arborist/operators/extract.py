@@ -1,11 +1,8 @@
 """Extraction from source text: imports, exports and routes.
 
-Source text is split into statements inside the row (an array), then one
-explode and a handful of native regular expressions per language do the work.
-This is a line-level reading of the grammars, not a parse: statements are
-recognised at the start of a line, so a statement hidden behind another on the
-same line, or quoted at the start of a line of a block comment, is misread.
-Patterns are data (`Rule` tables), so a caller can pass more of them.
+Statements come from the scanner (`scan`), which leaves comments and quoted text
+out; a handful of native regular expressions per language read them.  Patterns
+are data (`Rule` tables), so a caller can pass more of them.
 """
 
 from __future__ import annotations
@@ -18,37 +15,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborist.functions.paths import language_of, resolve_relative, trimmed
-
-# ---- statements ---------------------------------------------------------------
-
-# Openers of statements that may run over several lines, by language, and their closing mark.
-_OPENERS = {
-    "brace": (r"^\s*(?:import|export)\b[^;{}]*\{[^}]*$", "}", r"^([^}]*\}\s*(?:from\s*[\"'][^\"']*[\"'])?)"),
-    "paren": (r"^\s*(?:from\s+[.\w]+\s+import|import)\s*\([^)]*$", ")", r"^([^)]*\))"),
-    "list": (r"^\s*__all__\s*=\s*\[[^\]]*$", "]", r"^([^\]]*\])"),
-}
-
-
-def statements(source_files: DataFrame) -> DataFrame:
-    """(project, file, language, line, stmt): every line, joined with its continuation lines where it opens one."""
-    lang = language_of(F.col("path"))
-    lines = F.split("content", "\n")
-
-    def widen(line: Column, i: Column) -> Column:
-        rest = F.array_join(F.slice(lines, i + 1, F.size(lines)), " ")
-        out = F.when(F.lit(False), line)
-        for opener, _, take in _OPENERS.values():
-            out = out.when(line.rlike(opener), F.coalesce(F.nullif(F.regexp_extract(rest, take, 1), F.lit("")), line))
-        return out.otherwise(line)
-
-    return (
-        source_files.select("project", F.col("path").alias("file"), lang.alias("language"), "content")
-        .where("language IS NOT NULL")
-        .select("project", "file", "language", F.posexplode(F.transform(lines, widen)).alias("pos", "stmt"))
-        .select("project", "file", "language", (F.col("pos") + 1).alias("line"), "stmt")
-    )
-
+from arborist.functions.paths import resolve_relative, trimmed
+from arborist.operators.scan import statements
 
 # ---- imports --------------------------------------------------------------------
 
@@ -57,9 +25,6 @@ def _items(text: Column, sep: str = ",") -> Column:
     return F.filter(F.transform(F.split(text, sep), trimmed), lambda t: t != "")
 
 
-_IMPORT = "struct<source:string,specifiers:array<string>,default_name:string,namespace:string>"
-
-
 def _import(source: Column, specs: Column, default: Column | None = None, namespace: Column | None = None) -> Column:
     null = F.lit(None).cast("string")
     return F.struct(
@@ -92,8 +57,7 @@ def _script_imports(s: Column) -> Column:
         F.regexp_extract_all(s, F.lit(r"(?<![\w$.])require\(\s*[\"']([^\"']+)[\"']"), F.lit(1)),
         lambda m: _import(m, _empty()),
     )
-    comment = s.rlike(r"^\s*(//|\*|/\*)")
-    return F.when(comment, F.array().cast(f"array<{_IMPORT}>")).when(source != "", es).otherwise(calls)
+    return F.when(source != "", es).otherwise(calls)
 
 
 def _python_imports(s: Column) -> Column:

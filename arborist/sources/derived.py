@@ -140,6 +140,13 @@ def definitions(d: Dialect) -> dict[str, str]:
                END AS line_text
         FROM uses
         UNION ALL
+        SELECT DISTINCT project, {_path('src_id')} AS file, -1 AS block, src_id AS partkey, 0 AS linenumber,
+               CASE src_id % 4 WHEN 0 THEN concat('/* import no', src_id, ' from ''./no'';', chr(10), 'export function no() {{}} */')
+                               WHEN 1 THEN concat('const text', src_id, ' = `', chr(10), 'import no from ''./no'';', chr(10), '`;')
+                               WHEN 2 THEN concat('// import no', src_id, ' from ''./no''; export class No {{}}')
+                               ELSE concat('const t', src_id, ' = "require(''./no'')"; /* export class No {{}} */') END AS line_text
+        FROM uses
+        UNION ALL
         SELECT project, file, 1 AS block, CAST(line AS BIGINT) AS partkey, 0 AS linenumber,
                CASE kind WHEN 'function' THEN concat('export function ', name, '() {{ return ', line, '; }}')
                          WHEN 'class' THEN concat('export class ', name, ' {{}}')
