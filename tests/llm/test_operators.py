@@ -71,11 +71,40 @@ def test_exact_dedup_keeps_the_largest_id(spark, weak):
 def test_exact_dedup_state_spans_micro_batches(spark, tmp_path):
     rows = [(k, f"t{k % 7}", "s") for k in range(60)]
     docs(spark, rows).repartition(6).write.parquet(str(tmp_path / "d"))
-    found = exact_dedup(spark.read.parquet(str(tmp_path / "d")), batch_bytes="1").collect()
+    folder = scratch(spark, "test-dedup")
+    found = exact_dedup(spark.read.parquet(str(tmp_path / "d")), folder=folder, batches=3).collect()
     assert {r["keep_id"] for r in found} == set(range(53, 60)) and sum(r["kept"] for r in found) == 7
+    states = spark.read.parquet(f"{folder}/state").select("epoch", "digest", "group_size").collect()
+    last = {bytes(r["digest"]): r["group_size"] for r in sorted(states)}
+    # later batches count on from the kept state
+    assert len({r["epoch"] for r in states}) >= 3 and sum(last.values()) == 60 < sum(r["group_size"] for r in states)
     assert exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_goes_on_with_its_state(spark, tmp_path):
+    path, folder = str(tmp_path / "d"), scratch(spark, "test-dedup")
+    docs(spark, [(k, f"t{k % 7}", "s") for k in range(30)]).write.parquet(path)
+    exact_dedup(spark.read.parquet(path), folder=folder).count()
+    docs(spark, [(k, f"t{k % 9}", "s") for k in range(30, 40)] + [(2, "t0", "s")]).write.mode("append").parquet(path)
+    found = exact_dedup(spark.read.parquet(path), folder=folder).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["text"], []).append(r)
+    assert len(found) == 41
+    for own in groups.values():
+        assert {(r["keep_id"], r["group_size"]) for r in own} == {(max(r["doc_id"] for r in own), len(own))}
+        assert sum(r["kept"] for r in own) == 1
+    assert spark.read.parquet(f"{folder}/feed").count() == 41
+
+
+def test_exact_dedup_keeps_the_named_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a", "x", "y"), (2, "a", "x", "y"), (3, "b", "x", "y")], "doc_id LONG, text STRING, k STRING, _t STRING")
+    for digest in (None, lambda t: F.unhex(F.lit("00"))):
+        found = exact_dedup(rows, keep=["doc_id", "k", "_t"], **({"digest": digest} if digest else {}))
+        assert found.columns == ["doc_id", "k", "_t", "keep_id", "keep_locator", "group_size", "kept"]
+        assert sorted((r["doc_id"], r["k"], r["_t"], r["keep_id"], r["group_size"]) for r in found.collect()) == [(1, "x", "y", 2, 2), (2, "x", "y", 2, 2), (3, "x", "y", 3, 1)]
+
+
 # BPE
 
 
