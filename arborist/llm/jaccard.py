@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,9 @@ SMALL = 32
 NO_ID = (1 << 63) - 1  # stands for a null id
 FLUSH = 1 << 18
 BUCKET_KEYS = 1 << 19
-BLOCK_SHINGLES = 4 << 20
-TASK_SHINGLES = 2 << 20
+BLOCK_SHINGLES = 1 << 20
+TASK_SHINGLES = 1 << 18
+COMMON = 64  # sets that share a key within a task, beyond which the task sends on the least of them only
 
 U64 = np.uint64
 SETS = pa.schema([("node", pa.binary()), ("n_shingles", pa.int64())])
@@ -272,11 +274,13 @@ def numbers(values: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), dtype=">u8").astype(U64).reshape(-1, 2)
 
 
-def stars(texts: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+def stars(texts: DataFrame, width: int, num: int, den: int, buckets: int, common: int = COMMON) -> DataFrame:
     """(key, node, leader) for every key that different sets share: each of them with the least one.
 
     Keys travel packed, thousands to a row, to buckets of bounded size; a task
-    sends a set once, however often it meets it.
+    sends a set once, however often it meets it.  Where many of its sets share a
+    key, as when all texts hold a passage, a task makes a star of them by itself
+    and sends the least on: a bucket gets such a key as often as tasks meet it.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,19 +288,35 @@ def stars(texts: DataFrame, width: int, num: int, den: int, buckets: int) -> Dat
         seen: set[bytes] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
+        own_bucket = buckets + (TaskContext.get().partitionId() << 32)  # of this task alone
+
+        def packed(bucket: int, keys: np.ndarray, line: np.ndarray, nodes: np.ndarray) -> dict:
+            own, index = np.unique(line, return_inverse=True)
+            return {"bucket": bucket, "keys": keys.tobytes(), "line": index.astype(np.uint32).tobytes(), "nodes": nodes[own].tobytes()}
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal own_bucket
             keys = np.concatenate([k for k, _, _ in held])
             shift = np.cumsum([0, *(len(n) for _, _, n in held)])
             line = np.concatenate([c + s for (_, c, _), s in zip(held, shift, strict=False)]).astype(np.uint32)
             nodes = np.concatenate([n for _, _, n in held])
+            rows = []
+            rank = np.empty(len(nodes), dtype=np.int64)
+            rank[np.lexsort((nodes[:, 1], nodes[:, 0]))] = np.arange(len(nodes))
+            order = np.lexsort((rank[line], keys))
+            keys, line = keys[order], line[order]
+            head = np.r_[True, keys[1:] != keys[:-1]]
+            times = np.diff(np.r_[np.flatnonzero(head), len(keys)])
+            often = np.repeat(times > common, times)
+            if often.any():
+                rows.append(packed(own_bucket, keys[often], line[often], nodes))
+                own_bucket += 1
+                keys, line = keys[~often | head], line[~often | head]
             bucket = (keys % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
-            rows = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                own, index = np.unique(line[order[a:b]], return_inverse=True)
-                rows.append({"bucket": int(bucket[order[a]]), "keys": keys[order[a:b]].tobytes(), "line": index.astype(np.uint32).tobytes(), "nodes": nodes[own].tobytes()})
+                rows.append(packed(int(bucket[order[a]]), keys[order[a:b]], line[order[a:b]], nodes))
             yield pa.RecordBatch.from_pylist(rows, schema=PACKS)
 
         for batch in batches:
@@ -387,7 +407,10 @@ def block_links(members: DataFrame, width: int, num: int, den: int, tasks: int)
         give_back()
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=LINKS)
 
-    spread = members.withColumn("task", F.pmod(F.xxhash64("block", "chunk"), F.lit(tasks)))
+    # small blocks share a task; one that fills a good part of a task has a group of its own
+    own = F.concat(F.col("block"), F.encode(F.col("chunk").cast("string"), "utf-8"))
+    shared = F.encode(F.pmod(F.xxhash64("block", "chunk"), F.lit(tasks)).cast("string"), "utf-8")
+    spread = members.withColumn("task", F.when(F.col("weight") / F.col("chunks") > TASK_SHINGLES / 2, own).otherwise(shared)).drop("weight", "chunks")
     return spread.groupBy("task").applyInArrow(run, "a BINARY, b BINARY")
 
 
@@ -432,11 +455,11 @@ def set_links(
     weights = placed.groupBy("block").agg(F.sum("n_shingles").alias("weight"))
     chunks = F.ceil(F.col("weight") / F.lit(block_shingles))
     chunked = cut_lineage(
-        placed.join(weights.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+        placed.join(weights.select("block", "weight", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     )
     # The side without texts grows with the data; it is shuffled at every size, never broadcast.
     text = texts.select(F.col("id").alias("rep"), "mark", "text")
-    members = chunked.hint("merge").join(text, ["rep", "mark"]).select("node", "block", "chunk", "chunks", "text")
+    members = chunked.hint("merge").join(text, ["rep", "mark"]).select("node", "block", "chunk", "chunks", "weight", "text")
     tasks = max(1, -(-total // TASK_SHINGLES))
     inner = cut_lineage(block_links(members, width, num, den, tasks))
     split = chunked.where("chunks > 1")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arborist.llm.jaccard import Matrix, Parts, in_parts, jaccard_join, meetings
+from arborist.llm.jaccard import Matrix, Parts, in_parts, jaccard_join, meetings, stars
 from arborist.llm.shingles import digests, shingle_sets
 
 SCHEMA = "doc_id LONG, text STRING, n_shingles STRING"
@@ -169,3 +169,22 @@ def test_unlinked_sets_and_near_copies_without_ids_across_parts(spark):
         words[rng.randrange(150)] = f"e{k}"
         rows.append((None if k % 3 else 100 + k, " ".join(words + (passage[:20] if k % 2 else []))))
     assert run(spark, rows, width=4, num=80, den=100, block_shingles=400) == brute_force(rows, 4, 80, 100)
+
+
+def test_stars_made_within_tasks_join_the_same_sets(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = spark.createDataFrame([(f"a{k} b{k} c{k} d{k} {passage}",) for k in range(90)] + [(f"{passage} e{k}",) for k in range(30)], "text STRING").repartition(3)
+    by_key = []
+    for common in (1 << 30, 2):
+        found = stars(texts, 4, 80, 100, 4, common).collect()
+        joined: dict[int, list[set]] = {}
+        for r in found:
+            a, b = bytes(r["node"]), bytes(r["leader"])
+            groups = joined.setdefault(r["key"], [])
+            near = [g for g in groups if a in g or b in g]
+            joined[r["key"]] = [g for g in groups if g not in near] + [set().union({a, b}, *near)]
+        assert all(len(groups) == 1 for groups in joined.values())
+        by_key.append({k: g[0] for k, g in joined.items()})
+        most = max(len([1 for r in found if r["key"] == k]) for k in joined)
+        assert most <= 119 + 3
+    assert by_key[0] == by_key[1] and max(map(len, by_key[0].values())) > 100
