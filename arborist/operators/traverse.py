@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborist.functions.common import count_rows, half_up2
 from arborist.session import cut_lineage, drop_path, scratch
+from arborist.sources.sinks import number_rows
 
 
 class _Levels:
@@ -82,13 +83,63 @@ def _spread(steps: DataFrame, start: DataFrame, keys: list[str], max_depth: int
     return seen.all().select(*columns, F.col("level").cast("int").alias("depth"))
 
 
+#: Seeds in a word of a node's bitmap.
+WORD_BITS = 64
+
+
+def _bits(steps: DataFrame, start: DataFrame, max_depth: int | None) -> _Levels | None:
+    """Level-synchronous search from many seeds at once: (project, node, word, bits) of what each level reaches anew.
+
+    `start` has project, number (of the seed, within its project) and node.  A
+    node holds a bitmap of the seeds that reach it, a row for each 64 of them;
+    a round joins the new bits to the steps, ORs what meets, and leaves out the
+    bits that are known, in one grouping.  Its rows are nodes and words, whatever
+    the number of pairs.  The start is not marked, so it comes back iff it lies on a cycle.
+    """
+    keys = ["project", "node", "word"]
+    found = _Levels(start.sparkSession, "project STRING, node STRING, word LONG, bits LONG")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("number", F.lit(WORD_BITS)).cast("int"))
+    word = F.floor(F.col("number") / WORD_BITS)
+    frontier = start.select("project", "node", word.alias("word"), bit.alias("bits")).groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+    none = F.lit(0).cast("long")
+    while max_depth is None or found.count < max_depth:
+        ahead = frontier.select("project", F.col("node").alias("a"), "word", "bits").join(steps, ["project", "a"])
+        met = ahead.select("project", F.col("b").alias("node"), "word", "bits", none.alias("known"))
+        if found.count:
+            met = met.unionByName(found.all().select(*keys, none.alias("bits"), F.col("bits").alias("known")))
+        both = met.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.bit_or("known").alias("known"))
+        new = both.select(*keys, F.col("bits").bitwiseAND(F.bitwise_not("known")).alias("bits")).where("bits <> 0")
+        frontier = found.add(new)
+        if frontier.isEmpty():
+            break
+    return found if found.count else None
+
+
+def _numbers(word: Column, bits: Column) -> Column:
+    """The seed numbers that a bitmap row holds, as an array."""
+    at = F.sequence(F.lit(0), F.lit(WORD_BITS - 1))
+    held = F.filter(at, lambda i: F.call_function("shiftrightunsigned", bits, i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return F.transform(held, lambda i: word * WORD_BITS + i)
+
+
+def _seed_levels(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int | None) -> tuple[DataFrame, DataFrame]:
+    """Numbered seeds (project, seed, number), and (project, node, number, depth) of all that they reach."""
+    numbered = cut_lineage(number_rows(seeds.select("project", "seed").distinct(), "project", ["seed"], "number"))
+    steps = cut_lineage(directed(edges, direction))
+    found = _bits(steps, numbered.select("project", "number", F.col("seed").alias("node")), max_depth)
+    if found is None:
+        none = numbered.select("project", F.col("seed").alias("node"), "number", F.lit(0).alias("depth")).where(F.lit(False))
+        return numbered, none
+    numbers = F.explode(_numbers(F.col("word"), F.col("bits"))).alias("number")
+    return numbered, found.all().select("project", "node", F.col("level").cast("int").alias("depth"), numbers)
+
+
 def closure(
     edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_depth: int | None = None
 ) -> DataFrame:
     """Everything reachable from each seed (project, seed) with its least depth."""
-    start = seeds.select("project", "seed", F.col("seed").alias("node")).distinct()
-    steps = cut_lineage(directed(edges, direction))
-    return _spread(steps, start, ["project", "seed"], max_depth)
+    numbered, reached = _seed_levels(edges, seeds, direction, max_depth)
+    return reached.join(numbered, ["project", "number"]).select("project", "seed", "node", "depth")
 
 
 def transitive_dependents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -101,17 +152,19 @@ def transitive_dependencies(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def change_impact(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Direct, transitive and total importers of each target (project, seed), and the depth."""
-    hit = closure(edges, targets, "reverse").where("node <> seed")
-    per = hit.groupBy("project", "seed").agg(
+    numbered, reached = _seed_levels(edges, targets, "reverse", None)
+    # a target that reaches itself is not one of its importers
+    itself = numbered.select("project", "number", F.col("seed").alias("node"), F.lit(True).alias("itself"))
+    hit = reached.join(itself, ["project", "number", "node"], "left").where("itself IS NULL")
+    per = hit.groupBy("project", "number").agg(
         F.count_if(F.col("depth") == 1).alias("direct"),
         F.count_if(F.col("depth") > 1).alias("transitive"),
         F.max("depth").alias("impact_depth"),
         F.count(F.lit(1)).alias("total_affected"),
     )
     return (
-        targets.select("project", "seed")
-        .distinct()
-        .join(per, ["project", "seed"], "left")
+        numbered.join(per, ["project", "number"], "left")
+        .drop("number")
         .fillna(0, ["direct", "transitive", "impact_depth", "total_affected"])
     )
 
@@ -143,25 +196,47 @@ def affected_files(edges: DataFrame, changed: DataFrame, depth: int = 5) -> Data
 
 
 def _least_paths(steps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(project, src, dst, path): for each wanted pair with a way, the fewest edges, then the least path."""
+    """(project, src, dst, path): for each wanted pair with a way, the fewest edges, then the least path.
+
+    A level holds, for every source and node reached anew, the node before it on
+    the least way and the rank of this way among the level's ways from the
+    source; ways compare by the rank of what is before the node, then by the node.  No
+    path is stored: those that are wanted are unwound from their ends.  A source
+    goes no further once all its wanted ends are reached.
+    """
     keys = ["project", "src"]
     columns = [*keys, "node"]
-    seen = _Levels(steps.sparkSession, "project STRING, src STRING, node STRING, path ARRAY<STRING>")
-    frontier = seen.add(
-        wanted.where("src <> dst").select("project", "src", F.col("src").alias("node"), F.array("src").alias("path")).distinct()
-    )
+    seen = _Levels(steps.sparkSession, "project STRING, src STRING, node STRING, before STRING, rank INT")
+    null = F.lit(None).cast("string")
+    aims = cut_lineage(wanted.where("src <> dst").select("project", "src", F.col("dst").alias("node")).distinct())
+    frontier = seen.add(aims.select("project", "src").distinct().select("project", "src", F.col("src").alias("node"), null.alias("before"), F.lit(1).alias("rank")))
+    left = _Latest(aims)
     while not frontier.isEmpty():
+        going = frontier.join(left.df.select(*keys).distinct(), keys, "left_semi")
         nxt = (
-            frontier.join(steps.withColumnRenamed("a", "node"), ["project", "node"])
-            .groupBy(*keys, "b")
-            .agg(F.min(F.concat("path", F.array("b"))).alias("path"))
-            .withColumnRenamed("b", "node")
+            going.select(*keys, F.col("node").alias("a"), "rank")
+            .join(steps, ["project", "a"])
+            .groupBy(*keys, F.col("b").alias("node"))
+            .agg(F.min(F.struct("rank", F.col("a").alias("before"))).alias("way"))
             .join(seen.all().select(*columns), columns, "left_anti")
         )
-        frontier = seen.add(nxt.select(*columns, "path"))
+        order = Window.partitionBy(*keys).orderBy("way.rank", "node")
+        frontier = seen.add(nxt.select(*columns, F.col("way.before").alias("before"), F.row_number().over(order).alias("rank")))
+        left.put(left.df.join(frontier, columns, "left_anti"))
+    found = seen.all()
     here = wanted.where("src = dst").select("project", "src", "dst", F.array("src").alias("path"))
-    there = seen.all().where("node <> src").select("project", "src", F.col("node").alias("dst"), "path")
-    return here.unionByName(there.join(wanted, ["project", "src", "dst"], "left_semi"))
+    if not seen.count:
+        return here
+    # unwind: what stands at a level is lengthened by the node before it, and goes on with those that end there
+    ends = cut_lineage(found.where("node <> src").join(aims, columns, "left_semi").select(*keys, "node", "level"))
+    walk = ends.select(*keys, F.col("node").alias("dst"), "node", F.array().cast("array<string>").alias("path")).where(F.lit(False))
+    for level in range(seen.count, 1, -1):
+        here_too = ends.where(F.col("level") == level).select(*keys, F.col("node").alias("dst"), "node", F.array().cast("array<string>").alias("path"))
+        stand = found.where(F.col("level") == level).select(*columns, "before")
+        longer = walk.unionByName(here_too).join(stand, columns)
+        walk = cut_lineage(longer.select(*keys, "dst", F.col("before").alias("node"), F.concat(F.array("node"), "path").alias("path")))
+    done = walk.select("project", "src", "dst", F.concat(F.array("src"), "path").alias("path"))
+    return here.unionByName(done)
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:

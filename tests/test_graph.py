@@ -143,3 +143,75 @@ def test_cycles_of_a_dense_component_are_bounded_by_its_edges(spark):
     assert sorted(r["cycle"] for r in found) == [f"{x} > {y}" for i, x in enumerate(names) for y in names[i + 1 :]]
     ring = t.cycles(edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"))).collect()
     assert sorted(r["cycle"] for r in ring) == ["a > b > c", "a > c"]
+
+
+def test_closure_rows_are_nodes_and_words(spark, monkeypatch):
+    """Every file of a complete graph of 90 is a seed: a level has two words a node, not 90 pairs."""
+    names = [f"f{k:02d}" for k in range(90)]
+    e = edges(spark, *[(x, y) for x in names for y in names if x != y], ("f89", "z1"), ("z1", "z2"))
+    seeds = spark.createDataFrame([("p", n) for n in names] + [("q", "f00")], "project string, seed string")
+    levels = []
+    add = t._Levels.add
+    monkeypatch.setattr(t._Levels, "add", lambda self, df: levels.append((self, add(self, df))) or levels[-1][1])
+    found = {(r["seed"], r["node"]): r["depth"] for r in t.closure(e, seeds).collect()}
+    assert [df.count() for _, df in levels] == [2 * 90 + 1, 90 + 2 + 1, 2, 0]
+    want = {(x, y): 1 if x != y else 2 for x in names for y in names}
+    want |= {(x, z): 1 + k + (x != "f89") for x in names for k, z in enumerate(["z1", "z2"])}
+    assert found == want
+    impact = {r["seed"]: (r["direct"], r["transitive"], r["impact_depth"], r["total_affected"]) for r in t.change_impact(e, seeds.where("project = 'p'")).collect()}
+    assert impact["f00"] == (89, 0, 1, 89) and len(impact) == 90
+
+
+def test_closure_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = {(p, f"n{rng.randrange(70)}", f"n{rng.randrange(70)}") for p in "pq" for _ in range(90)}
+    e = spark.createDataFrame([(*x, []) for x in pairs], "project string, src string, dst string, imports array<string>")
+    seeds = sorted({(p, a) for p, a, _ in pairs})
+    found = {(r["project"], r["seed"], r["node"]): r["depth"] for r in t.closure(e, spark.createDataFrame(seeds, "project string, seed string")).collect()}
+    want = {}
+    for p, s in seeds:
+        ring, depth = {s}, 0
+        while ring:
+            depth += 1
+            ring = {b for q, a, b in pairs if q == p and a in ring and (p, s, b) not in want}
+            want |= {(p, s, b): depth for b in ring}
+    assert found == want
+
+
+def test_least_paths_hold_no_paths(spark, monkeypatch):
+    """A ring of 60 files with chords: levels hold a parent and a rank; sources stop at their ends."""
+    ring = [(f"r{k:02d}", f"r{(k + 1) % 60:02d}") for k in range(60)] + [("r00", "r30"), ("r00", "r05"), ("r10", "r40")]
+    schemas, rows_of = [], []
+    add = t._Levels.add
+    monkeypatch.setattr(t._Levels, "add", lambda self, df: schemas.append(self.schema) or rows_of.append(add(self, df)) or rows_of[-1])
+    e = edges(spark, *ring)
+    pairs = spark.createDataFrame([("p", "r00", "r07"), ("p", "r00", "r31"), ("p", "r10", "r12"), ("p", "r05", "r05"), ("p", "r00", "zz")], "project string, src string, dst string")
+    found = {(r["src"], r["dst"]): (r["length"], r["path"]) for r in t.shortest_path(e, pairs.where("dst <> 'zz'")).collect()}
+    assert found == {
+        ("r00", "r07"): (3, "r00 > r05 > r06 > r07"), ("r00", "r31"): (2, "r00 > r30 > r31"), ("r10", "r12"): (2, "r10 > r11 > r12"), ("r05", "r05"): (0, "r05"),
+    }
+    assert not any("ARRAY" in s for s in schemas) and len(rows_of) <= 6
+    assert rows(t.shortest_path(e, pairs.where("dst = 'zz'")), "path") == []
+
+
+def test_ties_go_to_the_least_path(spark):
+    import itertools
+    import random
+
+    rng = random.Random(9)
+    names = [f"n{k}" for k in range(9)]
+    pairs = {(rng.choice(names), rng.choice(names)) for _ in range(26)}
+    e = edges(spark, *pairs)
+    asked = [("p", a, b) for a in names for b in names]
+    found = {(r["src"], r["dst"]): r["path"] for r in t.shortest_path(e, spark.createDataFrame(asked, "project string, src string, dst string")).collect()}
+    want = {}
+    for a, b in itertools.product(names, names):
+        ways = [[a]]
+        while ways and a != b and not any(w[-1] == b for w in ways):
+            ways = [w + [y] for w in ways for x, y in pairs if x == w[-1] and y not in w]
+        ways = [w for w in ways if w[-1] == b]
+        if ways:
+            want[a, b] = " > ".join(min(ways))
+    assert found == want
