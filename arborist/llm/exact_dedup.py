@@ -132,9 +132,11 @@ def exact_dedup(
     state = cut_lineage(drain(folder, spark, batches))
 
     hits = cut_lineage(state.where("group_size > 1").select(F.col("digest").alias(d)))
-    bytes_of = keyed.join(hits, d, "left_semi").groupBy(d).agg(F.min(text).alias("lo"), F.max(text).alias("hi"))
+    # the hits grow with the data: they are shuffled at every size, never broadcast
+    bytes_of = keyed.join(hits.hint("merge"), d, "left_semi").groupBy(d).agg(F.min(text).alias("lo"), F.max(text).alias("hi"))
     mixed = cut_lineage(bytes_of.where("lo != hi").select(d))
     found = state.select(F.col("digest").alias(d), F.col("id").alias(keep_id), F.col("locator").alias(keep_locator), F.col("group_size").alias(size))
+    found = found.hint("merge")
     thin = keyed.select(*dict.fromkeys([*keep, d, loc]))
     stays = F.col(loc) == F.col(keep_locator)
     if mixed.isEmpty():
