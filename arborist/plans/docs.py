@@ -182,11 +182,6 @@ R.add(
     "fields",
     lambda d: dg.lint_sequence_diagrams(d["fields"]).select(*KEYS, "level", "rule", "message"),
 )
-R.add(
-    "lint_changed_only",
-    "fields elements meta changes files",
-    lambda d: _changed_lint(d),
-)
 R.add("repair_diagrams", "fields", lambda d: dg.repair_diagrams(d["fields"]).select(*KEYS, "fixed", "changed"))
 R.add("repair_report", "fields elements", lambda d: dg.repair_report(_lint(d)).select(*KEYS, "line", "rule", "message", "fixed"))
 SQL_UNDOCUMENTED = """
@@ -744,10 +739,3 @@ R.add(
     SQL_TYPES + """SELECT project, concat('{"project":"', project, '","path":"', path, '","children":', children, ',"covered":', covered, '}') AS json FROM kids""",
 )
 
-
-def _changed_lint(d):
-    from arborist.operators.tracking import changed_only, plan_incremental
-
-    return changed_only(_lint(d), plan_incremental(d["meta"], d["changes"], d["files"])).select(*KEYS, "line", "rule", "message")
-
-

@@ -26,6 +26,7 @@ from arborist.operators import quality as ql
 from arborist.operators import search as se
 from arborist.operators import tracking as tr
 from arborist.operators.diagrams import extract_refs, lint_diagrams
+from arborist.plans.docs import SQL_LINT, SQL_SCORES
 from arborist.plans.registry import Registry
 from arborist.sources.corpus import apply_ignore, parse_change_log
 from arborist.streaming import changes as st
@@ -300,15 +301,43 @@ def _reconcile(d):
     return ql.reconcile_report(d["elements"], d["fields"], _orphans(d))
 
 
+def _changed_lint(d):
+    issues = lint_diagrams(d["fields"], d["elements"])
+    return tr.changed_only(issues, _plan(d)).select(*KEYS, "line", "level", "rule", "message")
+
+
+R.add(
+    "lint_changed_only",
+    "fields elements meta changes files",
+    _changed_lint,
+    SQL_LINT + SQL_PLAN + """SELECT project, path, CAST(line AS INTEGER) AS line, level, rule, message FROM lint x
+      WHERE EXISTS (SELECT 1 FROM plan p WHERE p.project = x.project AND p.path = x.path AND p.status IN ('stale', 'unknown'))""",
+)
 R.add(
     "inspect_elements",
-    "elements fields flows meta files changes",
+    "elements fields flows meta files changes links",
     lambda d: _inspect(d),
+    SQL_SCORES + SQL_PLAN + """
+    , facts AS (SELECT project, path, count(*) FILTER (WHERE regexp_matches(text, '\\S')) AS present,
+        sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS words,
+        bool_or(field = 'diagram' AND regexp_matches(text, '\\S')) AS has_diagram FROM fields GROUP BY ALL)
+    , linked AS (SELECT project, path, count(*) AS links FROM links GROUP BY ALL)
+    SELECT e.project, e.path, CASE WHEN NOT contains(e.path, '/') THEN 'perspective' WHEN coalesce(f.has_diagram, false) THEN 'group' ELSE 'leaf' END AS type,
+      CAST(floor(coalesce(f.present, 0) / 7 * 100 + 0.5) AS BIGINT) AS field_coverage, CAST(coalesce(f.words, 0) AS BIGINT) AS words, coalesce(s.score, 0) AS score,
+      coalesce(p.status, 'unknown') AS status, p.reasons, coalesce(l.links, 0) AS links, coalesce(k.children, 0) AS children, coalesce(k.covered, 0) AS covered
+    FROM elements e LEFT JOIN facts f ON f.project = e.project AND f.path = e.path LEFT JOIN kids k ON k.project = e.project AND k.path = e.path
+    LEFT JOIN scores s ON s.project = e.project AND s.path = e.path LEFT JOIN plan p ON p.project = e.project AND p.path = e.path
+    LEFT JOIN linked l ON l.project = e.project AND l.path = e.path""",
 )
 R.add(
     "inspect_children",
-    "elements fields flows meta files changes",
+    "elements fields flows",
     lambda d: ql.inspect_children(d["elements"], d["fields"], _scores(d)),
+    SQL_SCORES + """
+    , kind AS (SELECT e.project, e.path, CASE WHEN d.path IS NOT NULL THEN 'group' ELSE 'leaf' END AS type
+        FROM elements e LEFT JOIN drawn d ON d.project = e.project AND d.path = e.path WHERE contains(e.path, '/'))
+    SELECT k.project, regexp_replace(k.path, '/[^/]*$', '') AS parent, regexp_extract(k.path, '([^/]*)$', 1) AS name, k.type, k.type = 'group' AS has_diagram,
+      coalesce(s.score, 0) AS score FROM kind k LEFT JOIN scores s ON s.project = k.project AND s.path = k.path""",
 )
 
 
@@ -480,7 +509,36 @@ R.add(
        CAST(list_min(list_transform(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: levenshtein(w, 'their'))) AS INTEGER) AS distance,
        CAST(len(list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: levenshtein(w, 'the') <= 1)) AS INTEGER) AS near_words FROM docs""",
 )
-R.add("snippet", "docs", lambda d: d["docs"].select("doc_id", snippet(F.col("text"), "the or").alias("snippet")))
+def _sql_snippet(text: str) -> str:
+    """CTE `said` (doc_id, snippet) for the query `the or` over `docs`."""
+    esc = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    styled = lambda c: (
+        f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g'), "
+        "'\\*(.+?)\\*', '<em>\\1</em>', 'g'), '`([^`]+)`', '<code>\\1</code>', 'g'), "
+        "'\\[([^\\]]+)\\]\\(([^)]+)\\)', '<a href=\"\\2\" style=\"color:inherit\">\\1</a>', 'g')"
+    )
+    near = lambda w: f"list_filter(words, lambda w: levenshtein('{w}', w) <= 1)[1]"
+    before = "regexp_replace(substring(text, lo, pos - lo), '^\\s+', '')"
+    after = "regexp_replace(substring(text, pos + size, hi - pos - size), '\\s+$', '')"
+    return f"""
+    , low AS (SELECT doc_id, {text} AS text, lower({text}) AS low, instr(lower({text}), 'the or') AS p, instr(lower({text}), 'the') AS t1, instr(lower({text}), 'or') AS t2,
+        list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: length(w) >= 2) AS words FROM docs)
+    , found AS (SELECT *, coalesce({near('the')}, {near('or')}) AS word FROM low)
+    , hit AS (SELECT doc_id, text,
+        CASE WHEN p > 0 THEN p WHEN t1 > 0 AND (t2 = 0 OR t1 <= t2) THEN t1 WHEN t2 > 0 THEN t2 WHEN word IS NOT NULL THEN instr(low, word) ELSE 0 END AS pos,
+        CASE WHEN p > 0 THEN 6 WHEN t1 > 0 AND (t2 = 0 OR t1 <= t2) THEN 3 WHEN t2 > 0 THEN 2 ELSE coalesce(length(word), 0) END AS size FROM found)
+    , span AS (SELECT *, greatest(pos - 90, 1) AS lo, least(length(text) + 1, pos + size + 140) AS hi FROM hit)
+    , said AS (SELECT doc_id, CASE WHEN pos > 0 THEN concat(CASE WHEN lo > 1 THEN '…' ELSE '' END, {styled(esc(before))},
+        '<mark>', {esc('substring(text, pos, size)')}, '</mark>', {styled(esc(after))}, CASE WHEN hi <= length(text) THEN '…' ELSE '' END)
+      ELSE concat({styled(esc("regexp_replace(substring(text, 1, 220), '^\\s+|\\s+$', '', 'g')"))}, CASE WHEN length(text) > 220 THEN '…' ELSE '' END) END AS snippet FROM span)"""
+
+
+R.add(
+    "snippet",
+    "docs",
+    lambda d: d["docs"].select("doc_id", snippet(F.col("text"), "the or").alias("snippet")),
+    _sql_snippet("text") + "SELECT * FROM said",
+)
 
 # ---- extraction -----------------------------------------------------------------------------
 
