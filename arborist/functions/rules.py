@@ -97,3 +97,16 @@ CLASSDEF_PALETTE = {
 RESERVED_WORDS = ["graph", "flowchart", "subgraph", "end", "class", "click", "style", "direction", "interpolate"]
 # Perspectives that may reference other perspectives.
 HUB_PERSPECTIVES = ["overall-architecture", "architecture"]
+
+# The line grammar of diagrams, each pattern whole.
+SKIP_LINE = r"(?i)^(graph|flowchart|sequenceDiagram|classDiagram|erDiagram|gantt|pie|gitGraph|classDef|class |click |style |linkStyle|subgraph|end$)"
+STRICT_EDGE = r"^(\S+?)(?:\[.*?\]|\(.*?\)|\{.*?\}|>.*?\])?\s*(-->|--o|--x|---|-.->|==>|~~>|--\|.*?\|)\s*(\S+?)(?:\[.*?\]|\(.*?\)|\{.*?\}|>.*?\])?$"
+BROAD_EDGE = r"^([^\s\[\](\{]+).*?(-->|--o|--x|---|-.->|==>|~~>).*?([^\s\[\](\{]+).*$"
+NODE_LINE = r"^([^\s\[\](\{]+)[\[(\{].*$"
+GRAPH_DECLARATION = r"(?i)^(graph|flowchart)\s+(LR|RL|TD|TB|BT)\s*$"
+DIRECTIVE_LINE = r"(?i)^(graph|flowchart|classDef|class |click |style |linkStyle|subgraph|end$|%%)"
+FLOW_LABEL_EDGE = r'^(.+?)\s+--\s+"([^"]+)"\s+-->\s+(.+)$'
+FLOW_EDGE = r"^(.*?)(-->(?:\|[^|]*\|)?|--o|--x|---|-.->|==>|~~>)(.*?)(?:(?:-->(?:\|[^|]*\|)?|--o|--x|---|-.->|==>|~~>).*)?$"
+FLOW_DIRECTION = r"(?i)^(?:graph|flowchart)\s+([A-Z]{2}).*$"
+FLOW_SKIP = r"(?i)^(classDef|click |style |linkStyle|subgraph|end$)"
+FLOW_CLASS = r"^class\s+([\w\-,\s]+)\s+(\w+)$"

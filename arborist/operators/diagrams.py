@@ -14,26 +14,22 @@ from pyspark.sql import functions as F
 
 from arborist.functions.common import count_rows
 from arborist.functions.paths import base_of, stem_of, trimmed
-from arborist.functions.rules import CLASSDEF_PALETTE, HUB_PERSPECTIVES, RESERVED_WORDS
-
-# The diagram line grammar.
-SKIP_LINE = (
-    r"(?i)^(graph|flowchart|sequenceDiagram|classDiagram|erDiagram|gantt|pie|gitGraph"
-    r"|classDef|class |click |style |linkStyle|subgraph|end$)"
+from arborist.functions.rules import (
+    BROAD_EDGE,
+    CLASSDEF_PALETTE,
+    DIRECTIVE_LINE,
+    FLOW_CLASS,
+    FLOW_DIRECTION,
+    FLOW_EDGE,
+    FLOW_LABEL_EDGE,
+    FLOW_SKIP,
+    GRAPH_DECLARATION,
+    HUB_PERSPECTIVES,
+    NODE_LINE,
+    RESERVED_WORDS,
+    SKIP_LINE,
+    STRICT_EDGE,
 )
-_SHAPE = r"(?:\[.*?\]|\(.*?\)|\{.*?\}|>.*?\])?"
-_ARROWS = r"-->|--o|--x|---|-.->|==>|~~>"
-STRICT_EDGE = rf"^(\S+?){_SHAPE}\s*({_ARROWS}|--\|.*?\|)\s*(\S+?){_SHAPE}$"
-BROAD_EDGE = rf"^([^\s\[\](\{{]+).*?({_ARROWS}).*?([^\s\[\](\{{]+).*$"
-NODE_LINE = r"^([^\s\[\](\{]+)[\[(\{].*$"
-GRAPH_DECLARATION = r"(?i)^(graph|flowchart)\s+(LR|RL|TD|TB|BT)\s*$"
-DIRECTIVE_LINE = r"(?i)^(graph|flowchart|classDef|class |click |style |linkStyle|subgraph|end$|%%)"
-FLOW_LABEL_EDGE = r'^(.+?)\s+--\s+"([^"]+)"\s+-->\s+(.+)$'
-_FLOW_ARROW = rf"-->(?:\|[^|]*\|)?|--o|--x|---|-.->|==>|~~>"
-FLOW_EDGE = rf"^(.*?)({_FLOW_ARROW})(.*?)(?:(?:{_FLOW_ARROW}).*)?$"
-FLOW_DIRECTION = r"(?i)^(?:graph|flowchart)\s+([A-Z]{2}).*$"
-FLOW_SKIP = r"(?i)^(classDef|click |style |linkStyle|subgraph|end$)"
-FLOW_CLASS = r"^class\s+([\w\-,\s]+)\s+(\w+)$"
 
 _SEP = "\u0001"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborist.functions.rules import CLASSDEF_PALETTE
+from arborist.functions.rules import BROAD_EDGE, CLASSDEF_PALETTE, DIRECTIVE_LINE, GRAPH_DECLARATION, NODE_LINE, RESERVED_WORDS, SKIP_LINE, STRICT_EDGE
 from arborist.functions.text import sql_lane_digest
 from arborist.operators import diagrams as dg
 from arborist.operators import docs as dc
@@ -20,18 +20,12 @@ KEYS = ["project", "path"]
 
 # ---- SQL pieces of the checks ---------------------------------------------------
 
-_ARROW = "-->|--o|--x|---|-.->|==>|~~>"
-_SHAPE = r"(?:\[.*?\]|\(.*?\)|\{.*?\}|>.*?\])?"
-_STRICT = rf"^(\S+?){_SHAPE}\s*({_ARROW}|--\|.*?\|)\s*(\S+?){_SHAPE}$"
-_BROAD = rf"^([^\s\[\](\{{]+).*?({_ARROW}).*?([^\s\[\](\{{]+)"
-_SKIP = "(?i)^(graph|flowchart|sequenceDiagram|classDiagram|erDiagram|gantt|pie|gitGraph|classDef|class |click |style |linkStyle|subgraph|end$)"
-
 
 def sql_diagrams(table: str, p: str = "") -> str:
     """CTEs {p}dlines, {p}dparsed, {p}dnodes, {p}dedges over a `fields`-like table."""
     ex = lambda g: (
-        f"CASE WHEN regexp_matches(line, '{_STRICT}') THEN regexp_extract(line, '{_STRICT}', {g}) "
-        f"WHEN regexp_matches(line, '{_BROAD}') THEN regexp_extract(line, '{_BROAD}', {g}) END"
+        f"CASE WHEN regexp_matches(line, '{STRICT_EDGE}') THEN regexp_extract(line, '{STRICT_EDGE}', {g}) "
+        f"WHEN regexp_matches(line, '{BROAD_EDGE}') THEN regexp_extract(line, '{BROAD_EDGE}', {g}) END"
     )
     return f"""
 , {p}dlines AS (SELECT project, path, CAST(i AS INTEGER) AS line_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line
@@ -40,8 +34,8 @@ def sql_diagrams(table: str, p: str = "") -> str:
     WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> '' AND NOT starts_with(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '%%'))
 , {p}dparsed AS (SELECT project, path, replace(replace({ex(1)}, '"', ''), '''', '') AS src, {ex(2)} AS arrow,
       replace(replace({ex(3)}, '"', ''), '''', '') AS dst,
-      replace(replace(regexp_extract(line, '^([^\\s\\[\\](\\{{]+)[\\[(\\{{]', 1), '"', ''), '''', '') AS single
-    FROM {p}dlines WHERE NOT regexp_matches(line, '{_SKIP}'))
+      replace(replace(regexp_extract(line, '{NODE_LINE}', 1), '"', ''), '''', '') AS single
+    FROM {p}dlines WHERE NOT regexp_matches(line, '{SKIP_LINE}'))
 , {p}dedges AS (SELECT DISTINCT project, path, src, arrow, dst FROM {p}dparsed WHERE arrow IS NOT NULL)
 , {p}dnodes AS (SELECT project, path, src AS node FROM {p}dedges UNION SELECT project, path, dst FROM {p}dedges
     UNION SELECT project, path, single FROM {p}dparsed WHERE arrow IS NULL AND single <> '')
@@ -121,8 +115,6 @@ def _sql_unbalanced(expr: str) -> str:
     return f"({n('[')} <> {n(']')} OR {n('(')} <> {n(')')} OR {n('{')} <> {n('}')})"
 
 
-_DECL = "(?i)^(graph|flowchart)\\s+(LR|RL|TD|TB|BT)\\s*$"
-_DIRECTIVE = "(?i)^(graph|flowchart|classDef|class |click |style |linkStyle|subgraph|end$|%%)"
 _SQL_PALETTE = ", ".join(f"('{n}', '{a}', '{c}')" for n, attrs in CLASSDEF_PALETTE.items() for a, c in attrs.items())
 SQL_LINT = (
     sql_diagrams("fields")
@@ -139,18 +131,18 @@ SQL_LINT = (
 , lint AS (
     SELECT project, path, 1 AS line, 'error' AS level, 'graph-declaration' AS rule, 'Diagram must start with a graph/flowchart direction declaration' AS message
       FROM (SELECT DISTINCT project, path FROM fields WHERE field = 'diagram') f
-      WHERE NOT EXISTS (SELECT 1 FROM dlines l WHERE l.project = f.project AND l.path = f.path AND regexp_matches(l.line, '{_DECL}')
+      WHERE NOT EXISTS (SELECT 1 FROM dlines l WHERE l.project = f.project AND l.path = f.path AND regexp_matches(l.line, '{GRAPH_DECLARATION}')
         AND l.line_no = (SELECT min(m.line_no) FROM dlines m WHERE m.project = f.project AND m.path = f.path))
     UNION ALL SELECT project, path, line_no, 'error', 'balanced-brackets', concat('Unbalanced brackets on line: ', line) FROM bare WHERE {_sql_unbalanced('unquoted')}
     UNION ALL SELECT project, path, line_no, 'error', 'reserved-word', concat('Node ID "', id, '" is a reserved keyword') FROM (SELECT project, path, line_no,
         unnest(regexp_extract_all(regexp_replace(unquoted, '', '', 'g'), '\\b(\\w+)\\s*[\\[(\\{{]', 1)) AS id FROM bare WHERE NOT starts_with(line, 'classDef ')) r
-      WHERE lower(id) IN ('graph', 'flowchart', 'subgraph', 'end', 'class', 'click', 'style', 'direction', 'interpolate')
+      WHERE list_contains({RESERVED_WORDS}, lower(id))
     UNION ALL SELECT project, path, line_no, 'warning', 'special-char-label', concat('Label contains @: ', line) FROM marks
       WHERE NOT cd AND len(list_filter(labels, lambda x: contains(x, '@'))) > 0
     UNION ALL SELECT project, path, line_no, 'warning', 'special-char-label', concat('Label contains <>: ', line) FROM marks
       WHERE NOT cd AND len(list_filter(labels, lambda x: contains(x, '<') AND contains(x, '>'))) > 0
     UNION ALL SELECT project, path, line_no, 'warning', 'edge-label', concat('Edge without label: ', line) FROM dlines WHERE regexp_matches(line, '-->|==>|-.->')
-      AND NOT regexp_matches(line, '{_DIRECTIVE}') AND NOT regexp_matches(line, '\\|.*?\\|')
+      AND NOT regexp_matches(line, '{DIRECTIVE_LINE}') AND NOT regexp_matches(line, '\\|.*?\\|')
     UNION ALL SELECT project, path, line_no, 'warning', 'classdef-name', concat('Unknown classDef name ', regexp_extract(line, '(?i)^classDef\\s+(\\S+)', 1)) FROM dlines
       WHERE regexp_matches(line, '(?i)^classDef\\s+(\\S+)\\s+(.+)$') AND regexp_extract(line, '(?i)^classDef\\s+(\\S+)', 1) NOT IN ('external', 'concern', 'entry', 'store')
     UNION ALL SELECT c.project, c.path, c.line_no, 'warning', 'classdef-color', concat('classDef "', c.name, '" has ', regexp_replace(c.pair, '\\s', '', 'g'), ', expected ', p.color)

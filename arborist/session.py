@@ -65,6 +65,10 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        place = spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.sparkContext.master
+        if place.startswith(("file:", "/")) and master != "local" and not master.startswith("local["):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all machines share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     return root.rstrip("/")
 

@@ -158,3 +158,21 @@ def test_load_meta(spark, tmp_path):
     row = co.load_meta(spark, str(tmp_path / "m.json")).first()
     assert (row["path"], row["tags"], row["scan_generation"]["git_commit"], row["source_files"]) == ("a", ["x"], "c1", None)
     assert "steps" in co.load_meta(spark, str(tmp_path / "m.json"), co.FLOW_SCHEMA).columns
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from arborist.session import shared_root
+
+    def session(master, **conf):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda k, *d: conf.get(k, *d)))
+
+    local = {"spark.sql.warehouse.dir": "file:/tmp/w"}
+    assert shared_root(session("local[8]", **local)).startswith("file:/tmp/w")
+    with pytest.raises(ValueError):
+        shared_root(session("spark://host:7077", **local))
+    assert shared_root(session("yarn", **local, **{"spark.checkpoint.dir": "hdfs:/shared/"})) == "hdfs:/shared"
+    assert shared_root(session("yarn", **{"spark.sql.warehouse.dir": "hdfs:/w"})).startswith("hdfs:/w")
