@@ -396,6 +396,35 @@ R.add(
       SELECT n.project, n.file, coalesce(min(m.other), n.file) AS component FROM node_files n
       LEFT JOIN mutual m ON n.project = m.project AND n.file = m.file GROUP BY n.project, n.file""",
 )
+# ---- a project that grows with the data: a hub, and a component of most files ------------
+
+SQL_GROWN = """
+, fan AS (SELECT project, dst AS file, count(*) AS n FROM grown_edges GROUP BY ALL)
+, target AS (SELECT project, file FROM fan ORDER BY n DESC, file LIMIT 20)
+"""
+R.add(
+    "change_impact_grown",
+    "grown_edges",
+    lambda d: t.change_impact(
+        d["grown_edges"], top_n(g.degrees(d["grown_edges"]), ["project"], [F.desc("fan_in"), F.asc("file")], 20).select("project", F.col("file").alias("seed"))
+    ),
+    SQL_GROWN + """, spread(seed, node, depth) AS (
+        SELECT t.file, e.src, 1 FROM target t JOIN grown_edges e ON e.dst = t.file
+        UNION SELECT s.seed, e.src, s.depth + 1 FROM spread s JOIN grown_edges e ON e.dst = s.node WHERE s.depth < 60
+          AND NOT EXISTS (SELECT 1 FROM recurring.spread k WHERE k.seed = s.seed AND k.node = e.src))
+      , least AS (SELECT seed, node, min(depth) AS depth FROM spread WHERE node <> seed GROUP BY ALL)
+      SELECT 'grown' AS project, seed, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS transitive,
+        CAST(max(depth) AS INTEGER) AS impact_depth, count(*) AS total_affected FROM least GROUP BY seed""",
+)
+R.add(
+    "scc_grown",
+    "grown_files",
+    lambda d: t.scc(d["grown_files"], d["grown_edges"]),
+    """, down(file) AS (SELECT src FROM grown_edges WHERE src = 'src/api/m1.js' UNION SELECT e.dst FROM down d JOIN grown_edges e ON e.src = d.file)
+    , up(file) AS (SELECT src FROM grown_edges WHERE src = 'src/api/m1.js' UNION SELECT e.src FROM up u JOIN grown_edges e ON e.dst = u.file)
+    , core AS (SELECT file FROM down INTERSECT SELECT file FROM up)
+    SELECT f.project, f.file, coalesce((SELECT min(file) FROM core WHERE EXISTS (SELECT 1 FROM core c WHERE c.file = f.file)), f.file) AS component FROM grown_files f""",
+)
 R.add(
     "guided_tour",
     "edges node_files",

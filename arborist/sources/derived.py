@@ -101,6 +101,16 @@ def definitions(d: Dialect) -> dict[str, str]:
     t["edges"] = f"""
         SELECT project, {_path('src_id')} AS src, {_path('dst_id')} AS dst, {d.sorted_list('symbol')} AS imports
         FROM uses WHERE src_id <> dst_id GROUP BY project, src_id, dst_id"""
+    # one project that grows with the data: a binary tree whose files import their parents and children,
+    # so one component with paths of logarithmic length, a hub that every seventh file imports, and leaves outside the component
+    t["grown_edges"] = f"""
+        SELECT DISTINCT 'grown' AS project, {_path('a')} AS src, {_path('b')} AS dst, {d.empty()} AS imports FROM (
+          SELECT o_orderkey AS a, CAST(floor(o_orderkey / 2) AS BIGINT) AS b FROM orders WHERE o_orderkey > 1
+          UNION ALL SELECT CAST(floor(o_orderkey / 2) AS BIGINT) AS a, o_orderkey AS b FROM orders WHERE o_orderkey > 1
+          UNION ALL SELECT o_orderkey AS a, CAST(1 AS BIGINT) AS b FROM orders WHERE o_orderkey % 7 = 0
+          UNION ALL SELECT o_orderkey AS a, o_orderkey + 1000000000000 AS b FROM orders WHERE o_orderkey % 3 = 0) ends"""
+    t["grown_files"] = """
+        SELECT project, src AS file FROM grown_edges UNION SELECT project, dst AS file FROM grown_edges"""
     t["node_files"] = f"""
         SELECT project, {_path('id')} AS file, count(*) AS uses_n, max(shipdate) AS touched
         FROM (SELECT project, src_id AS id, shipdate FROM uses
@@ -272,6 +282,8 @@ _DEPENDS = {
     "uses": ["lineitem", "part"],
     "edges": ["uses"],
     "node_files": ["uses"],
+    "grown_edges": ["orders"],
+    "grown_files": ["grown_edges"],
     "exports": ["lineitem", "part"],
     "code_definitions": ["lineitem", "part"],
     "old_definitions": ["code_definitions"],
