@@ -331,6 +331,77 @@ def op13_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+# What SQL can tell of the operators that it can't express.
+
+
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the bytes that every document's token ids decode to."""
+    return op2_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+SQL_BPE_DECODED = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of the shards, with how many shards have them and whether their slots are gapless."""
+    shards = (
+        op4_sharding(spark, sf_dir)
+        .groupBy("shard")
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("least"), F.max("slot").alias("most"))
+    )
+    gapless = (F.col("slots") == F.col("rows")) & (F.col("least") == 0) & (F.col("most") == F.col("rows") - 1)
+    return shards.groupBy("rows").agg(F.count(F.lit(1)).alias("shards"), F.bool_and(gapless).alias("gapless"))
+
+
+SQL_SHARDING_LAW = """
+SELECT n // 16 + extra AS rows, CASE WHEN extra = 1 THEN n % 16 ELSE 16 - n % 16 END AS shards, true AS gapless
+FROM (SELECT count(*) AS n FROM documents) c, (VALUES (0), (1)) e(extra) WHERE extra = 0 OR n % 16 > 0
+"""
+
+
+def sharding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document once, with its size."""
+    return op4_sharding(spark, sf_dir).select("doc_id", "size", "law", "grown_shard", ((F.col("shard") >= 0) & (F.col("shard") < 16)).alias("within"))
+
+
+SQL_SHARDING_ROWS = """
+SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, 'rows' AS law, CAST(NULL AS INTEGER) AS grown_shard, true AS within FROM documents
+"""
+
+
+def quality_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document once: whether it was held out, and whether score and prediction agree."""
+    scored = op7_quality(spark, sf_dir)
+    agree = (F.col("predicted") == (F.col("score") >= 0.5).cast("int")) & F.col("score").between(0, 1)
+    return scored.select("doc_id", "held_out", agree.alias("agree"))
+
+
+SQL_QUALITY_BOUNDS = f"""
+WITH {SQL_CRC32}
+SELECT doc_id, {sql_crc32("coalesce(doc_id::VARCHAR, '')::BLOB")} % 3 = 1 AS held_out, true AS agree FROM documents, crc
+"""
+
+
+def brown_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the class model's scores stand on: counts of tokens, and the scores by word frequencies."""
+    return op13_brown_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+SQL_BROWN_BASE = f"""
+WITH {SQL_CRC32},
+d AS (
+  SELECT doc_id, {sql_crc32("coalesce(doc_id::VARCHAR, '')::BLOB")} % 10 = 0 AS held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') AS w
+  FROM documents, crc),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT t.doc_id, t.held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n)::BIGINT AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)))), 6) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY 1, 2
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
@@ -345,6 +416,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_periodic_runs": op11_periodic_runs,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_brown_lm": op13_brown_lm,
+    "bpe_decoded": bpe_decoded,
+    "sharding_law": sharding_law,
+    "sharding_rows": sharding_rows,
+    "quality_bounds": quality_bounds,
+    "brown_base": brown_base,
 }
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": SQL_OP1,
@@ -355,4 +431,9 @@ ORACLES: dict[str, str] = {
     "op9_chat_rotation": SQL_OP9,
     "op11_periodic_runs": SQL_OP11,
     "op12_spelling_variants": SQL_OP12,
+    "bpe_decoded": SQL_BPE_DECODED,
+    "sharding_law": SQL_SHARDING_LAW,
+    "sharding_rows": SQL_SHARDING_ROWS,
+    "quality_bounds": SQL_QUALITY_BOUNDS,
+    "brown_base": SQL_BROWN_BASE,
 }
