@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arborist.functions.paths import base_of, parent_of, stem_of
+from arborist.functions.paths import base_of, language_of, parent_of, stem_of
 from arborist.session import cut_lineage
 
 
@@ -16,14 +16,22 @@ def snapshot_elements(df: DataFrame, path: str) -> None:
 
 
 def run_summary(nodes: DataFrame, edges: DataFrame, modules: DataFrame, at) -> DataFrame:
-    """One row per project: file, edge and module counts of an analysis run."""
+    """One row per project: file, edge and module counts of an analysis run, and its files by language.
+
+    `languages` is a map from language to number of files; its keys are bounded by the languages known.
+    """
+    language = language_of(F.col("file"))
+    by_language = nodes.select("project", language.alias("language")).where("language IS NOT NULL").groupBy("project", "language").agg(F.count(F.lit(1)).alias("n"))
+    spoken = by_language.groupBy("project").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages"))
     n = nodes.groupBy("project").agg(F.count(F.lit(1)).alias("files"))
     e = edges.groupBy("project").agg(F.count(F.lit(1)).alias("edges"))
     m = modules.groupBy("project").agg(F.count(F.lit(1)).alias("modules"))
     return (
         n.join(e, "project", "left")
         .join(m, "project", "left")
+        .join(spoken, "project", "left")
         .fillna(0, ["edges", "modules"])
+        .withColumn("languages", F.coalesce("languages", F.create_map().cast("map<string,bigint>")))
         .withColumn("at", F.lit(at).cast("timestamp"))
     )
 
