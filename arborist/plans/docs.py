@@ -169,10 +169,36 @@ R.add(
     lambda d: _lint(d).select(*KEYS, "line", "level", "rule", "message"),
     SQL_LINT + "SELECT project, path, CAST(line AS INTEGER) AS line, level, rule, message FROM lint",
 )
+#: A sequence diagram of every element, written in SQL that both engines read; n varies what it has.
+_SEQUENCE = (
+    "CASE WHEN n % 11 = 0 THEN ' ' ELSE concat(CASE WHEN n % 4 = 0 THEN '' ELSE concat('@startuml', chr(10)) END, 'participant A', chr(10),"
+    " CASE WHEN n % 3 = 0 THEN concat('Actor B', chr(10)) ELSE '' END, CASE WHEN n % 2 = 0 THEN concat('A -> B: hi', chr(10)) ELSE concat('// A -> B', chr(10)) END,"
+    " CASE WHEN n % 5 = 0 THEN concat('alt x', chr(10), 'loop y', chr(10)) ELSE '' END, CASE WHEN n % 7 = 0 THEN concat('  end', chr(10)) ELSE '' END,"
+    " CASE WHEN n % 6 = 0 THEN '' ELSE '@enduml' END) END"
+)
+
+
+def _sequences(d):
+    numbered = d["elements"].select(*KEYS, (F.length("path") + F.length("project")).alias("n"))
+    return numbered.select(*KEYS, F.lit("diagram").alias("field"), F.expr(_SEQUENCE).alias("text"), F.lit("sequence").alias("format"))
+
+
 R.add(
     "lint_sequence_diagrams",
-    "fields",
-    lambda d: dg.lint_sequence_diagrams(d["fields"]).select(*KEYS, "level", "rule", "message"),
+    "elements",
+    lambda d: dg.lint_by_format(_sequences(d), d["elements"]).select(*KEYS, "level", "rule", "message"),
+    f""", seq AS (SELECT project, path, {_SEQUENCE} AS text FROM (SELECT project, path, length(path) + length(project) AS n FROM elements) e)
+    , ln AS (SELECT project, path, trim(text) = '' AS blank, lower(text) AS low, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM seq)
+    , facts AS (SELECT *, len(list_filter(l, lambda x: regexp_matches(x, '(?i)^(participant|actor|boundary|control|entity|database|collections|component)\\s+'))) AS people,
+        len(list_filter(l, lambda x: contains(x, '->') AND NOT starts_with(x, '//'))) AS messages,
+        list_reduce(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^(alt|loop)\\b') THEN 1 WHEN regexp_matches(x, '^end\\b') THEN -1 ELSE 0 END),
+          lambda a, x: greatest(a + x, 0), 0) AS depth FROM ln)
+    SELECT project, path, 'error' AS level, 'empty-diagram' AS rule, 'Diagram is empty.' AS message FROM facts WHERE blank
+    UNION ALL SELECT project, path, 'error', 'missing-startuml', 'Missing @startuml tag.' FROM facts WHERE NOT blank AND NOT contains(low, '@startuml')
+    UNION ALL SELECT project, path, 'error', 'missing-enduml', 'Missing @enduml tag.' FROM facts WHERE NOT blank AND NOT contains(low, '@enduml')
+    UNION ALL SELECT project, path, 'warning', 'few-participants', 'Only 1 participant(s).' FROM facts WHERE NOT blank AND people = 1
+    UNION ALL SELECT project, path, 'warning', 'no-messages', 'No messages found.' FROM facts WHERE NOT blank AND people > 0 AND messages = 0
+    UNION ALL SELECT project, path, 'warning', 'unbalanced-blocks', concat('Unbalanced block structure (depth: ', depth, ')') FROM facts WHERE NOT blank AND depth <> 0""",
 )
 R.add("repair_diagrams", "fields", lambda d: dg.repair_diagrams(d["fields"]).select(*KEYS, "fixed", "changed"))
 R.add("repair_report", "fields elements", lambda d: dg.repair_report(_lint(d)).select(*KEYS, "line", "rule", "message", "fixed"))

@@ -19,6 +19,7 @@ from arborist.functions.paths import (
 )
 from arborist.functions.text import edit_distance, search_tokens, snippet, sql_lane_digest, word_count
 from arborist.operators import coverage as cv
+from arborist.operators import docs as dc
 from arborist.operators import extract as ex
 from arborist.operators import graph as g
 from arborist.operators import history as hs
@@ -297,6 +298,19 @@ R.add(
 )
 
 
+R.add(
+    "has_issues",
+    "elements fields meta files",
+    lambda d: ql.has_issues(_reconcile(d), dc.check_signature(d["elements"], dc.signature(d["elements"].where("path NOT LIKE 'es%'")).select("project", "signature"))),
+    SQL_ORPHANS + f""", r AS (SELECT DISTINCT project, path, unnest(regexp_extract_all(text, '@([\\w-]+)', 1)) AS target FROM fields WHERE field = 'diagram')
+      , bad AS (SELECT project FROM orph UNION SELECT project FROM r WHERE target <> path AND NOT EXISTS (SELECT 1 FROM elements e WHERE e.project = r.project AND e.path = r.target)
+        UNION SELECT project FROM elements e WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.project = e.project AND f.path = e.path))
+      , cur AS (SELECT project, {sql_lane_digest('path')} AS now FROM elements GROUP BY project)
+      , sto AS (SELECT project, {sql_lane_digest('path')} AS was FROM elements WHERE NOT starts_with(path, 'es') GROUP BY project)
+      SELECT project, project IN (SELECT project FROM bad) OR was IS NULL OR was <> now AS has_issues FROM cur LEFT JOIN sto USING (project)""",
+)
+
+
 def _reconcile(d):
     return ql.reconcile_report(d["elements"], d["fields"], _orphans(d))
 
