@@ -75,3 +75,18 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id LONG, quality INT, toxic INT").write.parquet(f"{sf}/labels.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    sf = str(tmp_path)
+    names = ["predicted", "score", "kept", "keep_id", "_place", "component_key", "copies", "size", "k", "_t"]
+    rows = [(*r, *(f"{n}{r[0]}" for n in names)) for r in corpus()]
+    schema = ", ".join([SCHEMA, *(f"{n} STRING" for n in names)])
+    spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 150), 0) for k in range(190)], "doc_id LONG, quality INT, toxic INT").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, sf).write.parquet(f"{sf}/{k}")
+        docs = spark.read.parquet(f"{sf}/{k}")
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        assert docs.count() > 20 and all(r[n] == f"{n}{r['doc_id']}" for r in docs.collect() for n in names)
