@@ -215,3 +215,24 @@ def test_ties_go_to_the_least_path(spark):
         if ways:
             want[a, b] = " > ".join(min(ways))
     assert found == want
+
+
+def test_repeated_strings_are_not_broadcast_by_file_size(spark, tmp_path):
+    """A table whose file is small and whose rows are not is no broadcast: the driver would hold the rows."""
+    from arborist.session import ROWS_TO_FILE, configure
+
+    path = str(tmp_path / "steps")
+    many = spark.range(400_000).select(
+        F.concat(F.lit("s"), F.col("id") % 50).alias("project"),
+        F.concat(F.lit("src/a/long/folder/name/m"), F.col("id") % 900).alias("a"),
+        F.concat(F.lit("src/a/long/folder/name/m"), F.pmod(F.xxhash64("id"), F.lit(900))).alias("b"),
+    )
+    many.coalesce(1).write.parquet(path)
+    try:
+        configure(spark, ROWS_TO_FILE)
+        steps = spark.read.parquet(path)
+        joined = steps.withColumnRenamed("b", "c").join(steps, ["project", "a"])
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        configure(spark)
+    assert "BroadcastHashJoin" in steps.withColumnRenamed("b", "c").join(steps, ["project", "a"])._jdf.queryExecution().sparkPlan().toString()
