@@ -123,3 +123,13 @@ def test_tree_order(spark):
     f = fields(spark, ("a", "x"), field="description")
     tree = dc.element_tree(elements(spark, "a", "a-b", "a/z", "a/y"), f).orderBy("project", "sort_key")
     assert [(r["path"], r["is_last"]) for r in tree.collect()] == [("a", False), ("a/y", False), ("a/z", True), ("a-b", True)]
+
+
+def test_flowchart_steps_run_once_and_keep_control_characters(spark):
+    """A token's steps stand once each in the plan, not once for each use; a control character in a line cuts nothing."""
+    f = spark.createDataFrame([("p", "x", "diagram", 'a["@ref\\nA"] -->|go| b((B))\nc\u0001d --> e\nlone{Q}')], "project string, path string, field string, text string")
+    plan = dg.flowchart_edges(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(@?[\\w-]+)") <= 2
+    assert [(r.src, r.dst, r.label) for r in dg.flowchart_edges(f).orderBy("line_no").collect()] == [("a", "b", "go")]
+    assert [(r.node, r.shape, r.ref_target) for r in dg.flowchart_nodes(f).orderBy("node").collect()] == [("a", "rect", "ref"), ("b", "stadium", None), ("lone", "diamond", None)]
+    assert [(r.src, r.dst) for r in dg.diagram_edges(f).where("src LIKE 'c%'").collect()] == [("c\u0001d", "e")]
