@@ -133,3 +133,15 @@ def test_flowchart_steps_run_once_and_keep_control_characters(spark):
     assert [(r.src, r.dst, r.label) for r in dg.flowchart_edges(f).orderBy("line_no").collect()] == [("a", "b", "go")]
     assert [(r.node, r.shape, r.ref_target) for r in dg.flowchart_nodes(f).orderBy("node").collect()] == [("a", "rect", "ref"), ("b", "stadium", None), ("lone", "diamond", None)]
     assert [(r.src, r.dst) for r in dg.diagram_edges(f).where("src LIKE 'c%'").collect()] == [("c\u0001d", "e")]
+
+
+def test_repair_time_follows_the_lines(spark):
+    """The reserved ids of a diagram are found once, not for each of its lines."""
+    import time
+
+    text = "graph LR\nend[Stop] --> x\n" + "\n".join(f"n{i}[N {i}] --> end" for i in range(5000))
+    f = spark.createDataFrame([("p", "x", "diagram", text)], "project string, path string, field string, text string")
+    began = time.monotonic()
+    fixed = dg.repair_diagrams(f).first().fixed.split("\n")
+    assert time.monotonic() - began < 40
+    assert fixed[1] == "end-node[Stop] --> x" and fixed[-1] == "n4999[N 4999] --> end-node" and len(fixed) == 5002
