@@ -136,6 +136,19 @@ def test_sinks(spark, tmp_path):
     assert numbered.where(F.col("n") != F.col("f").cast("int")).count() == 0
 
 
+def test_fingerprints_of_many_projects_are_few_files(spark, tmp_path):
+    path = tmp_path / "fp"
+    prints = spark.range(2000).select(F.concat(F.lit("s"), F.col("id") % 300).alias("project"), F.concat(F.lit("f"), "id").alias("file"), F.lit("a").alias("hash"))
+    sinks.save_fingerprints(prints, str(path))
+    later = prints.where("project < 's2'").limit(50).withColumn("hash", F.lit("b"))
+    later = spark.createDataFrame(later.collect(), later.schema)
+    sinks.save_fingerprints(later, str(path))
+    assert len(list(path.rglob("*.parquet"))) < 50
+    got = sinks.load_fingerprints(spark, str(path)).select("project", "file", "hash")
+    want = prints.join(later.select("project").distinct(), "project", "left_anti").unionByName(later)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("project", "file", "hash").collect()))
+
+
 def test_search(spark):
     rows = [
         ("p", "persp1", "description", "payments and auth overview"), ("p", "persp1/auth", "description", "login flow"),
