@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborist.llm.common import fresh
+from arborist.session import cut_lineage
 
 BUCKET_BYTES = 16 << 20
 
@@ -65,8 +66,11 @@ def external_shuffle(
     counts = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias("_rows"))
     past = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    places = counts.withColumnRenamed(bucket, "_b").select(
-        "_b", F.coalesce(F.sum("_rows").over(past), F.lit(0)).alias("_first"), F.sum("_rows").over(everything).alias("_all")
+    # stored, so that the join is planned from the size of a row per bucket and no text is shuffled for it
+    places = cut_lineage(
+        counts.withColumnRenamed(bucket, "_b").select(
+            "_b", F.coalesce(F.sum("_rows").over(past), F.lit(0)).alias("_first"), F.sum("_rows").over(everything).alias("_all")
+        )
     )
     schema = T.StructType([*scattered.schema.fields, T.StructField("_slot", T.LongType())])
 

@@ -223,6 +223,12 @@ def test_sharding_law_slots_and_files(spark, tmp_path):
     assert sharding.external_shuffle(docs(spark, [(1, "a", "s")])).count() == 1
 
 
+def test_sharding_moves_a_text_once(spark):
+    # a table of unknown size: the join with a row per bucket shuffles no text
+    plan = sharding.external_shuffle(docs(spark, [(1, "a", "s"), (2, "b", "s")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_fisher_yates_is_a_permutation_and_roughly_uniform():
     assert sorted(sharding.fisher_yates(1000, 1, 2)) == list(range(1000))
     seen = {tuple(sharding.fisher_yates(3, 5, b)) for b in range(200)}
