@@ -28,8 +28,8 @@ from arborist.llm.common import fresh, give_back
 
 NONE = np.int64(1) << np.int64(62)
 SHIFT = 32
-CACHE_ENTRIES = 80_000
-CHUNK_BYTES = 1 << 19
+CACHE_ENTRIES = 100_000
+CHUNK_BYTES = 1 << 21
 OUTPUTS = {
     "n_tokens": (T.LongType(), pa.int64()),
     "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
@@ -56,7 +56,9 @@ class Codec:
                     self.pairs[left << SHIFT | right] = rank
         self.pair_keys = np.array(sorted(self.pairs), dtype=np.int64)
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        # pieces of late and of before: a full cache is kept for one more turn, and what is met again goes over to the next
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.before: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def values(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Leaf values of the pairs (left, right) that start at `at`; NONE where they don't merge."""
@@ -153,11 +155,15 @@ class Codec:
     def learn(self, pieces: Iterable[str]) -> None:
         """Put the tokens of new pieces into the cache."""
         if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        known = self.cache
+            self.before, self.cache = self.cache, {}
+        known, before = self.cache, self.before
         classes: dict[int, list[str]] = {}
         for piece in pieces:
             if piece not in known:
+                kept = before.get(piece)
+                if kept is not None:
+                    known[piece] = kept
+                    continue
                 raw = piece.encode()
                 whole = self.ranks.get(raw)
                 if whole is not None:
@@ -173,6 +179,10 @@ class Codec:
                 for piece, ids in zip(part, self.merge_many(raw, width) if many else map(self.merge_one, raw), strict=True):
                     known[piece] = (ids, ",".join(map(str, ids)))
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.cache, self.before = {}, {}
+
     def encode(self, texts: Sequence[str]) -> list[list[tuple[tuple[int, ...], str]]]:
         """For each text its pieces as (ids, their decimals joined by commas)."""
         split = [self.split(t) for t in texts]
@@ -251,7 +261,7 @@ def bpe_round_trip(
                 part = batch.slice(begin, end - begin)
                 columns = [*part.columns, *(pa.array(found[o], OUTPUTS[o][1]) for o in outputs)]
                 yield pa.RecordBatch.from_arrays(columns, names=columns_out)
-        own.cache.clear()
+        own.forget()
         give_back()
 
     return docs.mapInArrow(run, schema)

@@ -428,3 +428,15 @@ def test_wrapper_has_optional_and_repeated_groups_and_slots():
     assert json.dumps(wrappers.Node.unpack(w.pack()).pack()) == json.dumps(w.pack())
     groups = [next(x for x in tree.pack() if x[0] == "(dt|dd)") for tree in (w, wrappers.merge(two, one))]
     assert groups[0] == groups[1]
+
+
+def test_bpe_merges_a_piece_that_is_met_again_once(monkeypatch):
+    ranks = b"\n".join(base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)) + b"\n" + base64.b64encode(b"ab") + b" 256\n"
+    codec = bpe.Codec(ranks, r"[a-z]+|\s+")
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 2)
+    merged = []
+    monkeypatch.setattr(codec, "merge_one", lambda raw, merge=codec.merge_one: merged.append(raw) or merge(raw))
+    for k in range(20):  # the cache is full after each turn; what every turn has in it stays
+        ((often, _), *_), *_ = codec.encode(["abc " + "x" * (k + 2) + " y" + "z" * (k + 1)])
+        assert often == (256, 99)
+    assert merged.count(b"abc") == 1 and len(codec.cache) + len(codec.before) < 12
