@@ -196,6 +196,17 @@ def test_least_paths_hold_no_paths(spark, monkeypatch):
     assert rows(t.shortest_path(e, pairs.where("dst = 'zz'")), "path") == []
 
 
+def test_pairs_that_share_an_end_share_its_search(spark, monkeypatch):
+    """Forty files import a hub and a chain of their own: the levels hold the hub and its importers, no file's own reach."""
+    levels = []
+    add = t._Levels.add
+    monkeypatch.setattr(t._Levels, "add", lambda self, df: levels.append(add(self, df)) or levels[-1])
+    own = [(f"s{k:02d}", "hub") for k in range(40)] + [(f"s{k:02d}", f"c{k:02d}") for k in range(40)] + [(f"c{k:02d}", f"d{k:02d}") for k in range(40)]
+    pairs = spark.createDataFrame([("p", f"{x}{k:02d}", "hub") for x in "sc" for k in range(40)], "project string, src string, dst string")
+    assert rows(t.shortest_path(edges(spark, *own), pairs), "path") == [(f"s{k:02d} > hub",) for k in range(40)]
+    assert [df.count() for df in levels] == [1, 40, 0]
+
+
 def test_ties_go_to_the_least_path(spark):
     import itertools
     import random
