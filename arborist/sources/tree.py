@@ -9,6 +9,9 @@ stay with the loaded frame, and with its other queries.)  Writing
 replaces the projects that are written: tasks write to a staging folder and
 report what they wrote, and the commit moves whole projects into place and
 numbers itself.  A stream reads the projects of the commits since its offset.
+
+`file_tree` reads any tree of files whose first folder level is the project.
+The driver lists only the upper folders; tasks list what is below them, and read it.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -207,7 +211,98 @@ class ElementTree(DataSource):
         return TreeWriter(self.options["path"])
 
 
+FILES = "file_tree"
+FILES_SCHEMA = "project STRING, path STRING, content STRING, size LONG, mtime TIMESTAMP"
+#: Folders that the driver divides a tree into, and the most folders in one that it still divides.
+DIVIDE, DIVIDE_MOST = 256, 10_000
+
+
+@dataclass
+class Folder(InputPartition):
+    path: str
+    below: bool
+
+
+def shown(info: fs.FileInfo) -> bool:
+    """As Spark's file sources: no names that begin with a dot or an underscore."""
+    name = info.base_name
+    return not name.startswith(".") and (not name.startswith("_") or "=" in name) and not name.endswith("._COPYING_")
+
+
+class FilesReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.root = options["path"]
+        self.suffixes = tuple(json.loads(options["suffixes"])) if "suffixes" in options else None
+        self.content = options.get("content", "true") == "true"
+
+    def partitions(self) -> list[Folder]:
+        """Upper folders alone and lower folders with all below them, some hundreds; further levels are the tasks' work."""
+        system, root = open_root(self.root)
+        wide = deque(f"{root}/{p}" for p in folders(system, root))
+        alone: list[Folder] = []
+        kept: list[Folder] = []
+        while wide and len(wide) + len(kept) < DIVIDE:
+            at = wide.popleft()
+            found = [i for i in system.get_file_info(fs.FileSelector(at)) if shown(i)]
+            inner = [i.path for i in found if i.type == fs.FileType.Directory]
+            if len(inner) > DIVIDE_MOST:
+                kept.append(Folder(at, True))
+                continue
+            if len(inner) < len(found):
+                alone.append(Folder(at, False))
+            wide.extend(inner)
+        return alone + kept + [Folder(at, True) for at in wide]
+
+    def read(self, part: Folder | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no partitions
+            return
+        system, root = open_root(self.root)
+        waiting, rows, size = [part.path], [], 0
+        while waiting:
+            for info in filter(shown, system.get_file_info(fs.FileSelector(waiting.pop()))):
+                if info.type == fs.FileType.Directory:
+                    if part.below:
+                        waiting.append(info.path)
+                    continue
+                if self.suffixes is not None and not info.base_name.endswith(self.suffixes):
+                    continue
+                text = None
+                if self.content:
+                    with system.open_input_stream(info.path, compression=None) as f:
+                        text = f.read().decode("utf-8", "replace")
+                    size += len(text)
+                project, path = unquote(info.path.removeprefix(root).lstrip("/")).split("/", 1)
+                rows.append((project, path, text, info.size, info.mtime_ns // 1000))
+                if len(rows) == 1000 or size > 1 << 22:
+                    yield self.batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield self.batch(rows)
+
+    @staticmethod
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC")]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["project", "path", "content", "size", "mtime"]
+        )
+
+
+class FileTree(DataSource):
+    """Rows (project, path, content, size, mtime) of the files below a root; option `suffixes`, a list in JSON, and `content`, false to read none."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FILES
+
+    def schema(self) -> str:
+        return FILES_SCHEMA
+
+    def reader(self, schema) -> FilesReader:
+        return FilesReader(self.options)
+
+
 def register(spark: SparkSession) -> SparkSession:
-    """Make the source known to a session."""
+    """Make the sources known to a session."""
     spark.dataSource.register(ElementTree)
+    spark.dataSource.register(FileTree)
     return spark

@@ -60,3 +60,24 @@ def test_scanned_as_files(spark):
     files = co.scan_corpus(spark, root, None)
     found = co.load_elements(files.where("project = 'p'"))
     assert sorted((r["path"], r["field"], r["text"]) for r in found.collect() if "%" not in r["path"]) == [r[1:] for r in KEPT if r[0] == "p" and r[3] and "%" not in r[1]]
+
+
+def test_a_tree_of_many_files_is_listed_by_its_tasks(spark, tmp_path):
+    """Two thousand files in 20 folders: tasks are folders, not a few files each, and the driver lists only the upper ones."""
+    for k in range(20):
+        for j in range(50):
+            (tmp_path / f"p{k % 4}" / f"top{k}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / f"p{k % 4}" / f"top{k}" / f"e{j}" / "description.md").write_text(f"text {k} {j}")
+            (tmp_path / f"p{k % 4}" / f"top{k}" / f"e{j}" / "note.md").write_bytes(b"caf\xe9 100%")
+    (tmp_path / "p0" / "100% sure.md").write_text("own file")
+    (tmp_path / "p0" / "_hidden.md").write_text("no")
+    (tmp_path / "p0" / ".dot").mkdir()
+    (tmp_path / "p0" / ".dot" / "a.md").write_text("no")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        files = co.scan_corpus(spark, root, None)
+        assert files.count() == 2001 and files.select("project", "path").distinct().count() == 2001
+        assert files.rdd.getNumPartitions() <= tree.DIVIDE + 5 + 50
+        assert [tuple(r)[:4] for r in files.where("path LIKE '100%'").collect()] == [("p0", "100% sure.md", "own file", 8)]
+    assert files.where("content = 'caf\ufffd 100%'").count() == 1000
+    listed = co.scan_corpus(spark, str(tmp_path), [".txt", "sure.md"], content=False)
+    assert [(r["content"], r["size"]) for r in listed.collect()] == [(None, 8)]
