@@ -207,6 +207,18 @@ def test_pairs_that_share_an_end_share_its_search(spark, monkeypatch):
     assert [df.count() for df in levels] == [1, 40, 0]
 
 
+def test_pairs_without_a_way_are_left_out_before_paths_are_walked(spark, monkeypatch):
+    """Thirty chains that the hub does not import: the way back is searched from the hub, not from every file."""
+    levels = []
+    add = t._Levels.add
+    monkeypatch.setattr(t._Levels, "add", lambda self, df: levels.append(add(self, df)) or levels[-1])
+    chains = [(f"e{k:02d}", f"f{k:02d}") for k in range(30)] + [(f"f{k:02d}", f"g{k:02d}") for k in range(30)]
+    e = edges(spark, *chains, ("x", "hub"), ("hub", "y"))
+    pairs = spark.createDataFrame([("p", f, "hub") for f in ["x", "y", "hub", *(f"g{k:02d}" for k in range(30))]], "project string, src string, dst string")
+    assert rows(t.all_paths(e, pairs), "src", "reversed", "path") == [("hub", False, "hub"), ("x", False, "x > hub"), ("y", True, "hub > y")]
+    assert sum(df.count() for df in levels) <= 6
+
+
 def test_ties_go_to_the_least_path(spark):
     import itertools
     import random
