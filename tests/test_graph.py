@@ -70,6 +70,19 @@ def test_communities_do_not_lose_modularity(spark):
     assert rows(t.communities(members, e), "files", "internal_edges", "external_edges", "density") == [(3, 3, 1, 1.0)] * 2
 
 
+def test_rounds_of_communities_hold_numbers(spark, monkeypatch):
+    """A round's table has no texts; files of one name in two projects stay apart, and ties go to the least name."""
+    schemas = []
+    put = t._Latest.put
+    monkeypatch.setattr(t._Latest, "put", lambda self, df: schemas.append(df.dtypes) or put(self, df))
+    e = edges(spark, ("b", "c"), ("c", "a"), ("a", "b")).unionByName(edges(spark, ("b", "c"), ("x", "a"), project="q"))
+    n = nodes(spark, "a", "b", "c", "z").unionByName(nodes(spark, "a", "b", "c", "x", project="q"))
+    assert rows(t.community_members(n, e, rounds=40), "project", "file", "community") == [
+        ("p", "a", "a"), ("p", "b", "a"), ("p", "c", "a"), ("p", "z", "z"), ("q", "a", "a"), ("q", "b", "b"), ("q", "c", "b"), ("q", "x", "a"),
+    ]
+    assert schemas and all(kind == "bigint" for columns in schemas for _, kind in columns)
+
+
 def test_tour(spark):
     got = t.guided_tour(nodes(spark, "a", "b", "c"), edges(spark, ("a", "b"), ("b", "c")))
     assert rows(got, "depth", "file", "reason") == [(0, "a", "entry point"), (1, "b", "dependency"), (2, "c", "dependency")]
