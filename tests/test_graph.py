@@ -272,3 +272,51 @@ def test_repeated_strings_are_not_broadcast_by_file_size(spark, tmp_path):
     finally:
         configure(spark)
     assert "BroadcastHashJoin" in steps.withColumnRenamed("b", "c").join(steps, ["project", "a"])._jdf.queryExecution().sparkPlan().toString()
+
+
+def _shuffled(df):
+    """Exchanges of the plan of `df` that has run, by the column they go by."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_components_of_a_large_project_start_from_a_hub(spark, monkeypatch):
+    """A large project's component comes from two searches; what they leave is divided as before, like a small project."""
+    import random
+
+    rng = random.Random(8)
+    ring = [(f"r{k}", f"r{(k + 1) % 40}") for k in range(40)] + [(f"r{k}", "r0") for k in range(40)]
+    tails = [("r3", "x0"), ("x0", "x1"), ("x1", "x0"), ("y0", "y1"), ("y1", "y0"), ("y1", "r5"), ("z0", "z1"), ("z1", "z0"), ("r9", "leaf")]
+    loose = [(f"q{rng.randrange(60)}", f"q{rng.randrange(60)}") for _ in range(70)]
+    e = edges(spark, *ring, *tails, *loose).unionByName(edges(spark, ("r0", "r1"), ("r1", "r0"), ("r1", "r2"), project="s"))
+    small = {(r["project"], r["node"]): r["component"] for r in t.cyclic_components(e).collect()}
+    searched = []
+    around = t._around_pivots
+    monkeypatch.setattr(t, "_around_pivots", lambda live, pivots: searched.append(pivots.count()) or around(live, pivots))
+    monkeypatch.setattr(t, "LOOKED_AT", 1)
+    monkeypatch.setattr(t, "LARGE", 20)
+    large = {(r["project"], r["node"]): r["component"] for r in t.cyclic_components(e).collect()}
+    assert searched == [1] and large == small
+    assert {n for (p, n), c in large.items() if p == "p" and c == "r0"} == {f"r{k}" for k in range(40)}
+    assert [large["p", n] for n in ("x0", "x1", "y0", "y1", "z0", "z1")] == ["x0", "x0", "y0", "y0", "z0", "z0"]
+    assert large["s", "r1"] == "r0" and ("s", "r2") not in large and ("p", "leaf") not in large
+
+
+def test_numbers_of_files_differ(spark, monkeypatch):
+    """A seed that gives two files one number is not taken."""
+    real = t._id
+    monkeypatch.setattr(t, "_id", lambda project, node, seed: F.lit(7).cast("long") if seed == 0 else real(project, node, seed))
+    seed, names = t._number(edges(spark, ("a", "b"), ("b", "c"), ("c", None)))
+    assert seed == 1 and rows(names, "project", "node") == [("p", "a"), ("p", "b"), ("p", "c")]
+    assert rows(t.cyclic_components(edges(spark, ("a", "b"), ("b", "a"))), "node", "component") == [("a", "a"), ("b", "a")]
+
+
+def test_a_round_moves_no_step_and_no_level(spark):
+    """Steps and what has been reached lie in buckets: a join with them has an exchange for the frontier alone."""
+    e = edges(spark, *[(f"f{k}", f"f{k // 2}") for k in range(2, 200)])
+    seed, _ = t._number(e)
+    steps = t._placed(t._numbered_steps(e, "reverse", seed))
+    start = steps.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct().limit(1)
+    seen = t._reached(steps.select("a", "b"), start)
+    step = seen.withColumnRenamed("node", "a").hint("shuffle_hash").join(steps, "a")
+    assert _shuffled(step) == []
+    assert len(_shuffled(start.withColumnRenamed("node", "a").hint("shuffle_hash").join(steps, "a"))) == 1
