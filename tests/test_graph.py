@@ -320,3 +320,13 @@ def test_a_round_moves_no_step_and_no_level(spark):
     step = seen.withColumnRenamed("node", "a").hint("shuffle_hash").join(steps, "a")
     assert _shuffled(step) == []
     assert len(_shuffled(start.withColumnRenamed("node", "a").hint("shuffle_hash").join(steps, "a"))) == 1
+
+
+def test_known_bits_are_met_where_they_are_stored(spark):
+    """Bitmaps of levels lie in buckets: what a round compares with them comes to them."""
+    e = edges(spark, *[(f"f{k}", f"f{k // 2}") for k in range(2, 40)])
+    seed, names = t._number(e)
+    start = names.where("node = 'f1'").select("project", F.lit(0).cast("long").alias("number"), F.col("id").alias("node"))
+    found = t._bits(t._placed(t._numbered_steps(e, "reverse", seed)), start, None)
+    assert found.all().select("node").distinct().count() == 38
+    assert _shuffled(found.all().groupBy("node", "word", "project").agg(F.bit_or("bits"))) == []
