@@ -43,3 +43,15 @@ def test_communities_of_small_projects_need_no_round(spark, no_rounds):
     assert told(t.community_members(n, e, 0.7, rounds=33, small=45)) == by_rounds
     no_rounds()
     assert told(t.community_members(n, e, 0.7, rounds=33, small=t.SMALL)) == by_rounds and len({c for c, *_ in by_rounds}) < len(by_rounds)
+
+
+def test_a_tour_of_small_projects_needs_no_round(spark, no_rounds):
+    e = some_edges(spark, 3, (("p", 40, 30), ("q", 40, 60), ("r", 90, 40)))
+    n = some_nodes(spark, e)
+    by_rounds = told(t.guided_tour(n, e))
+    assert told(t.guided_tour(n, e, small=80)) == by_rounds
+    no_rounds()
+    assert told(t.guided_tour(n, e, small=t.SMALL)) == by_rounds
+    assert {r for _, _, _, r in by_rounds} >= {"dependency", "entry point", "in cycle"} and len({d for d, *_ in by_rounds}) > 3
+    # files that no edge can name are read at once
+    assert (0, "n1é", None, "entry point") in by_rounds and (0, None, "q", "entry point") in by_rounds
