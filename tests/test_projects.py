@@ -55,3 +55,17 @@ def test_a_tour_of_small_projects_needs_no_round(spark, no_rounds):
     assert {r for _, _, _, r in by_rounds} >= {"dependency", "entry point", "in cycle"} and len({d for d, *_ in by_rounds}) > 3
     # files that no edge can name are read at once
     assert (0, "n1é", None, "entry point") in by_rounds and (0, None, "q", "entry point") in by_rounds
+
+
+def test_paths_of_small_projects_need_no_round(spark, no_rounds):
+    """All pairs of files: of the same length, of no way, of a file and itself, and in a project of many pairs."""
+    e = some_edges(spark, 5, (("p", 9, 26), ("q", 12, 20), ("r", 5, 5)))
+    n = some_nodes(spark, e)
+    pairs = n.withColumnRenamed("file", "src").join(n.withColumnRenamed("file", "dst"), "project").where("project <> 'q' OR dst < 'n3'")
+    by_rounds = told(t.shortest_path(e, pairs))
+    assert told(t.shortest_path(e, pairs, small=90)) == by_rounds
+    no_rounds()
+    assert told(t.shortest_path(e, pairs, small=t.SMALL)) == by_rounds and {n for _, n, *_ in by_rounds} >= {0, 1, 2, 3}
+    # what takes more searches than a task may do goes by rounds
+    with pytest.raises(pytest.fail.Exception, match="a round"):
+        t.shortest_path(e, pairs, small=t.SMALL // 512)
