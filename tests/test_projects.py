@@ -69,3 +69,12 @@ def test_paths_of_small_projects_need_no_round(spark, no_rounds):
     # what takes more searches than a task may do goes by rounds
     with pytest.raises(pytest.fail.Exception, match="a round"):
         t.shortest_path(e, pairs, small=t.SMALL // 512)
+
+
+def test_components_and_cycles_of_small_projects_need_no_round(spark, no_rounds):
+    e = some_edges(spark, 7, (("p", 14, 26), ("q", 40, 55), ("r", 30, 33)))
+    by_rounds = told(t.cyclic_components(e)), told(t.cycles(e))
+    assert (told(t.cyclic_components(e, 45)), told(t.cycles(e, 45))) == by_rounds
+    no_rounds()
+    assert (told(t.cyclic_components(e, t.SMALL)), told(t.cycles(e, t.SMALL))) == by_rounds
+    assert len({c[0] for c in by_rounds[0]}) > 2 and len({n for _, n, _ in by_rounds[1]}) > 2
