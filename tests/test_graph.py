@@ -330,3 +330,22 @@ def test_known_bits_are_met_where_they_are_stored(spark):
     found = t._bits(t._placed(t._numbered_steps(e, "reverse", seed)), start, None)
     assert found.all().select("node").distinct().count() == 38
     assert _shuffled(found.all().groupBy("node", "word", "project").agg(F.bit_or("bits"))) == []
+
+
+def test_targets_of_imports_are_shuffled_once(spark):
+    """A file and a module, several of one rank, index files, and files that are listed twice: one grouping finds the file of a stem."""
+    files = ["src/a.ts", "src/a.js", "src/a.ts", "src/b.d.ts", "src/b.ts", "lib/index.ts", "lib/index.js", "lib.js", "x/main.py", "x/index", "é.ts", ""]
+    found = g.import_targets(spark.createDataFrame([("p", f) for f in [*files, None]], "project string, path string"))
+    assert len([line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]) == 1
+    assert {r["stem"]: r["dst"] for r in found.collect()} == {
+        "": "", "src/a.ts": "src/a.ts", "src/a.js": "src/a.js", "src/a": "src/a.ts", "src/b.d.ts": "src/b.d.ts", "src/b.d": "src/b.d.ts", "src/b.ts": "src/b.ts",
+        "src/b": "src/b.ts", "lib/index.ts": "lib/index.ts", "lib/index.js": "lib/index.js", "lib/index": "lib/index.ts", "lib.js": "lib.js", "lib": "lib/index.ts",
+        "x/main.py": "x/main.py", "x/main": "x/main.py", "x/index": "x/index", "x": "x/main.py", "é.ts": "é.ts", "é": "é.ts",
+    }
+
+
+def test_hotspots_count_what_is_taken(spark):
+    e = edges(spark, ("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"))
+    assert rows(g.hotspots(e, 2), "file", "fan_in", "fan_out") == [("b", 1, 1), ("c", 2, 1)]
+    assert "Join" not in g.hotspots(e).select("project", "file", "fan_in")._jdf.queryExecution().optimizedPlan().toString()
+    assert g.hotspots(e).dtypes == [("project", "string"), ("file", "string"), ("fan_in", "bigint"), ("fan_out", "bigint")]
